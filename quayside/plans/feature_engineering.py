@@ -20,6 +20,7 @@ from quayside.operators.windows import (
     labelled,
     with_noise,
 )
+from quayside.session import settle
 
 
 @dataclass(frozen=True)
@@ -59,8 +60,12 @@ def feature_table(
     rules: Sequence[tuple] = tuple(EXECUTED_RULES),
     skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
-    """One row per (condition, topology, label, flow, window) with all sensor blocks side by side."""
-    features = recording_features(recordings, options, skew)
+    """One row per (condition, topology, label, flow, window) with all sensor blocks side by side.
+
+    The window features are a small fraction of the readings and feed both the recordings and
+    their background noise, so they are written once.
+    """
+    features = settle(recording_features(recordings, options, skew))
     columns = [*[f"b{b}" for b in range(options.buckets)], "mean", "std"]
     noise = features.filter("is_noise")
     heard = with_noise(features.filter(~F.col("is_noise")), noise, columns, skew=skew)
@@ -78,9 +83,9 @@ def labelled_features(table: DataFrame) -> DataFrame:
 
 def train_test(table: DataFrame, options: FeatureOptions = FeatureOptions(), skew: Skew = DEFAULT_SKEW) -> DataFrame:
     """Chronological split inside every (condition, topology, label, flow) group."""
-    return chronological_split(table, GROUP, "time", ["window_id"], options.test_fraction, skew=skew)
+    return chronological_split(settle(table), GROUP, "time", ["window_id"], options.test_fraction, skew=skew)
 
 
 def provider_shares(table: DataFrame, key: Sequence[str], options: FeatureOptions = FeatureOptions()) -> DataFrame:
     """Label-skewed plus uniform share per provider; ``table`` has a numeric ``target``."""
-    return provider_partitions(table, "target", key, options.providers, options.test_fraction)
+    return provider_partitions(settle(table), "target", key, options.providers, options.test_fraction)
