@@ -30,8 +30,11 @@ messages AS (
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages_of(table(spark, sf_dir, "events"))
+
+
+def messages_of(events: DataFrame) -> DataFrame:
     """Flat monitoring messages: purchases report model quality, other events resource use."""
-    events = table(spark, sf_dir, "events")
     value = F.col("value")
     is_quality = F.col("event_type") == "purchase"
     quality = F.struct(

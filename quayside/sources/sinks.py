@@ -51,10 +51,10 @@ def measurement_points(costs: DataFrame) -> DataFrame:
     return wide.unpivot(ids, COST_FIELDS, "field", "value")
 
 
-def stream_sink(df: DataFrame, path: str, checkpoint: str, seconds: int | None = 10, mode: str = "update"):
-    """Start an update-mode stream that writes each batch once; ``seconds=None`` drains what is there and stops."""
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(append_batch(path))
-    return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
+def stream_sink(df: DataFrame, path: str, checkpoint: str, seconds: int = 10, mode: str = "update"):
+    """Start a live stream that writes each batch once, every ten seconds by default."""
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(append_batch(path)).trigger(processingTime=f"{seconds} seconds").start()
 
 
 def latest_batch_rows(df: DataFrame, keys: Sequence[str], batch: Column | str = "batch") -> DataFrame:
