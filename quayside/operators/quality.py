@@ -107,7 +107,13 @@ def feature_correlation(df: DataFrame, features: Sequence[str], by: Sequence[str
         return correlation_pairs(df, features).agg(
             _correlation_score(F.sum(_counted(F.col("r"))), size).alias("feature_correlation")
         )
-    pairs = [F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(combinations(features, 2))]
+
+    def pearson(a: str, b: str) -> Column:
+        # corr() fails on a constant column, where the correlation is undefined
+        spread = F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b)))
+        return F.try_divide(F.covar_pop(a, b), spread)
+
+    pairs = [pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(combinations(features, 2))]
     grouped = df.groupBy(*by).agg(*pairs)
     total = sum((F.coalesce(_counted(F.col(f"r{i}")), F.lit(0.0)) for i in range(len(pairs))), F.lit(0.0))
     return grouped.select(*by, _correlation_score(total, size).alias("feature_correlation"))

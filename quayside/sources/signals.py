@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 # fixed values: recording format
 SAMPLE_RATE = 8000
@@ -14,7 +15,7 @@ FIRST_SAMPLES = 240000
 FULL_SCALE = 2.0**31
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _decode(content: pd.Series) -> pd.Series:
     return content.map(lambda b: np.frombuffer(b, "<i4", count=len(b) // SAMPLE_BYTES) / FULL_SCALE)
 

@@ -27,14 +27,19 @@ STATE = ROUND.split("train_round int, ", 1)[1]
 
 def _folder(timeout_ms: int):
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Fold the arriving messages of one round, a frame at a time, in arrival order."""
+        """Fold the arriving messages of one round, a frame at a time, in arrival order.
+
+        The exchange mixes what the input tasks of one batch deliver, so a frame is put
+        in time order first; frames are never gathered.
+        """
         if state.hasTimedOut:
             # a finished round is not sent again; later input opens a fresh one
             state.remove()
             return
         held = state.get if state.exists else (None, None, 0, 0.0, 0.0, False, *[None] * 6)
         when, edge, count, cpu, memory, closed, *closing = held
-        for frame in frames:
+        for arrived in frames:
+            frame = arrived.sort_values("timestamp", kind="stable", ignore_index=True)
             count += len(frame)
             newest = frame["timestamp"].max()
             when = newest if when is None or newest > when else when

@@ -46,7 +46,9 @@ GATED = "edge_id string, timestamp timestamp, value double, train_round int"
 def _gate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Pass on the samples that arrive while the edge's last marker says ``start``."""
     status, number = state.get if state.exists else (None, None)
-    for frame in frames:
+    for arrived in frames:
+        # the exchange mixes what the input tasks of one batch deliver
+        frame = arrived.sort_values("timestamp", kind="stable", ignore_index=True)
         marks = frame["status"].where(frame["status"].notna(), None).ffill()
         marks = marks.where(marks.notna(), status)
         rounds = frame["train_round"].where(frame["status"].notna()).ffill()
