@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.operators.ordered import DEFAULT_SKEW, Skew, lookup, uniform_hash
+from quayside.operators.ordered import DEFAULT_SKEW, Skew, lookup
+from quayside.operators.positions import uniform_hash
 from quayside.session import settle
 
 PIVOT_BYTES = 32 << 20

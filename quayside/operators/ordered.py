@@ -21,16 +21,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_SPAN = 1 << 32
-
 
 @dataclass(frozen=True)
 class Skew:
-    """When a key counts as hot, and into how many pieces hot rows are cut."""
+    """When a key counts as hot, and into how many pieces at most hot rows are cut."""
 
     share: float = 1e-3
     min_rows: int = 2_000_000
-    pieces: int = 1024
+    pieces: int = 16_384
 
 
 DEFAULT_SKEW = Skew()
@@ -49,23 +47,27 @@ class Scan:
     inclusive: bool = True
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], skew: Skew = DEFAULT_SKEW) -> DataFrame | None:
-    """Keys above the share, or None when there are none. At most ``1 / share`` rows."""
+@dataclass(frozen=True)
+class Hot:
+    """The hot keys, at most ``1 / share`` of them, and the number of all rows."""
+
+    keys: DataFrame
+    rows: int
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], skew: Skew = DEFAULT_SKEW) -> Hot | None:
+    """Keys above the share, or None when there are none."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     largest, total = counts.agg(F.max("_rows"), F.sum("_rows")).first()
     limit = max(skew.min_rows, int((total or 0) * skew.share))
     if (largest or 0) <= limit:
         return None
-    return counts.filter(F.col("_rows") > limit).select(*keys)
+    return Hot(counts.filter(F.col("_rows") > limit).select(*keys), total)
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
-def _mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+def _mark_hot(df: DataFrame, keys: Sequence[str], hot: Hot) -> DataFrame:
     """Add the boolean ``_hot``; the hot side is bounded by ``1 / share`` rows."""
-    marks = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
+    marks = hot.keys.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
     return (
         df.join(F.broadcast(marks), same, "left")
@@ -75,7 +77,11 @@ def _mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
 
 
 def lookup(
-    df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left", skew: Skew = DEFAULT_SKEW
+    df: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
     """Join ``df`` with a table that is unique on ``keys``.
 
@@ -87,7 +93,7 @@ def lookup(
     if hot is None:
         return df.join(table, list(keys), how)
     marked = _mark_hot(df, keys, hot)
-    few = table.join(F.broadcast(hot), list(keys), "left_semi")
+    few = table.join(F.broadcast(hot.keys), list(keys), "left_semi")
     cold_rows = marked.filter(~F.col("_hot")).drop("_hot").join(table, list(keys), how)
     hot_rows = marked.filter("_hot").drop("_hot").join(F.broadcast(few), list(keys), how)
     return cold_rows.unionByName(hot_rows)
@@ -102,13 +108,17 @@ def _as_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def _cut_by_quantile(df: DataFrame, keys: Sequence[str], order: str, skew: Skew, hot: DataFrame) -> DataFrame:
-    """Give hot rows a piece number that grows with the order column; other rows get 0."""
+def _cut_by_quantile(df: DataFrame, keys: Sequence[str], order: str, skew: Skew, hot: Hot) -> DataFrame:
+    """Give hot rows a piece number that grows with the order column; other rows get 0.
+
+    There are as many pieces as keep one near ``min_rows`` rows.
+    """
+    pieces = max(2, min(skew.pieces, hot.rows // skew.min_rows))
     marked = _mark_hot(df, keys, hot).withColumn("_axis", _as_number(df, order))
-    steps = [i / skew.pieces for i in range(1, skew.pieces)]
+    steps = [i / pieces for i in range(1, pieces)]
     bounds = (
         marked.filter("_hot")
-        .agg(F.percentile_approx("_axis", F.array(*map(F.lit, steps)), F.lit(10 * skew.pieces)))
+        .agg(F.percentile_approx("_axis", F.array(*map(F.lit, steps)), F.lit(10 * pieces)))
         .first()[0]
     )
     splits = [float("-inf"), *sorted(set(bounds or [])), float("inf")]
@@ -205,19 +215,3 @@ def ranked(
 ) -> DataFrame:
     """1-based position per key."""
     return ordered_scan(df, keys, order, {name: Scan("count")}, skew)
-
-
-def hash_ranked(
-    df: DataFrame, keys: Sequence[str], hashed: str, ties: Sequence[str], name: str = "rank", pieces: int = 256
-) -> DataFrame:
-    """1-based position by a uniform hash in [0, 2^32), per key or (no keys) over all rows.
-
-    A uniform hash needs no quantiles: equal slices of its range hold equal shares.
-    """
-    piece = F.floor(F.col(hashed) * F.lit(pieces) / F.lit(HASH_SPAN)).cast("int")
-    return ordered_scan(df, keys, [hashed, *ties], {name: Scan("count")}, None, piece)
-
-
-def uniform_hash(*columns: str, seed: int = 42) -> Column:
-    """Seeded hash of the given columns in [0, 2^32)."""
-    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]), F.lit(HASH_SPAN))

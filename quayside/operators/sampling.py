@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.operators.ordered import hash_ranked, uniform_hash
+from quayside.operators.positions import passed, rows_at, uniform_hash
 
 
 def sample_with_replacement(
@@ -21,24 +21,24 @@ def sample_with_replacement(
 ) -> DataFrame:
     """Exactly ``number`` rows drawn with replacement, or all rows when there are no more than that.
 
-    Every row has a position by its seeded hash. The draws are positions too, so each row
-    joins with the number of times it was drawn. ``draw_hash`` is an expression over the
-    draw number ``id``, in [0, 2^32). ``total`` saves the count where it is known.
+    Every row has a position by its seeded hash. The draws are positions too, and a row comes out
+    as often as it was drawn. ``draw_hash`` is an expression over the draw number ``id``, in
+    [0, 2^32). ``total`` saves the count where it is known.
     """
     rows = df.count() if total is None else total
     if number >= rows:
         return df
-    hashed = row_hash if row_hash is not None else uniform_hash(*key, seed=seed)
-    placed = hash_ranked(df.withColumn("_hash", hashed), [], "_hash", key, "_rank")
+    hashed = df.withColumn("_hash", row_hash if row_hash is not None else uniform_hash(*key, seed=seed))
     drawn = draw_hash if draw_hash is not None else uniform_hash("id", seed=seed + 1)
     draws = (
         df.sparkSession.range(number)
-        .select((F.pmod(drawn, F.lit(rows)) + 1).alias("_rank"))
-        .groupBy("_rank")
+        .select((F.pmod(drawn, F.lit(rows)) + 1).alias("rank"))
+        .groupBy("rank")
         .agg(F.count(F.lit(1)).cast("int").alias("_times"))
     )
-    picked = placed.join(draws, "_rank").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return picked.select(*df.columns)
+    picked = rows_at(hashed, [], "_hash", key, draws, rows)
+    copies = picked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return copies.select(*df.columns)
 
 
 def leading(df: DataFrame, position: str, count: int) -> DataFrame:
@@ -59,13 +59,15 @@ def contiguous_folds(
     row_hash: Column | None = None,
     total: int | None = None,
 ) -> DataFrame:
-    """Add ``fold``: runs of ``n // folds`` rows along a seeded permutation, the last run takes the rest."""
+    """Add ``fold``: runs of ``n // folds`` rows along a seeded permutation, the last run takes the rest.
+
+    Only the first row of each fold is looked up; every other row compares itself with those few.
+    """
     rows = df.count() if total is None else total
     size = rows // folds
     if size == 0:
         raise ValueError(f"{rows} rows cannot be cut into {folds} folds")
-    hashed = row_hash if row_hash is not None else uniform_hash(*key, seed=seed)
-    placed = hash_ranked(df.withColumn("_hash", hashed), [], "_hash", key, "_rank")
-    last = rows // size - 1
-    fold = F.least(F.expr(f"(_rank - 1) div {size}"), F.lit(last)).cast("int")
-    return placed.withColumn("fold", fold).select(*df.columns, "fold")
+    hashed = df.withColumn("_hash", row_hash if row_hash is not None else uniform_hash(*key, seed=seed))
+    firsts = df.sparkSession.range(1, rows // size).select((F.col("id") * size + 1).alias("rank"))
+    cuts = rows_at(hashed.select("_hash", *key), [], "_hash", key, firsts, rows).collect()
+    return hashed.withColumn("fold", passed(["_hash", *key], hashed, cuts)).select(*df.columns, "fold")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quayside.operators.ordered import DEFAULT_SKEW, Scan, Skew, hash_ranked, lookup, ordered_scan, uniform_hash
+from quayside.operators.ordered import DEFAULT_SKEW, Scan, Skew, lookup, ordered_scan
+from quayside.operators.positions import passed, reached, rows_at, uniform_hash
 
 
 def chronological_split(
@@ -56,14 +58,10 @@ def chronological_split(
     return marked.withColumn("split", F.when(train, "train").otherwise("test")).select(*df.columns, "split")
 
 
-def _chunk(position: Column, total: Column, chunks: int) -> Column:
-    """Chunk number of a 0-based position when ``total`` rows are cut into nearly equal chunks."""
-    base = F.floor(total / F.lit(chunks))
-    longer = total % F.lit(chunks)
-    edge = longer * (base + 1)
-    in_longer = F.floor(position / (base + 1))
-    in_rest = longer + F.floor((position - edge) / F.greatest(base, F.lit(1)))
-    return F.when(position < edge, in_longer).otherwise(in_rest).cast("int")
+def _chunk_starts(total: int, chunks: int) -> list[int]:
+    """0-based first positions of the second and later chunks when rows are cut into nearly equal chunks."""
+    base, longer = divmod(total, chunks)
+    return [c * base + min(c, longer) for c in range(1, chunks)]
 
 
 def provider_partitions(
@@ -75,14 +73,16 @@ def provider_partitions(
     seed: int = 42,
     first_hash: Column | None = None,
     second_hash: Column | None = None,
-    pieces: int = 256,
 ) -> DataFrame:
-    """Add ``provider`` (1..k): a label-skewed share plus an evenly shuffled share per provider.
+    """Add ``pool`` and ``provider`` (1..k): a label-skewed share plus an evenly shuffled share per provider.
 
     Per non-zero label the first ``int(m * (1 - fraction))`` shuffled rows form the skewed pool,
     kept in label order; the rest and all rows of label 0 form the shuffled pool. Each pool is
-    cut into k contiguous chunks. Positions come from counts per hash slice, never from one
-    sort over all rows, and only label counts are gathered in one place.
+    cut into k contiguous chunks.
+
+    Label counts give the positions at which pools and chunks begin. The rows at those few
+    positions are looked up, and every row finds its place by comparing itself with them, so the
+    data itself is neither sorted nor exchanged.
     """
     key = list(key)
     hashed = df.withColumns(
@@ -91,29 +91,54 @@ def provider_partitions(
             "_h2": second_hash if second_hash is not None else uniform_hash(*key, seed=seed + 1),
         }
     )
-    ranks = hash_ranked(hashed, [label], "_h1", key, "_rank", pieces)
-
-    labels = df.groupBy(label).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = F.when(F.col(label) != 0, F.floor(F.col("_rows") * F.lit(1.0 - uniform_fraction))).otherwise(0)
-    # one row per label: classes of a label column, which the label encoding bounds
-    by_label = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    sizes = labels.withColumn("_kept", kept.cast("long")).select(
-        label,
-        "_kept",
-        F.coalesce(F.sum("_kept").over(by_label), F.lit(0)).alias("_offset"),
-        F.sum("_kept").over(everything).alias("_skewed_total"),
-        (F.sum("_rows").over(everything) - F.sum("_kept").over(everything)).alias("_even_total"),
-    )
-    placed = lookup(ranks, sizes, [label], "inner")
-    skewed = placed.filter(F.col("_rank") <= F.col("_kept")).withColumns(
-        {
-            "pool": F.lit("skewed"),
-            "provider": _chunk(F.col("_offset") + F.col("_rank") - 1, F.col("_skewed_total"), providers) + 1,
-        }
-    )
-    even = hash_ranked(placed.filter(F.col("_rank") > F.col("_kept")), [], "_h2", key, "_place", pieces).withColumns(
-        {"pool": F.lit("even"), "provider": _chunk(F.col("_place") - 1, F.col("_even_total"), providers) + 1}
-    )
-    columns = [*df.columns, "pool", "provider"]
-    return skewed.select(*columns).unionByName(even.select(*columns))
+    # one entry per class
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()}
+    kept = {y: int(n * (1 - uniform_fraction)) if y != 0 else 0 for y, n in counts.items()}
+    rows, skewed_rows = sum(counts.values()), sum(kept.values())
+
+    begins = {}
+    offset = 0
+    wanted = []
+    for y, n in kept.items():
+        begins[y] = (offset, offset + n)
+        offset += n
+        if 0 < n < counts[y]:
+            wanted.append((y, n + 1, "pool"))
+    for start in _chunk_starts(skewed_rows, providers):
+        for y, (low, high) in begins.items():
+            if low <= start < high:
+                wanted.append((y, start - low + 1, "chunk"))
+    asked = _collected(df, hashed, [label], "_h1", key, wanted, rows)
+
+    order = [label, "_h1", *key]
+    rest = F.lit(False)
+    for y in counts:
+        first_even = [r for r in asked if r["use"] == "pool" and r[label] == y]
+        if first_even:
+            rest = rest | ((F.col(label) == y) & reached(["_h1", *key], hashed, first_even[0]))
+        elif kept[y] == 0:
+            rest = rest | (F.col(label) == y)
+    pooled = hashed.withColumn("pool", F.when(rest, "even").otherwise("skewed"))
+
+    even = pooled.filter("pool = 'even'")
+    starts = [(p + 1, "chunk") for p in _chunk_starts(rows - skewed_rows, providers) if p < rows - skewed_rows]
+    even_cuts = _collected(df, even, [], "_h2", key, starts, rows)
+    skewed_cuts = [r for r in asked if r["use"] == "chunk"]
+    # chunks that begin beyond the last row stay empty and need no row to compare with
+    provider = F.when(rest, passed(["_h2", *key], hashed, even_cuts)).otherwise(passed(order, hashed, skewed_cuts)) + 1
+    return pooled.withColumn("provider", provider.cast("int")).select(*df.columns, "pool", "provider")
+
+
+def _collected(
+    df: DataFrame, rows_of: DataFrame, keys: list[str], hashed: str, key: list[str], wanted: list[tuple], rows: int
+) -> list[Row]:
+    """The few rows at wanted (keys, rank, use), each use of a row once."""
+    if not wanted:
+        return []
+    fields = [df.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField("rank", T.LongType()), T.StructField("use", T.StringType())])
+    uses = df.sparkSession.createDataFrame(wanted, schema)
+    ranks = uses.groupBy(*keys, "rank").agg(F.collect_list("use").alias("uses"))
+    narrow = rows_of.select(*dict.fromkeys([*keys, hashed, *key]))
+    found = rows_at(narrow, keys, hashed, key, ranks, rows)
+    return found.select(*narrow.columns, F.explode("uses").alias("use")).collect()

@@ -40,9 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session without the setting gets a folder of its own.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named:
-        return named
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None and named:
+        context.setCheckpointDir(named)
+    if context.getCheckpointDir():
+        return named or context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="quayside-"))

@@ -80,7 +80,7 @@ def test_chronological_split(spark, times, fraction, train):
 def test_provider_partitions_cover_the_input_once(spark, sizes):
     rows = [(i, y) for i, y in enumerate(y for y, n in sizes.items() for _ in range(n))]
     df = spark.createDataFrame(rows, "id long, y int")
-    got = provider_partitions(df, "y", ["id"], 4, 0.2, pieces=5).collect()
+    got = provider_partitions(df, "y", ["id"], 4, 0.2).collect()
     assert sorted((r["id"], r["y"]) for r in got) == sorted(rows)
     assert all(r["pool"] == "even" for r in got if r["y"] == 0)
     for pool in ("skewed", "even"):

@@ -5,13 +5,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quayside.operators.ordered import Scan, Skew, hash_ranked, hot_keys, lookup, ordered_scan, ranked, uniform_hash
+from quayside.operators.ordered import Scan, Skew, hot_keys, lookup, ordered_scan, ranked
+from quayside.operators.positions import rows_at, uniform_hash
 from quayside.operators.rounds import fold_rounds
 from quayside.operators.splits import chronological_split
 
 FORCED = Skew(share=0.1, min_rows=20, pieces=7)
 
 
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     random.seed(3)
@@ -45,7 +47,7 @@ def scans():
 
 def test_hot_keys_are_found(skewed):
     found = hot_keys(skewed, ["key"], FORCED)
-    assert [r["key"] for r in found.collect()] == ["hot"]
+    assert [r["key"] for r in found.keys.collect()] == ["hot"] and found.rows == 600
     assert hot_keys(skewed, ["key"], Skew()) is None
 
 
@@ -63,11 +65,18 @@ def test_hot_scan_over_timestamps(skewed):
     assert rows(plain, "id", "rank") == rows(hot, "id", "rank")
 
 
-def test_rank_without_keys_is_a_permutation(skewed):
-    hashed = skewed.withColumn("h", uniform_hash("id"))
-    got = hash_ranked(hashed, [], "h", ["id"], pieces=16).select("id", "h", "rank").collect()
-    want = {r["id"]: i + 1 for i, r in enumerate(sorted(got, key=lambda r: (r["h"], r["id"])))}
-    assert {r["id"]: r["rank"] for r in got} == want
+@pytest.mark.parametrize("keys", [[], ["half"]])
+def test_rows_at_positions(spark, skewed, keys):
+    hashed = skewed.select("id", (F.col("id") % 2).alias("half"), uniform_hash("id").alias("h"))
+    groups = {}
+    for r in sorted(hashed.collect(), key=lambda r: (r["h"], r["id"])):
+        groups.setdefault(tuple(r[k] for k in keys), []).append(r["id"])
+    asked = [(*g, rank) for g, ids in groups.items() for rank in (1, 2, 17, len(ids) // 2, len(ids))]
+    wanted = spark.createDataFrame(asked, ", ".join([*[f"{k} long" for k in keys], "rank long"]))
+    got = rows_at(hashed, keys, "h", ["id"], wanted, 600).collect()
+    assert sorted((*[r[k] for k in keys], r["rank"], r["id"]) for r in got) == sorted(
+        (*a, groups[a[:-1]][a[-1] - 1]) for a in asked
+    )
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
