@@ -8,9 +8,10 @@ from quayside.catalog import views
 from quayside.catalog.base import query, table
 from quayside.functions.pricing import STANDARD_COSTS, quality_cost, resource_cost, total_cost
 from quayside.operators.ordered import Scan, ordered_scan
-from quayside.operators.rounds import flatten_messages, fold_rounds, price_rounds, running_peaks
+from quayside.operators.rounds import decode_messages, flatten_messages, fold_rounds, price_rounds, running_peaks
 from quayside.plans.round_cost import round_cost
 from quayside.schemas import COST_FIELDS, ROUND_KEYS
+from quayside.sources.readers import normalise_messages
 
 
 # no sums are involved in a cost, so both engines produce the same doubles and nothing is rounded
@@ -89,27 +90,33 @@ def _(spark, sf_dir):
     return priced.filter("done").select("model_id", "dataset_id", "train_round", "price_found")
 
 
+def _nested(spark, sf_dir):
+    meta = F.struct(
+        F.col("edge_id").alias("name"),
+        "run_id",
+        F.col("dataset_id").alias("functionality"),
+        F.col("model_id").alias("application_name"),
+    )
+    report = F.struct("train_round", "quality_of_model", "resource_monitor")
+    return views.messages(spark, sf_dir).select(
+        "event_id",
+        F.struct(
+            meta.alias("metadata"),
+            F.unix_seconds(F.col("timestamp").cast("timestamp")).alias("timestamp"),
+            report.alias("report"),
+        ).alias("raw"),
+    )
+
+
 @query(
     "message_flatten",
     f"""WITH {views.MESSAGES_SQL}
-    SELECT event_id, model_id, run_id, dataset_id, edge_id, ts AS "timestamp", train_round,
+    SELECT event_id, model_id, run_id, dataset_id, edge_id, epoch(date_trunc('second', ts))::BIGINT AS "timestamp", train_round,
      pre_perf AS pre_train_performance, cpu_percentage AS cpu_percentage
     FROM messages""",
 )
 def _(spark, sf_dir):
-    nested = views.messages(spark, sf_dir).select(
-        "event_id",
-        F.struct(
-            F.struct(
-                F.col("edge_id").alias("name"),
-                "run_id",
-                F.col("dataset_id").alias("functionality"),
-                F.col("model_id").alias("application_name"),
-            ).alias("metadata"),
-            "timestamp",
-            F.struct("train_round", "quality_of_model", "resource_monitor").alias("report"),
-        ).alias("message"),
-    )
+    nested = _nested(spark, sf_dir).select("event_id", F.col("raw").alias("message"))
     return flatten_messages(nested, keep=["event_id"]).select(
         "event_id",
         "model_id",
@@ -123,6 +130,30 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "queued_message_decode",
+    f"""WITH {views.MESSAGES_SQL}
+    SELECT event_id, model_id, edge_id, dataset_id, train_round, epoch(date_trunc('second', ts))::BIGINT AS seconds,
+     duration AS train_duration, cpu_percentage FROM messages""",
+)
+def _(spark, sf_dir):
+    nested = _nested(spark, sf_dir)
+    # as it leaves the queue: single quotes, epoch seconds
+    queued = nested.select("event_id", F.translate(F.to_json("raw"), '"', "'").alias("value"))
+    stream = normalise_messages(queued, nested.schema["raw"].dataType)
+    flat = flatten_messages(decode_messages(stream), keep=["event_id"])
+    return flat.select(
+        "event_id",
+        "model_id",
+        "edge_id",
+        "dataset_id",
+        "train_round",
+        F.unix_seconds("timestamp").alias("seconds"),
+        "quality_of_model.train_duration",
+        "resource_monitor.cpu_percentage",
+    )
+
+
 @query(
     "running_resource_peak",
     f"""WITH {views.ROUNDS_SQL}

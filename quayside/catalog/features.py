@@ -15,6 +15,8 @@ from quayside.operators.windows import (
     bucket_of,
     candidate_predicate,
     conditions_of,
+    fixed_rate_second,
+    joined_once,
     labelled,
     non_empty_groups,
     series_widths,
@@ -427,3 +429,27 @@ def _(spark, sf_dir):
     noise = features.filter("is_noise").select("file_name", "window_id", "mean", "b0")
     rest = features.filter("not is_noise").select("file_name", "window_id", "mean", "std")
     return noise.unionByName(rest, allowMissingColumns=True)
+
+
+@query(
+    "fixed_rate_seconds",
+    f"WITH {SIGNAL_SQL} SELECT series_id, pos, CAST(pos // 8 AS BIGINT) AS second FROM signal",
+)
+def _(spark, sf_dir):
+    return signal(spark, sf_dir).select("series_id", "pos", fixed_rate_second(F.col("pos"), 8).alias("second"))
+
+
+@query(
+    "blocks_without_duplicate_columns",
+    f"""WITH {SIGNAL_WINDOWS_SQL},
+    a AS (SELECT series_id // 2 AS pair, window_id, mean, "time" FROM features WHERE series_id % 2 = 0),
+    b AS (SELECT series_id // 2 AS pair, window_id, std, "time" FROM features WHERE series_id % 2 = 1)
+    SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.window_id, b.window_id) AS window_id, a."time",
+     round(a.mean, 6) AS mean, round(b.std, 6) AS std
+    FROM a FULL JOIN b ON a.pair = b.pair AND a.window_id = b.window_id""",
+)
+def _(spark, sf_dir):
+    features = signal_features(spark, sf_dir).withColumn("pair", F.floor(F.col("series_id") / 2))
+    even = features.filter("series_id % 2 = 0").select("pair", "window_id", "mean", "time")
+    odd = features.filter("series_id % 2 = 1").select("pair", "window_id", "std", "time")
+    return joined_once(even, odd, ["pair", "window_id"]).select("pair", "window_id", "time", *rounded(["mean", "std"]))

@@ -223,7 +223,9 @@ def _probabilities(spark, sf_dir):
     )
     weighted = rows.select("id", F.col("y").alias("class"), weights.alias("w"))
     total = F.aggregate("w", F.lit(0.0), lambda t, v: t + v)
-    return weighted.select("id", "class", F.transform("w", lambda v: F.round(v / total, 9)).alias("p"))
+    scaled = weighted.select("id", "class", F.transform("w", lambda v: F.round(v / total, 9)).alias("p"))
+    # a stored table, as the out-of-fold models would leave it
+    return settle(scaled)
 
 
 @query("confident_joint", f'WITH {PROBABILITY_SQL} SELECT label AS class, CAST(guess AS INTEGER) AS guess, n FROM joint')

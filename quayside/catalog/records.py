@@ -22,6 +22,7 @@ from quayside.operators.records import (
     request_results,
     request_status,
     updated,
+    with_request_id,
 )
 
 
@@ -317,3 +318,8 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", bytes_to_mb(F.col("value") * 4096.0).alias("mb"))
+
+
+@query("request_ids")
+def _(spark, sf_dir):
+    return with_request_id(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("consumer_id")))

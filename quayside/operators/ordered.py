@@ -13,6 +13,7 @@ that bound is what makes broadcasting them safe.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -20,6 +21,7 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -99,33 +101,52 @@ def lookup(
     return cold_rows.unionByName(hot_rows)
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz"):
+def _as_number(df: DataFrame, name: str) -> Column | None:
+    """A number that orders like the column, for numbers and times."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if kind == "date":
+    if isinstance(kind, T.DateType):
         return F.unix_date(F.col(name)).cast("double")
-    return F.col(name).cast("double")
+    return F.col(name).cast("double") if isinstance(kind, T.NumericType) else None
 
 
-def _cut_by_quantile(df: DataFrame, keys: Sequence[str], order: str, skew: Skew, hot: Hot) -> DataFrame:
-    """Give hot rows a piece number that grows with the order column; other rows get 0.
+def _quantiles(df: DataFrame, axis: str, pieces: int) -> list[float]:
+    steps = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    return df.agg(F.percentile_approx(axis, steps, F.lit(10 * pieces))).first()[0] or []
 
-    There are as many pieces as keep one near ``min_rows`` rows.
+
+def _slotted(df: DataFrame, axis: str, bounds: Sequence[float], slot: str) -> DataFrame:
+    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
+    return Bucketizer(splits=splits, inputCol=axis, outputCol=slot, handleInvalid="keep").transform(df)
+
+
+def _cut_by_quantile(df: DataFrame, keys: Sequence[str], order: Sequence[str], skew: Skew, hot: Hot) -> DataFrame | None:
+    """Give hot rows a piece number that grows along the order; other rows get 0.
+
+    There are as many pieces as keep one near ``min_rows`` rows. A value of the first order column
+    that fills more than a piece by itself gets its own, which the second column cuts further.
+    None when the first order column is neither a number nor a time.
     """
+    first = _as_number(df, order[0])
+    second = _as_number(df, order[1]) if len(order) > 1 else None
+    if first is None:
+        return None
     pieces = max(2, min(skew.pieces, hot.rows // skew.min_rows))
-    marked = _mark_hot(df, keys, hot).withColumn("_axis", _as_number(df, order))
-    steps = [i / pieces for i in range(1, pieces)]
-    bounds = (
-        marked.filter("_hot")
-        .agg(F.percentile_approx("_axis", F.array(*map(F.lit, steps)), F.lit(10 * pieces)))
-        .first()[0]
-    )
-    splits = [float("-inf"), *sorted(set(bounds or [])), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_axis", outputCol="_slot", handleInvalid="keep").transform(marked)
+    marked = _mark_hot(df, keys, hot).withColumn("_axis", first)
+    bounds = _quantiles(marked.filter("_hot"), "_axis", pieces)
+    heavy = sorted({a for a, b in zip(bounds, bounds[1:]) if a == b}) if second is not None else []
+    cut = _slotted(marked, "_axis", [*bounds, *(math.nextafter(v, math.inf) for v in heavy)], "_slot")
+    piece = F.col("_slot").cast("long") + 1
+    if heavy:
+        alone = F.coalesce(F.col("_axis").isin(heavy), F.lit(False))
+        cut = cut.withColumn("_axis2", F.when(alone, second))
+        cut = _slotted(cut, "_axis2", _quantiles(cut.filter("_hot"), "_axis2", pieces), "_slot2")
+        # nulls of the second column come first as well
+        piece = piece * (2 * pieces) + F.when(F.col("_axis2").isNotNull(), F.col("_slot2").cast("long") + 1).otherwise(0)
     # nulls sort first, so they stay in piece 0
-    piece = F.when(F.col("_hot") & F.col("_axis").isNotNull(), F.col("_slot").cast("int") + 1).otherwise(0)
-    return cut.withColumn("_piece", piece).drop("_axis", "_slot")
+    piece = F.when(F.col("_hot") & F.col("_axis").isNotNull(), piece).otherwise(0)
+    return cut.withColumn("_piece", piece).drop("_axis", "_slot", "_axis2", "_slot2")
 
 
 def _running(scan: Scan, keys: Sequence[str], order: Sequence[str]) -> Column:
@@ -177,9 +198,9 @@ def ordered_scan(
     keys, order = list(keys), list(order)
     if piece is None:
         hot = hot_keys(df, keys, skew) if skew is not None else None
-        if hot is None:
+        cut = None if hot is None else _cut_by_quantile(df, keys, order, skew, hot)
+        if cut is None:
             return df.select("*", *[_running(s, keys, order).alias(n) for n, s in scans.items()])
-        cut = _cut_by_quantile(df, keys, order[0], skew, hot)
         to_sum = cut.filter("_hot")
         cut = cut.drop("_hot")
     else:

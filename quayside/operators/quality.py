@@ -29,9 +29,10 @@ def standardised(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Every feature in population deviations from its mean; nulls stay out of the fit and stay null."""
     parts = [F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("deviation")).alias(c) for c in features]
     fit = df.agg(*parts).select(F.struct(*features).alias("fit")).scalar()
-    return df.withColumns(
-        {c: standardise(F.col(c), fit.getField(c).getField("mean"), fit.getField(c).getField("deviation")) for c in features}
-    )
+    fitted = df.withColumn("_fit", fit)
+    return fitted.withColumns(
+        {c: standardise(F.col(c), F.col(f"_fit.{c}.mean"), F.col(f"_fit.{c}.deviation")) for c in features}
+    ).drop("_fit")
 
 
 def class_parity(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -44,7 +45,7 @@ def class_parity(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame
         top, mean = F.col("_top"), F.col("_mean")
     else:
         stats = sizes.agg(*spread).select(F.struct("_top", "_mean").alias("s")).scalar()
-        sized, top, mean = sizes, stats.getField("_top"), stats.getField("_mean")
+        sized, top, mean = sizes.withColumn("_s", stats), F.col("_s._top"), F.col("_s._mean")
     deviation = F.abs(F.col("_n") / top - mean / top)
     rows = sized.withColumn("_d", deviation)
     score = metric_round(1 - F.avg("_d")).alias("class_parity")
@@ -208,14 +209,15 @@ def confident_joint(probabilities: DataFrame, classes: int) -> DataFrame:
     reached = F.array_compact(
         F.array(
             *[
-                F.when(F.col("p")[k] >= limits.getItem(k) - 1e-6, F.struct(F.col("p")[k].alias("p"), F.lit(-k).alias("k")))
+                F.when(F.col("p")[k] >= F.col("_limits")[k] - 1e-6, F.struct(F.col("p")[k].alias("p"), F.lit(-k).alias("k")))
                 for k in range(classes)
             ]
         )
     )
     guess = -F.array_max(reached).getField("k")
     return (
-        probabilities.select("class", guess.alias("guess"))
+        probabilities.withColumn("_limits", limits)
+        .select("class", guess.alias("guess"))
         .filter(F.col("guess").isNotNull())
         .groupBy("class", "guess")
         .agg(F.count(F.lit(1)).alias("n"))

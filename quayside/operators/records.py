@@ -70,6 +70,11 @@ def per_dataset_configs(requests: DataFrame, datasets: str = "datasets") -> Data
     return requests.withColumn("_dataset", F.explode(datasets)).drop(datasets).select("*", "_dataset.*").drop("_dataset")
 
 
+def with_request_id(requests: DataFrame, name: str = "request_id") -> DataFrame:
+    """A fresh random id per request."""
+    return requests.withColumn(name, F.uuid())
+
+
 def status_of(kind: Column, code: Column) -> Column:
     """Request status after an event: errors win, a response starts a request, a report finishes it."""
     return (

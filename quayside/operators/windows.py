@@ -212,6 +212,12 @@ def labelled(df: DataFrame, topology: str = "topology", label: str = "label", co
     )
 
 
-def first_occurrence(*frames: DataFrame) -> list[str]:
-    """Column names of frames set side by side, keeping each name once."""
-    return list(dict.fromkeys(c for frame in frames for c in frame.columns))
+def joined_once(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "full") -> DataFrame:
+    """Two blocks side by side on their keys; a column that both have comes from the left one."""
+    fresh = [c for c in right.columns if c in on or c not in left.columns]
+    return left.join(right.select(*fresh), list(on), how)
+
+
+def fixed_rate_second(position: Column, rate: int) -> Column:
+    """Whole second of a sample taken at a fixed rate."""
+    return F.floor(position / F.lit(rate))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from quayside.operators.windows import fixed_rate_second
+
 # fixed values: recording format
 SAMPLE_RATE = 8000
 SAMPLE_BYTES = 4
@@ -39,5 +41,5 @@ def read_signals(
     decoded = cut.select("file_id", "slice", F.posexplode(_decode("bytes")).alias("step", "value"))
     position = F.col("slice").cast("long") * slice_samples + F.col("step")
     return decoded.select(
-        "file_id", position.alias("pos"), F.floor(position / SAMPLE_RATE).cast("int").alias("second"), "value"
+        "file_id", position.alias("pos"), fixed_rate_second(position, SAMPLE_RATE).cast("int").alias("second"), "value"
     ).filter(F.col("pos") < samples)

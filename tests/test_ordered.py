@@ -58,6 +58,19 @@ def test_hot_scan_equals_plain_scan(skewed):
     assert rows(plain, "id", *scans()) == rows(hot, "id", *scans())
 
 
+def test_one_time_value_fills_most_of_a_hot_key(skewed):
+    heavy = skewed.withColumn("time", F.when(F.col("id") % 3 > 0, 25).otherwise(F.col("time")))
+    plain = ordered_scan(heavy, ["key"], ["time", "id"], scans(), None)
+    hot = ordered_scan(heavy, ["key"], ["time", "id"], scans(), FORCED)
+    assert rows(plain, "id", *scans()) == rows(hot, "id", *scans())
+
+
+def test_text_order_falls_back_to_a_plain_window(skewed):
+    named = skewed.withColumn("name", F.format_string("%05d", "id"))
+    got = ranked(named, ["key"], ["name"], skew=FORCED)
+    assert rows(got, "id", "rank") == rows(ranked(named, ["key"], ["id"], skew=None), "id", "rank")
+
+
 def test_hot_scan_over_timestamps(skewed):
     timed = skewed.withColumn("at", F.timestamp_seconds(F.col("time").cast("long") * 3600))
     plain = ranked(timed, ["key"], ["at", "id"], skew=None)

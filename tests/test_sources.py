@@ -61,6 +61,14 @@ def test_raw_signals(spark, tmp_path, slice_samples):
     assert got["N_H1"] == {0: 8 / 2**31, 1: 16 / 2**31, 2: 32 / 2**31}
 
 
+def test_signals_as_one_folder_per_recording(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "in" / f"{name}.raw").write_bytes(struct.pack("<2i", 1, 2))
+    write_partitions(read_signals(spark, str(tmp_path / "in")).select("file_id", "value"), str(tmp_path / "out"), ["file_id"])
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["file_id=a", "file_id=b"]
+
+
 def test_messages_are_normalised(spark):
     df = spark.createDataFrame([("{'name': 'e1', 'timestamp': 1704067261.7}",)], "value string")
     schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("timestamp", T.DoubleType())])
