@@ -6,10 +6,19 @@ from pyspark.sql import functions as F
 
 from quayside.catalog import cost, training, views
 from quayside.catalog.base import query, table
+from quayside.operators.rounds import closed_rounds, price_rounds
 from quayside.schemas import ROUND_KEYS
 from quayside.session import scratch
 from quayside.sources.sinks import append_batch
-from quayside.streaming.costs import dashboard_writer, drain, round_cost_stream, stored_dashboard, stored_rounds
+from quayside.streaming.costs import (
+    dashboard_writer,
+    drain,
+    fold_writer,
+    round_cost_stream,
+    stored_dashboard,
+    stored_folds,
+    stored_rounds,
+)
 from quayside.streaming.monitoring import gated_samples, online_spells
 from quayside.streaming.sources import configure_streams, table_stream
 
@@ -33,6 +42,14 @@ def _(spark, sf_dir):
     return rows.select(*ROUND_KEYS, F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "edge_id", *cost.COST_FIELDS)
 
 
+@query("round_cost_from_batch_folds", f"WITH {views.ROUNDS_SQL} SELECT {cost.COST_ROW_SQL} FROM round_cost")
+def _(spark, sf_dir):
+    path = scratch(spark, "folds")
+    messages = views.messages_of(_event_stream(spark, sf_dir))
+    drain(messages, fold_writer(path, views.MESSAGE_ORDER), scratch(spark, "log"), "append")
+    return closed_rounds(price_rounds(stored_folds(spark.read.parquet(path)), views.prices(spark, sf_dir)))
+
+
 @query("cost_dashboard_stream", training.DASHBOARD_SQL)
 def _(spark, sf_dir):
     path = scratch(spark, "points")

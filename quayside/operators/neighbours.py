@@ -23,6 +23,9 @@ from quayside.session import settle
 
 PIVOT_BYTES = 32 << 20
 RINGS = 64
+VISITS_AT_ONCE = 2_000_000
+# a table of that many small rows may be broadcast
+FEW_SLOTS = 1_000_000
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -108,19 +111,20 @@ def _search(points: DataFrame, rows: int, block: int) -> DataFrame:
     sizes = ringed.groupBy("cell", "ring").agg(
         F.count(F.lit(1)).alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")
     )
-    blocks = sizes.toPandas().sort_values(["cell", "ring"], ignore_index=True)
-    blocks["shards"] = -(-blocks["n"] // block)
-    number = {(c, r): i for i, (c, r) in enumerate(zip(blocks["cell"], blocks["ring"]))}
-    shards = blocks["shards"].to_numpy()
-    cells, low, high = (blocks[c].to_numpy() for c in ("cell", "low", "high"))
+    areas = sizes.toPandas().sort_values(["cell", "ring"], ignore_index=True)
+    number = {(c, r): i for i, (c, r) in enumerate(zip(areas["cell"], areas["ring"]))}
+    cells, low, high = (areas[c].to_numpy() for c in ("cell", "low", "high"))
+    shards = (-(-areas["n"] // block)).to_numpy()
+    first = np.cumsum(shards) - shards
+    slots = int(shards.sum())
 
-    @F.pandas_udf("area int, shard int")
-    def block_of(cell: pd.Series, ring: pd.Series, hashed: pd.Series) -> pd.DataFrame:
-        area = np.array([number[key] for key in zip(cell, ring)], "int32")
-        return pd.DataFrame({"area": area, "shard": (hashed.to_numpy() % shards[area]).astype("int32")})
+    @F.pandas_udf("int")
+    def slot_of(cell: pd.Series, ring: pd.Series, hashed: pd.Series) -> pd.Series:
+        area = np.array([number[key] for key in zip(cell, ring)], "int64")
+        return pd.Series((first[area] + hashed.to_numpy() % shards[area]).astype("int32"))
 
     members = settle(
-        ringed.withColumn("_in", block_of("cell", "ring", uniform_hash("id", seed=7))).select("id", "x", "second", "_in.*")
+        ringed.select("id", "x", "second", slot_of("cell", "ring", uniform_hash("id", seed=7)).alias("slot"))
     )
 
     def inside(frame: pd.DataFrame) -> pd.DataFrame:
@@ -129,54 +133,55 @@ def _search(points: DataFrame, rows: int, block: int) -> DataFrame:
         return _best(ids[ask], vectors[ask], ids, vectors)
 
     # a point with a copy knows its neighbour already and is only looked at, never asks
-    own = settle(members.groupBy("area", "shard").applyInPandas(inside, FOUND))
+    own = settle(members.groupBy("slot").applyInPandas(inside, FOUND))
     asking = members.filter(F.col("second").isNull()).join(own.select("id", "square"), "id", "left")
 
-    def reachable(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, area, shard) of every block that may hold something at least as near."""
-        distances = _pivot_distances(_matrix(frame["x"]), pivots)[:, cells]
-        least = np.maximum(0.0, np.maximum(low[None, :] - distances, distances - high[None, :]))
-        limit = np.sqrt(frame["square"].fillna(np.inf).to_numpy())
-        row, area = np.nonzero(least <= limit[:, None] * (1 + 1e-9) + 1e-12)
-        repeat = shards[area]
-        first = np.repeat(np.cumsum(repeat) - repeat, repeat)
-        row, area = np.repeat(row, repeat), np.repeat(area, repeat)
-        shard = np.arange(len(area)) - first
-        other = (area != frame["area"].to_numpy()[row]) | (shard != frame["shard"].to_numpy()[row])
-        return row[other], area[other], shard[other]
+    def reachable(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, slot) of every other block that may hold something at least as near, in small portions."""
+        portion = max(1, VISITS_AT_ONCE // slots)
+        for start in range(0, len(frame), portion):
+            part = frame.iloc[start : start + portion]
+            distances = _pivot_distances(_matrix(part["x"]), pivots)[:, cells]
+            least = np.maximum(0.0, np.maximum(low[None, :] - distances, distances - high[None, :]))
+            limit = np.sqrt(part["square"].fillna(np.inf).to_numpy())
+            row, area = np.nonzero(least <= limit[:, None] * (1 + 1e-9) + 1e-12)
+            repeat = shards[area]
+            within = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+            row, slot = np.repeat(row, repeat), np.repeat(first[area], repeat) + within
+            other = slot != part["slot"].to_numpy()[row]
+            yield start + row[other], slot[other]
 
     def count_visits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(slots, "int64")
         for frame in frames:
-            _, area, shard = reachable(frame)
-            yield pd.DataFrame({"area": area, "shard": shard}).value_counts().rename("visits").reset_index()
+            for _, slot in reachable(frame):
+                total += np.bincount(slot, minlength=slots)
+        visited = np.nonzero(total)[0]
+        yield pd.DataFrame({"slot": visited.astype("int32"), "visits": total[visited]})
 
     visits = (
-        asking.mapInPandas(count_visits, "area int, shard int, visits long")
-        .groupBy("area", "shard")
+        asking.mapInPandas(count_visits, "slot int, visits long")
+        .groupBy("slot")
         .agg(F.ceil(F.sum("visits") / (4 * block)).cast("int").alias("lanes"))
     )
     lanes = settle(visits)
+    if slots <= FEW_SLOTS:
+        lanes = F.broadcast(lanes)
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            row, area, shard = reachable(frame)
-            for start in range(0, len(row), 4096):
-                part = slice(start, start + 4096)
-                yield pd.DataFrame(
-                    {
-                        "id": frame["id"].to_numpy()[row[part]],
-                        "x": frame["x"].to_numpy()[row[part]],
-                        "area": area[part],
-                        "shard": shard[part],
-                    }
-                )
+            names, vectors = frame["id"].to_numpy(), frame["x"].to_numpy()
+            for row, slot in reachable(frame):
+                for start in range(0, len(row), 4096):
+                    part = slice(start, start + 4096)
+                    yield pd.DataFrame({"id": names[row[part]], "x": vectors[row[part]], "slot": slot[part]})
 
     visitors = (
-        asking.mapInPandas(visit, "id long, x array<double>, area int, shard int")
-        .join(lanes, ["area", "shard"])
+        asking.mapInPandas(visit, "id long, x array<double>, slot int")
+        .join(lanes, "slot")
         .withColumn("lane", F.pmod(F.xxhash64("id"), F.col("lanes")).cast("int"))
     )
-    hosts = members.join(lanes, ["area", "shard"]).withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+    hosts = members.join(lanes, "slot").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
 
     def meet(guests: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         if guests.empty or members.empty:
@@ -185,11 +190,10 @@ def _search(points: DataFrame, rows: int, block: int) -> DataFrame:
             guests["id"].to_numpy(), _matrix(guests["x"]), members["id"].to_numpy(), _matrix(members["x"])
         )
 
-    where = ["area", "shard", "lane"]
     elsewhere = (
-        visitors.select("id", "x", *where)
-        .groupBy(*where)
-        .cogroup(hosts.select("id", "x", *where).groupBy(*where))
+        visitors.select("id", "x", "slot", "lane")
+        .groupBy("slot", "lane")
+        .cogroup(hosts.select("id", "x", "slot", "lane").groupBy("slot", "lane"))
         .applyInPandas(meet, FOUND)
     )
     nearest = own.unionByName(elsewhere).groupBy("id").agg(F.min(F.struct("square", "neighbour")).alias("_best"))

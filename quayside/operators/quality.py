@@ -126,9 +126,14 @@ def relevance_score(importances: Column, alpha: float = 0.9) -> Column:
     return metric_round(F.lit(alpha) * spread + F.lit(1 - alpha) * top_mean(importances, 3))
 
 
+MOST_CLASSES = 10_000
+
+
 def _indexed(df: DataFrame, label: str) -> tuple[DataFrame, list]:
-    """Add the dense class number; the classes of a label column are few by definition."""
-    classes = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
+    """Add the dense class number. A column with very many values is no class label and is refused."""
+    classes = [r[0] for r in df.select(label).distinct().orderBy(label).limit(MOST_CLASSES + 1).collect()]
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"{label} has more than {MOST_CLASSES} classes")
     entries = [x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))]
     return df.withColumn("_class", F.create_map(*entries)[F.col(label)]), classes
 

@@ -82,11 +82,44 @@ def fold_rounds(
         F.max("timestamp").alias("timestamp"),
         F.min_by("edge_id", F.when(F.col("edge_id").isNotNull(), position)).alias("edge_id"),
         F.count(F.lit(1)).alias("msg_count"),
+        F.max("resource_monitor.cpu_percentage").alias("max_cpu"),
+        F.max("resource_monitor.memory_usage").alias("max_memory"),
         F.max_by(closing, F.when(F.col("quality_of_model").isNotNull(), position)).alias("closing"),
     )
     return folded.withColumn("done", F.col("closing").isNotNull())
 
 
+def merge_folds(
+    folds: DataFrame,
+    part: str,
+    keys: Sequence[str] = tuple(ROUND_KEYS),
+    skew: Skew | None = DEFAULT_SKEW,
+) -> DataFrame:
+    """Folds of consecutive parts of the messages to the fold of all of them.
+
+    The last part that closes a round decides it; its peaks also count what earlier parts saw.
+    """
+    scans = {
+        "_cpu": Scan("max", F.col("max_cpu"), inclusive=False),
+        "_memory": Scan("max", F.col("max_memory"), inclusive=False),
+    }
+    seen = ordered_scan(folds, keys, [part], scans, skew)
+    closing = F.struct(
+        F.greatest("_cpu", "closing.peak_cpu").alias("peak_cpu"),
+        F.greatest("_memory", "closing.peak_memory").alias("peak_memory"),
+        *[F.col(f"closing.{c}") for c in ("pre", "post", "test", "duration")],
+    )
+    merged = seen.groupBy(*keys).agg(
+        F.max("timestamp").alias("timestamp"),
+        F.min_by("edge_id", F.when(F.col("edge_id").isNotNull(), F.col(part))).alias("edge_id"),
+        F.sum("msg_count").alias("msg_count"),
+        F.max("max_cpu").alias("max_cpu"),
+        F.max("max_memory").alias("max_memory"),
+        F.max_by(closing, F.when(F.col("done"), F.col(part))).alias("closing"),
+    )
+    return merged.withColumn("done", F.col("closing").isNotNull())
+
+
 def price_rounds(
     rounds: DataFrame,
     prices: DataFrame,

@@ -6,12 +6,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayside.catalog import views
-from quayside.operators.rounds import decode_messages, flatten_messages
+from quayside.operators.ordered import Skew
+from quayside.operators.rounds import closed_rounds, decode_messages, flatten_messages, price_rounds
 from quayside.plans.dashboard import cost_dashboard
 from quayside.plans.round_cost import round_cost
 from quayside.schemas import COST_COLUMNS
 from quayside.sources.sinks import append_batch, as_json, measurement_points, stream_sink
-from quayside.streaming.costs import dashboard_writer, drain, folded_stream, round_cost_stream, stored_dashboard, stored_rounds
+from quayside.streaming.costs import (
+    dashboard_writer,
+    drain,
+    fold_writer,
+    folded_stream,
+    round_cost_stream,
+    stored_dashboard,
+    stored_folds,
+    stored_rounds,
+)
 from quayside.streaming.monitoring import gated_samples, heartbeats, online_spells
 from quayside.streaming.sources import ProgressLog, configure_streams, kafka_options, replay_stream, table_stream
 
@@ -45,6 +55,19 @@ def test_stream_equals_batch_over_many_small_batches(spark, ordered_files, tmp_p
     assert as_rows(stored_rounds(written), COST_COLUMNS) == as_rows(batch, COST_COLUMNS)
 
 
+@pytest.mark.parametrize("skew", [None, Skew(0.01, 3, 5)])
+def test_batch_folds_merge_to_the_whole(spark, ordered_files, tmp_path, skew):
+    folder, rows = ordered_files
+    # few rounds, so that a round spans batches and holds a large share of one
+    schema = rows.schema
+    stream = table_stream(spark, folder, schema, files_per_batch=3).withColumn("train_round", F.lit(1))
+    drain(stream, fold_writer(str(tmp_path / "out"), views.MESSAGE_ORDER, skew), str(tmp_path / "log"), "append")
+    prices = views.prices(spark, "/root/testdata/sf0.001")
+    got = closed_rounds(price_rounds(stored_folds(spark.read.parquet(str(tmp_path / "out"))), prices))
+    want = round_cost(rows.withColumn("train_round", F.lit(1)), prices, views.MESSAGE_ORDER)
+    assert as_rows(got, COST_COLUMNS) == as_rows(want, COST_COLUMNS)
+
+
 def test_dashboard_stream_equals_batch(spark, ordered_files, tmp_path):
     folder, rows = ordered_files
     prices = views.prices(spark, "/root/testdata/sf0.001")
