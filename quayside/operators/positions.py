@@ -24,15 +24,17 @@ def uniform_hash(*columns: str, seed: int = 42) -> Column:
 
 
 def rows_at(
-    df: DataFrame, keys: Sequence[str], hashed: str, ties: Sequence[str], wanted: DataFrame, rows: int
+    df: DataFrame, keys: Sequence[str], hashed: str, ties: Sequence[str], wanted: DataFrame, rows: int, asked: int
 ) -> DataFrame:
     """The rows of ``df`` at the wanted positions, with the columns of ``wanted``.
 
     ``wanted`` has the keys and a 1-based ``rank`` within the key, each pair once; without keys the
-    rank runs over all rows. ``rows`` is the size of ``df`` and sets the number of slices.
+    rank runs over all rows. ``rows`` and ``asked``, the sizes of ``df`` and ``wanted``, set the number
+    of slices: slices are small, and most of them are not asked for.
     """
     keys, ties = list(keys), list(ties)
-    slices = max(64, min(MOST_SLICES, rows // ROWS_PER_SLICE))
+    fine = max(1024, rows // ROWS_PER_SLICE, 32 * asked)
+    slices = max(1, min(MOST_SLICES, fine, rows // 8))
     where = [*keys, "_slice"]
     sliced = df.withColumn("_slice", F.floor(F.col(hashed) * F.lit(slices) / F.lit(HASH_SPAN)).cast("int"))
     # at most `slices` rows per key
@@ -42,15 +44,16 @@ def rows_at(
     starts = counts.select(
         *keys, (start + 1).alias("rank"), F.struct(F.col("_slice"), start.alias("_start")).alias("_in")
     ).withColumn("_asked", F.lit(0))
-    asked = wanted.withColumns({"rank": F.col("rank").cast("long"), "_asked": F.lit(1)})
+    questions = wanted.withColumns({"rank": F.col("rank").cast("long"), "_asked": F.lit(1)})
     located = (
         ordered_scan(
-            starts.unionByName(asked, allowMissingColumns=True),
+            starts.unionByName(questions, allowMissingColumns=True),
             keys,
             ["rank", "_asked"],
             {"_at": Scan("last", F.col("_in"))},
             None,
-            F.floor(F.col("rank") * 256 / F.lit(rows + 1)).cast("int"),
+            # few enough slices and questions are one small window
+            None if slices + asked <= MOST_SLICES else F.floor(F.col("rank") * 256 / F.lit(rows + 1)).cast("int"),
         )
         .filter("_asked = 1")
         .select(*wanted.columns, "_at._slice", (F.col("rank") - F.col("_at._start")).alias("_place"))

@@ -36,7 +36,7 @@ def sample_with_replacement(
         .groupBy("rank")
         .agg(F.count(F.lit(1)).cast("int").alias("_times"))
     )
-    picked = rows_at(hashed, [], "_hash", key, draws, rows)
+    picked = rows_at(hashed, [], "_hash", key, draws, rows, number)
     copies = picked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return copies.select(*df.columns)
 
@@ -69,5 +69,5 @@ def contiguous_folds(
         raise ValueError(f"{rows} rows cannot be cut into {folds} folds")
     hashed = df.withColumn("_hash", row_hash if row_hash is not None else uniform_hash(*key, seed=seed))
     firsts = df.sparkSession.range(1, rows // size).select((F.col("id") * size + 1).alias("rank"))
-    cuts = rows_at(hashed.select("_hash", *key), [], "_hash", key, firsts, rows).collect()
+    cuts = rows_at(hashed.select("_hash", *key), [], "_hash", key, firsts, rows, rows // size).collect()
     return hashed.withColumn("fold", passed(["_hash", *key], hashed, cuts)).select(*df.columns, "fold")

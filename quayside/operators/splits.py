@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quayside.operators.ordered import DEFAULT_SKEW, Scan, Skew, lookup, ordered_scan
 from quayside.operators.positions import passed, reached, rows_at, uniform_hash
@@ -135,10 +134,18 @@ def _collected(
     """The few rows at wanted (keys, rank, use), each use of a row once."""
     if not wanted:
         return []
-    fields = [df.schema[k] for k in keys]
-    schema = T.StructType([*fields, T.StructField("rank", T.LongType()), T.StructField("use", T.StringType())])
-    uses = df.sparkSession.createDataFrame(wanted, schema)
-    ranks = uses.groupBy(*keys, "rank").agg(F.collect_list("use").alias("uses"))
+    uses: dict[tuple, list[str]] = {}
+    for *place, use in wanted:
+        uses.setdefault(tuple(place), []).append(use)
+    entries = [
+        F.struct(
+            *[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, place)],
+            F.lit(place[-1]).cast("long").alias("rank"),
+            F.array(*map(F.lit, names)).alias("uses"),
+        )
+        for place, names in uses.items()
+    ]
+    ranks = df.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*entries)))
     narrow = rows_of.select(*dict.fromkeys([*keys, hashed, *key]))
-    found = rows_at(narrow, keys, hashed, key, ranks, rows)
+    found = rows_at(narrow, keys, hashed, key, ranks, rows, len(wanted))
     return found.select(*narrow.columns, F.explode("uses").alias("use")).collect()

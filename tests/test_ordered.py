@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quayside.operators import positions
 from quayside.operators.ordered import Scan, Skew, hot_keys, lookup, ordered_scan, ranked
 from quayside.operators.positions import rows_at, uniform_hash
 from quayside.operators.rounds import fold_rounds
@@ -78,15 +79,17 @@ def test_hot_scan_over_timestamps(skewed):
     assert rows(plain, "id", "rank") == rows(hot, "id", "rank")
 
 
+@pytest.mark.parametrize("most", [1_000_000, 40])
 @pytest.mark.parametrize("keys", [[], ["half"]])
-def test_rows_at_positions(spark, skewed, keys):
+def test_rows_at_positions(spark, skewed, monkeypatch, keys, most):
+    monkeypatch.setattr(positions, "MOST_SLICES", most)
     hashed = skewed.select("id", (F.col("id") % 2).alias("half"), uniform_hash("id").alias("h"))
     groups = {}
     for r in sorted(hashed.collect(), key=lambda r: (r["h"], r["id"])):
         groups.setdefault(tuple(r[k] for k in keys), []).append(r["id"])
     asked = [(*g, rank) for g, ids in groups.items() for rank in (1, 2, 17, len(ids) // 2, len(ids))]
     wanted = spark.createDataFrame(asked, ", ".join([*[f"{k} long" for k in keys], "rank long"]))
-    got = rows_at(hashed, keys, "h", ["id"], wanted, 600).collect()
+    got = rows_at(hashed, keys, "h", ["id"], wanted, 600, len(asked)).collect()
     assert sorted((*[r[k] for k in keys], r["rank"], r["id"]) for r in got) == sorted(
         (*a, groups[a[:-1]][a[-1] - 1]) for a in asked
     )
