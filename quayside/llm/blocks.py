@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayside.session import scratch
+
 #: Bytes of text handled at a time inside a task; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -67,6 +69,46 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values
 
 
+_rng = np.random.default_rng(20240101)
+BYTE_VALUES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
+_POWER = 0x9E3779B97F4A7C15
+_POWERS = np.multiply.accumulate(np.full(BLOCK_BYTES, np.uint64(_POWER)))
+_INVERSES = np.multiply.accumulate(np.full(BLOCK_BYTES, np.uint64(pow(_POWER, -1, 1 << 64))))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd multiplier modulo 2**64, and their inverses."""
+    if n <= BLOCK_BYTES:
+        return _POWERS[:n], _INVERSES[:n]
+    return tuple(np.multiply.accumulate(np.full(n, x[0])) for x in (_POWERS, _INVERSES))
+
+
+_WORD_BYTE = np.ones(256, bool)
+_WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_WORD_VALUES = BYTE_VALUES[_LOWER]
+
+
+def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, in order, and how many each row has."""
+    data = block.data
+    inside = _WORD_BYTE[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    filled = block.starts[block.ends > block.starts]
+    first[filled] = inside[filled]
+    last[filled[1:] - 1] = inside[filled[1:] - 1]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    power, inverse = powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_WORD_VALUES[data] * power, out=sums[1:])
+    hashes = mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+    bounds = np.searchsorted(starts, np.concatenate([block.starts, block.ends[-1:]]))
+    return hashes, np.diff(bounds)
+
+
 def record_batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(columns[field.name], field.type) for field in schema], schema=schema)
 
@@ -83,3 +125,10 @@ def fold_of(doc_id: str, folds: int):
 def total_bytes(df: DataFrame, text: str) -> int:
     """Bytes of all texts: one pass that sizes the number of partitions."""
     return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result as Parquet in the shared folder and read it back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
