@@ -352,7 +352,7 @@ def without_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
     schema = T.StructType(
         [*fields, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())]
     )
-    out = to_arrow_schema(schema, timezone="UTC")
+    out = to_arrow_schema(schema)
     by_batch = placed.groupBy("batch")
     sent = by_batch.applyInArrow(lambda key, t: contexts(key[0].as_py(), t, length, batches), MESSAGE)
     answers = sent.groupBy("to").applyInArrow(lambda key, t: resolve(key[0].as_py(), t, most_contexts), MESSAGE)

@@ -198,12 +198,15 @@ def records(stream, file: str, keep_payload: bool = True) -> Iterator[dict[str,
     while data or (data := stream.read(CHUNK)):
         if unpack is None:
             unpack, current, size = zlib.decompressobj(31), _Record(keep_payload), 0
-        before = len(data)
-        current.feed(unpack.decompress(data, CHUNK))
-        while unpack.unconsumed_tail:
-            current.feed(unpack.decompress(unpack.unconsumed_tail, CHUNK))
+        size += len(data)
+        while True:
+            part = unpack.decompress(data, CHUNK)
+            current.feed(part)
+            data = unpack.unconsumed_tail
+            if unpack.eof or (not data and len(part) < CHUNK):
+                break
         data = unpack.unused_data
-        size += before - len(data)
+        size -= len(data)
         if unpack.eof:
             yield current.row(file, offset)
             offset, unpack = offset + size, None
