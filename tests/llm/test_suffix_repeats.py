@@ -24,8 +24,7 @@ def brute(rows, length=100):
 
 
 def check(spark, rows, length=100, **settings):
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    frame = frame.withColumnRenamed("text", "t").withColumn("text", frame["text"])
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("doc_id", "text", "text AS t")
     got = sr.without_repeats(frame, length, carry=("t",), **settings).collect()
     want = brute(rows, length)
     assert len(got) == len(rows)
