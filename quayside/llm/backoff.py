@@ -3,7 +3,9 @@
 The count tables are partitioned by hash of the n-gram. Every batch of documents explodes its texts to n-grams,
 folds equal ones and sends each hash with its count to the bucket that holds it. The bucket joins what it gets
 with the sums over all batches and returns the sums. The batch looks its n-grams up in them and adds the
-logarithms per document. No n-gram is a hot key: it is sent once a batch, however frequent it is.
+logarithms per document. This goes round once for every length: an n-gram of the required count has both its
+parts that often, so longer ones are only sent if the sums of their parts allow it. No n-gram is a hot key: it
+is sent once a batch, however frequent it is.
 """
 
 from __future__ import annotations
@@ -40,35 +42,61 @@ def ngrams(hashes: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray
     return out
 
 
-def counted(hashes: np.ndarray, sizes: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """n-grams by order, then all different ones in order of their hash with their counts; hash 0 counts the words."""
-    place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    by_order = ngrams(hashes, place, order)
-    different, counts = np.unique(np.concatenate([g[g > 0] for g in by_order]), return_counts=True)
-    return by_order, np.concatenate([[np.uint64(0)], different]), np.concatenate([[len(hashes)], counts])
-
-
-def bounds(different: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's hashes begin and end: buckets are ranges of the highest 24 bits."""
-    return np.searchsorted((different >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24), np.arange(buckets + 1))
-
-
-def explode(batch: int, table: pa.Table, order: int, buckets: int) -> pa.Table:
-    _, different, counts = counted(*words(table), order)
-    edges = bounds(different, buckets)
+class Text:
+    """The n-grams of a batch's texts, and what is known of their counts so far."""
+
+    def __init__(self, docs: pa.Table, order: int, buckets: int, least: int) -> None:
+        hashes, self.sizes = words(docs)
+        self.words, self.buckets, self.least = len(hashes), buckets, least
+        place = np.arange(len(hashes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.by_order = ngrams(hashes, place, order)
+        self.counts: list[np.ndarray] = []
+
+    def wanted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where an n-gram of the next length may have the required count; the different ones, their counts.
+
+        Hash 0 stands for the number of words and is sent with the single words.
+        """
+        n = len(self.counts) + 1
+        mask = self.by_order[n - 1] > 0
+        if n > 1:
+            often = self.counts[-1] >= self.least
+            mask[1:] &= often[1:] & often[:-1]
+        different, counts = np.unique(self.by_order[n - 1][mask], return_counts=True)
+        if n == 1:
+            different, counts = np.concatenate([[np.uint64(0)], different]), np.concatenate([[self.words], counts])
+        return mask, different, counts
+
+    def learn(self, table: pa.Table) -> None:
+        """Take in the sums of the next length; n-grams that were not sent count 0."""
+        n = len(self.counts) + 1
+        mask, different, _ = self.wanted()
+        rows = sorted((b, f) for k, b, f in zip(*(table[c].to_pylist() for c in ("kind", "n", "f0")), strict=True) if k == n)
+        sums = np.concatenate([np.zeros(0, np.int64), *(unpack(f).astype(np.int64) for _, f in rows)])
+        if n == 1:
+            self.all_words = int(sums[0])
+        counts = np.zeros(self.words, np.int64)
+        counts[mask] = sums[np.searchsorted(different, self.by_order[n - 1][mask])]
+        self.counts.append(counts)
+
+
+def explode(batch: int, docs: pa.Table, table: pa.Table | None, n: int, buckets: int, least: int) -> pa.Table:
+    """The n-grams of one length, to buckets that are ranges of the highest 24 bits of the hash."""
+    text = Text(docs, n, buckets, least)
+    for _ in range(n - 1):
+        text.learn(table)
+    _, different, counts = text.wanted()
+    edges = np.searchsorted((different >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24), np.arange(buckets + 1))
     rows = []
     for bucket in np.flatnonzero(np.diff(edges)):
-        own = different[edges[bucket] : edges[bucket + 1]]
-        rows.append(
-            (int(bucket), 0, batch, own.astype(np.uint32).tobytes(), (own >> np.uint64(32)).astype(np.uint16).tobytes(),
-             pack(counts[edges[bucket] : edges[bucket + 1]]))
-        )
+        part = slice(edges[bucket], edges[bucket + 1])
+        rows.append((int(bucket), n, batch, different[part].astype(np.uint32).tobytes(), (different[part] >> np.uint64(32)).astype(np.uint16).tobytes(), pack(counts[part])))
     return messages(rows)
 
 
 def total(bucket: int, table: pa.Table) -> pa.Table:
     """The sums of the counts that the batches have sent, to each batch in the order of its hashes."""
-    rows = [r for r in table.to_pylist()]
+    rows = table.to_pylist()
     low = np.concatenate([np.frombuffer(r["f0"], np.uint32) for r in rows])
     high = np.concatenate([np.frombuffer(r["f1"], np.uint16) for r in rows])
     counts = np.concatenate([unpack(r["f2"]).astype(np.int64) for r in rows])
@@ -76,7 +104,7 @@ def total(bucket: int, table: pa.Table) -> pa.Table:
     sums = np.zeros(int(which.max()) + 1, np.int64)
     np.add.at(sums, which, counts)
     ends = np.cumsum([len(r["f0"]) // 4 for r in rows])
-    return messages([(r["n"], 0, bucket, pack(part)) for r, part in zip(rows, np.split(sums[which], ends[:-1]), strict=True)])
+    return messages([(r["n"], r["kind"], bucket, pack(part)) for r, part in zip(rows, np.split(sums[which], ends[:-1]), strict=True)])
 
 
 def word_scores(by_order: list[np.ndarray], counts: list[np.ndarray], all_words: int, least: int, backoff: float) -> np.ndarray:
@@ -90,14 +118,12 @@ def word_scores(by_order: list[np.ndarray], counts: list[np.ndarray], all_words:
     return np.log(score)
 
 
-def score(docs: pa.Table, table: pa.Table, order: int, least: int, backoff: float) -> pa.Table:
-    hashes, sizes = words(docs)
-    by_order, different, _ = counted(hashes, sizes, order)
-    order_of_buckets = np.argsort(table["n"].to_numpy())
-    packed = table["f0"].to_pylist()
-    sums = np.concatenate([unpack(packed[i]).astype(np.int64) for i in order_of_buckets])
-    counts = [sums[np.searchsorted(different, grams)] for grams in by_order]
-    by_word = word_scores(by_order, counts, int(sums[0]), least, backoff)
+def score(docs: pa.Table, table: pa.Table, order: int, buckets: int, least: int, backoff: float) -> pa.Table:
+    text = Text(docs, order, buckets, least)
+    for _ in range(order):
+        text.learn(table)
+    sizes = text.sizes
+    by_word = word_scores(text.by_order, text.counts, text.all_words, least, backoff)
     sums_by_word = np.bincount(np.repeat(np.arange(len(sizes)), sizes), by_word, len(sizes))
     return pa.table(
         {
@@ -121,10 +147,20 @@ def scores(docs: DataFrame, order: int = 3, least: int = 2, backoff: float = 0.4
     batches = max(1, -(-total_bytes(docs, "text") // BATCH_BYTES))
     placed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     by_batch = placed.groupBy("batch")
-    sent = by_batch.applyInArrow(lambda key, t: explode(key[0].as_py(), t, order, batches), MESSAGE)
-    totals = sent.groupBy("to").applyInArrow(lambda key, t: total(key[0].as_py(), t), MESSAGE)
-    return by_batch.cogroup(totals.groupBy("to")).applyInArrow(
-        lambda key, d, t: score(d, t, order, least, backoff), "doc_id long, n_tokens long, score double, per_token double"
+
+    def longer(n: int):
+        return lambda key, d, t: explode(key[0].as_py(), d, t, n, batches, least)
+
+    known: DataFrame | None = None
+    for n in range(1, order + 1):
+        if known is None:
+            sent = by_batch.applyInArrow(lambda key, d: explode(key[0].as_py(), d, None, 1, batches, least), MESSAGE)
+        else:
+            sent = by_batch.cogroup(known.groupBy("to")).applyInArrow(longer(n), MESSAGE)
+        sums = sent.groupBy("to").applyInArrow(lambda key, t: total(key[0].as_py(), t), MESSAGE)
+        known = sums if known is None else known.union(sums)
+    return by_batch.cogroup(known.groupBy("to")).applyInArrow(
+        lambda key, d, t: score(d, t, order, batches, least, backoff), "doc_id long, n_tokens long, score double, per_token double"
     )
 
 
