@@ -149,24 +149,24 @@ class Reader:
             words += [w for w in WORDS.findall(decode(core, self._logs)) if w not in words]
         return words
 
-    def _of_token(self, token: str) -> frozenset:
-        found = self._known.get(token)
-        if found is None:
-            found = frozenset(x for word in self.words_of(token) for x in self._meaning(word))
-            if len(self._known) >= MOST_TOKENS:
-                self._known.clear()
-            if len(token) < 100:
-                self._known[token] = found
+    def _of_token(self, token: str) -> tuple:
+        found = tuple(x for word in self.words_of(token) for x in self._meaning(word))
+        if len(self._known) >= MOST_TOKENS:
+            self._known.clear()
+        if len(token) < 100:
+            self._known[token] = found
         return found
 
-    def read(self, text: str) -> set:
-        """What all words of a text mean; letters spaced out one by one are also read together."""
-        tokens = text.lower().split()
-        found = set().union(*map(self._of_token, set(tokens)))
+    def read(self, text: str) -> tuple[int, list]:
+        """The number of tokens, and what all words mean, one by one; letters spaced out are also read together."""
+        tokens, found, known = text.lower().split(), [], self._known
+        for token in tokens:
+            own = known.get(token)
+            found += self._of_token(token) if own is None else own
         for run in re.finditer("1{3,}", "".join(["1" if len(t) == 1 else "0" for t in tokens])):
             for word in WORDS.findall(decode(" ".join(tokens[run.start() : run.end()]), self._logs)):
-                found.update(self._meaning(word))
-        return found
+                found += self._meaning(word)
+        return len(tokens), found
 
 
 def stems(word: str) -> list[str]:
@@ -177,16 +177,22 @@ def stems(word: str) -> list[str]:
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
-    slope: float
-    offset: float
+    curve: tuple[float, ...]
+
+    def evidence(self, word: str) -> tuple[tuple[str, float], ...]:
+        """The word's strongest stem with its weight, if it has one."""
+        known = [(self.weights[s], s) for s in stems(word) if s in self.weights]
+        return ((max(known)[1], max(known)[0]),) if known else ()
+
+    def score(self, points: tuple[float, ...]) -> float:
+        x = sum(a * b for a, b in zip(self.curve, points, strict=True))
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
 
-    def strongest(self, word: str) -> tuple[str, ...]:
-        known = [s for s in stems(word) if s in self.weights]
-        return (max(known, key=lambda s: (self.weights[s], s)),) if known else ()
 
-    def score(self, found: Iterable[str]) -> float:
-        x = self.offset + self.slope * sum(self.weights[s] for s in sorted(found))
-        return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+def points(size: int, found: list[tuple[str, float]]) -> tuple[float, ...]:
+    """What the curve sees of a text: the weights of its different stems, the weight per hundred words, and 1."""
+    different = math.fsum(dict(found).values())
+    return different, 100 * math.fsum(w for _, w in found) / (size + 10), 1.0
 
 
 def _read_rows(frame: DataFrame, sent, schema: str, make: Callable) -> DataFrame:
@@ -213,7 +219,7 @@ def _sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, labelled: Column, logs: np.ndarray, settings: Settings = Settings()) -> Model:
-    """Stems that only toxic documents have, with log odds as weights, and the curve from their sum to a score.
+    """Stems that tell toxic documents, with log odds as weights, and a logistic curve from their sums to a score.
 
     Of the rows of ``labels`` for which ``labelled`` holds, a sample of bounded size is joined to the documents;
     a document with several labels counts as toxic if one says so. Near copies count once: they would make all
@@ -239,7 +245,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: Column, logs: np.ndarray
     ids, toxic = set(single["doc_id"]), int((single["toxic"] > 0).sum())
     clean = len(single) - toxic
     share = (toxic + 0.5) / (len(single) + 1)
-    prior = Model({}, 0.0, math.log(share / (1 - share)))
+    prior = Model({}, (0.0, 0.0, math.log(share / (1 - share))))
     if not toxic:
         return prior
 
@@ -250,7 +256,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: Column, logs: np.ndarray
             for batch in batches:
                 for text, doc_id, label in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     if doc_id in ids and (label > 0) == bool(wanted):
-                        found = reader.read(text or "")
+                        found = set(reader.read(text or "")[1])
                         sums.update(found if only is None else found & only)
             if sums:
                 yield record_batch({"stem": list(sums), "n": list(sums.values())}, pa.schema([("stem", pa.string()), ("n", pa.int64())]))
@@ -273,30 +279,30 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: Column, logs: np.ndarray
         if odds > 1 and ratio >= settings.sure:
             rated.append((ratio, stem, min(odds, 8.0)))
     weights = {stem: odds for _, stem, odds in sorted(rated, reverse=True)[: settings.stems]}
-    model = Model(weights, 1.0, 0.0)
+    model = Model(weights, ())
 
-    def evidence(logs, batches):
-        reader = Reader(logs, model.strongest)
-        schema = pa.schema([("x", pa.float64()), ("toxic", pa.int32())])
+    def seen(logs, batches):
+        reader = Reader(logs, model.evidence)
+        schema = pa.schema([("toxic", pa.int32()), *((f"p{i}", pa.float64()) for i in range(3))])
         for batch in batches:
-            found = [reader.read(t or "") for t in batch.column(0).to_pylist()]
-            yield record_batch({"x": [sum(weights[s] for s in f) for f in found], "toxic": batch.column(2)}, schema)
+            p = [points(*reader.read(t or "")) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array([x[i] for x in p], pa.float64()) for i in range(3))], schema=schema)
 
-    fitted = _read_rows(sample, sent, "x double, toxic int", evidence).toPandas()
-    return Model(weights, *curve(fitted["x"].to_numpy(float), fitted["toxic"].to_numpy() > 0))
+    fit = _read_rows(sample, sent, "toxic int, p0 double, p1 double, p2 double", seen).toPandas()
+    return Model(weights, curve(fit[[f"p{i}" for i in range(3)]].to_numpy(float), fit["toxic"].to_numpy() > 0))
 
 
-def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through the points, by Newton steps with a small ridge."""
-    scale = max(1.0, float(x.max(initial=1.0)))
-    a = np.stack([x / scale, np.ones(len(x))], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
+def curve(a: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float, ...]:
+    """Logistic coefficients, by Newton steps with a small ridge on scaled columns."""
+    scale = np.maximum(1.0, np.abs(a).max(axis=0, initial=1.0))
+    a = a / scale
+    w = np.zeros(a.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        gradient = a.T @ (p - y) / len(x) + ridge * w
-        hessian = (a * (p * (1 - p))[:, None]).T @ a / len(x) + ridge * np.eye(2)
+        gradient = a.T @ (p - y) / len(a) + ridge * w
+        hessian = (a * (p * (1 - p))[:, None]).T @ a / len(a) + ridge * np.eye(len(w))
         w = w - np.linalg.solve(hessian, gradient)
-    return float(w[0] / scale), float(w[1])
+    return tuple(float(x) for x in w / scale)
 
 
 def predict(docs: DataFrame, logs: np.ndarray, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -306,9 +312,9 @@ def predict(docs: DataFrame, logs: np.ndarray, model: Model, keep: tuple[str, ..
     kept = [f"`{c}` {t}" for c, t in columns.select(*keep).dtypes] if keep else []
 
     def make(own, batches):
-        reader = Reader(own[0], own[1].strongest)
+        reader = Reader(own[0], own[1].evidence)
         for batch in batches:
-            scores = pa.array([own[1].score(reader.read(t.as_py() or "")) for t in batch.column(0)], pa.float64())
+            scores = pa.array([own[1].score(points(*reader.read(t.as_py() or ""))) for t in batch.column(0)], pa.float64())
             predicted = pc.cast(pc.greater_equal(scores, 0.5), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(1), scores, predicted, *batch.columns[2:]], names=["doc_id", "score", "predicted", *batch.schema.names[2:]])
 
