@@ -90,7 +90,10 @@ def explode(batch: int, docs: pa.Table, table: pa.Table | None, n: int, buckets:
     rows = []
     for bucket in np.flatnonzero(np.diff(edges)):
         part = slice(edges[bucket], edges[bucket + 1])
-        rows.append((int(bucket), n, batch, different[part].astype(np.uint32).tobytes(), (different[part] >> np.uint64(32)).astype(np.uint16).tobytes(), pack(counts[part])))
+        own = different[part] & np.uint64((1 << SENT_BITS) - 1)
+        # 32 low bits as they are; what is above rises within a bucket but for a jump, so steps are small
+        above = np.diff((own >> np.uint64(32)).astype(np.int64), prepend=0)
+        rows.append((int(bucket), n, batch, own.astype(np.uint32).tobytes(), pack(above & 0xFFFF), pack(counts[part])))
     return messages(rows)
 
 
@@ -98,7 +101,7 @@ def total(bucket: int, table: pa.Table) -> pa.Table:
     """The sums of the counts that the batches have sent, to each batch in the order of its hashes."""
     rows = table.to_pylist()
     low = np.concatenate([np.frombuffer(r["f0"], np.uint32) for r in rows])
-    high = np.concatenate([np.frombuffer(r["f1"], np.uint16) for r in rows])
+    high = np.concatenate([unpack(r["f1"]).astype(np.int64).cumsum() & 0xFFFF for r in rows])
     counts = np.concatenate([unpack(r["f2"]).astype(np.int64) for r in rows])
     _, which = np.unique(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), return_inverse=True)
     sums = np.zeros(int(which.max()) + 1, np.int64)

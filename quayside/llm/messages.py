@@ -21,15 +21,19 @@ _ARROW = pa.schema([("to", pa.int64()), ("kind", pa.int32()), ("n", pa.int64())]
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Integers in the narrowest type that holds them, its code first."""
+    """Integers in the narrowest type that holds them: its code, then all first bytes, all second bytes, and so on.
+
+    Bytes of one rank together are mostly zeros for the higher ranks, which compression then removes.
+    """
     values = np.asarray(values)
     low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
     kind = np.min_scalar_type(high) if low >= 0 else np.dtype(np.int64)
-    return kind.char.encode() + values.astype(kind).tobytes()
+    return kind.char.encode() + values.astype(kind).view(np.uint8).reshape(len(values), kind.itemsize).T.tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.dtype(data[:1].decode()), offset=1)
+    kind = np.dtype(data[:1].decode())
+    return np.frombuffer(data, np.uint8, offset=1).reshape(kind.itemsize, -1).T.copy().view(kind).reshape(-1)
 
 
 def messages(rows: list[tuple]) -> pa.Table:
