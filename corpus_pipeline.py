@@ -10,21 +10,55 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quayside.llm import byte_bpe
+from quayside.llm import byte_bpe, decontaminate, minhash_forest, suffix_repeats, toxicity
 from quayside.llm.queries import RANKS, table
 from quayside.session import configure, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learned from the labels of these documents, does not reject."""
+    logs, model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    kept = toxicity.predict(docs, logs, model, keep=COLUMNS[1:])
+    return kept.where("predicted = 0").select(*COLUMNS)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates the document with the smallest doc_id."""
+    kept = minhash_forest.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+
+
+def new_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of passages that occurred before.
+
+    A character of which bytes are gone goes as a whole; n_chars is counted anew. A null text stays null.
+    """
+    marked = docs.withColumn("was_null", F.col("text").isNull())
+    left = suffix_repeats.without_repeats(marked, carry=("lang", "source", "was_null"))
+    text = F.when(~F.col("was_null"), suffix_repeats.whole_characters("kept"))
+    return left.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: number of tokens and digests of what is left."""
-    configure(spark)
+    """Number of tokens and digests of what is left."""
     return byte_bpe.token_digests(docs, RANKS, public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", not_toxic),
+    ("minhash_forest", one_of_near_copies),
+    ("suffix_repeats", new_text),
+    ("decontaminate", without_benchmarks),
     ("byte_bpe", tokens),
 ]
 

@@ -90,10 +90,17 @@ _LOWER[65:91] += 32
 _WORD_VALUES = BYTE_VALUES[_LOWER]
 
 
-def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, in order, and how many each row has."""
+#: Letters and digits, and all bytes of other alphabets.
+LETTER_BYTE = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
+
+
+def word_hashes(block: Block, word_byte: np.ndarray = _WORD_BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each row, A-Z lower-cased, in order, and how many each row has.
+
+    Words are runs of bytes that ``word_byte`` marks: all but ASCII white space unless said otherwise.
+    """
     data = block.data
-    inside = _WORD_BYTE[data]
+    inside = word_byte[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

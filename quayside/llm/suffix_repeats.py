@@ -25,8 +25,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -362,6 +363,16 @@ def without_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
     return by_batch.cogroup(all_answers).applyInArrow(lambda key, d, t: apply(d, t, length, out), schema)
 
 
+def whole_characters(kept: str) -> Column:
+    """The bytes as text; a character that has lost some of its bytes is left out."""
+
+    @F.pandas_udf("string")
+    def decoded(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    return decoded(kept)
+
+
 def repeat_digests(docs: DataFrame) -> DataFrame:
     found = without_repeats(docs.select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

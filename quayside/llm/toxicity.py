@@ -306,17 +306,22 @@ def curve(a: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float, ...
 
 
 def predict(docs: DataFrame, logs: np.ndarray, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score, predicted and the columns in ``keep`` for every row; null and empty texts have the score of no words."""
+    """doc_id, score, predicted and the columns in ``keep`` for every row; null and empty texts have the score of no words.
+
+    ``keep`` may name any column but doc_id, score and predicted, the text too.
+    """
+    if clash := {"doc_id", "score", "predicted"} & set(keep):
+        raise ValueError(f"rename {sorted(clash)} first")
     sent = docs.sparkSession.sparkContext.broadcast((logs, model))
-    columns = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *keep)
-    kept = [f"`{c}` {t}" for c, t in columns.select(*keep).dtypes] if keep else []
+    columns = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    kept = [f"`{c}` {t}" for c, t in docs.select(*keep).dtypes] if keep else []
 
     def make(own, batches):
         reader = Reader(own[0], own[1].evidence)
         for batch in batches:
             scores = pa.array([own[1].score(points(*reader.read(t.as_py() or ""))) for t in batch.column(0)], pa.float64())
             predicted = pc.cast(pc.greater_equal(scores, 0.5), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(1), scores, predicted, *batch.columns[2:]], names=["doc_id", "score", "predicted", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(1), scores, predicted, *batch.columns[2:]], names=["doc_id", "score", "predicted", *keep])
 
     return _read_rows(columns, sent, ", ".join(["doc_id long", "score double", "predicted int", *kept]), make)
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -68,7 +69,9 @@ def test_held_out_documents(spark, sf_dir):
 
 
 def toy():
-    docs = [(i, f"some plain words number {chr(97 + i % 26)} go here and there {'idiot fool' if i % 3 == 0 else ''} {chr(97 + i // 26)}x") for i in range(300)]
+    rng = random.Random(2)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 5))) for _ in range(30))
+    docs = [(i, prose() + (" you idiot fool " if i % 3 == 0 else " you kind ") + prose()) for i in range(300)]
     return docs, [(i, 1, int(i % 3 == 0)) for i in range(300)]
 
 
