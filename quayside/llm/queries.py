@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import backoff, byte_bpe, decontaminate, language, license_scan, minhash_forest, suffix_repeats, toxicity, warc
+from quayside.llm import backoff, byte_bpe, decontaminate, language, license_scan, minhash_forest, suffix_repeats, toxicity, warc, winnowing
 from quayside.session import configure, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(table(spark, sf_dir, "documents"))
