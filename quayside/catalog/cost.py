@@ -188,7 +188,7 @@ def _(spark, sf_dir):
 @query(
     "quality_cost_function",
     f"""WITH {views.MESSAGES_SQL}
-    SELECT event_id, greatest(0.0e0, 19.9e0 * (post_perf - pre_perf) * pre_perf) AS cost_qom,
+    SELECT event_id, greatest(0.0e0, 23.5e0 * (post_perf - pre_perf) * pre_perf) AS cost_qom,
      post_perf - pre_perf AS improvement_diff
     FROM messages WHERE is_quality""",
 )
@@ -197,7 +197,7 @@ def _(spark, sf_dir):
     pre, post = F.col("quality_of_model.pre_train_performance"), F.col("quality_of_model.post_train_performance")
     return quality.select(
         "event_id",
-        quality_cost(F.lit(19.9), pre, post).alias("cost_qom"),
+        quality_cost(F.lit(23.5), pre, post).alias("cost_qom"),
         (post - pre).alias("improvement_diff"),
     )
 
@@ -205,15 +205,15 @@ def _(spark, sf_dir):
 @query(
     "resource_cost_function",
     """SELECT l_orderkey, l_linenumber,
-     0.01e0 * (l_extendedprice / 60.0e0) *
-      (0.01e0 * l_quantity + coalesce(nullif(l_tax, 0.0e0), 0.0e0) * (l_discount * 512.0e0)) AS cost_resource
+     0.02e0 * (l_extendedprice / 60.0e0) *
+      (0.02e0 * l_quantity + coalesce(nullif(l_tax, 0.0e0), 0.0e0) * (l_discount * 512.0e0)) AS cost_resource
     FROM lineitem""",
 )
 def _(spark, sf_dir):
     cost = resource_cost(
-        F.lit(0.01),
+        F.lit(0.02),
         F.col("l_extendedprice") / 60.0,
-        F.lit(0.01),
+        F.lit(0.02),
         F.col("l_quantity"),
         F.nullif("l_tax", F.lit(0.0)),
         F.col("l_discount") * 512.0,
@@ -226,8 +226,8 @@ def _(spark, sf_dir):
 @query(
     "cost_function_by_name",
     """SELECT o_orderkey, CASE o_orderpriority
-      WHEN '1-URGENT' THEN greatest(0.0e0, 19.9e0 * (0.9e0 - 0.5e0) * 0.5e0)
-      WHEN '2-HIGH' THEN 0.01e0 * (o_totalprice / 60.0e0) * (0.01e0 * 150.0e0 + 0.001e0 * 512.0e0)
+      WHEN '1-URGENT' THEN greatest(0.0e0, 23.5e0 * (0.9e0 - 0.5e0) * 0.5e0)
+      WHEN '2-HIGH' THEN 0.02e0 * (o_totalprice / 60.0e0) * (0.02e0 * 150.0e0 + 0.003e0 * 512.0e0)
       WHEN '3-MEDIUM' THEN o_totalprice * 0.05e0 END AS cost
     FROM orders""",
 )
@@ -241,14 +241,14 @@ def _(spark, sf_dir):
         .otherwise("unknown")
     )
     arguments = {
-        "performance_price": F.lit(19.9),
+        "performance_price": F.lit(23.5),
         "pre": F.lit(0.5),
         "post": F.lit(0.9),
-        "by_minute": F.lit(0.01),
+        "by_minute": F.lit(0.02),
         "minutes": F.col("o_totalprice") / 60.0,
-        "cpu_price": F.lit(0.01),
+        "cpu_price": F.lit(0.02),
         "cpu": F.lit(150.0),
-        "memory_price": F.lit(0.001),
+        "memory_price": F.lit(0.003),
         "memory_mb": F.lit(512.0),
         "price": F.col("o_totalprice"),
     }

@@ -42,8 +42,8 @@ named AS (
  SELECT event_id, ts, value, CASE WHEN event_type = 'error' THEN concat('N_H', CAST(user_id % 2 + 1 AS VARCHAR), '.csv')
   ELSE concat(CASE (user_id // 6) % 2 WHEN 0 THEN 'BR' ELSE 'LO' END, '_',
    ['NL', 'CC', 'GL', 'LC', 'OL'][CAST((user_id // 12) % 5 + 1 AS INTEGER)], '_',
-   ['0-18 LPS', '0-47 LPS', 'ND', 'Transient'][CAST((user_id // 60) % 4 + 1 AS INTEGER)],
-   CASE WHEN user_id % 6 >= 4 THEN CASE (user_id // 12) % 2 WHEN 0 THEN '_N' ELSE '_NN' END ELSE '' END, '_',
+   ['0-18 LPS', '0-47 LPS', 'ND', 'Transient'][CAST((user_id // 60) % 2 + 2 * ((user_id // 6) % 2) + 1 AS INTEGER)],
+   CASE WHEN user_id % 6 >= 4 THEN CASE (user_id // 120) % 2 WHEN 0 THEN '_N' ELSE '_NN' END ELSE '' END, '_',
    ['A1', 'A2', 'P1', 'P2', 'H1', 'H2'][CAST(user_id % 6 + 1 AS INTEGER)], '.csv') END AS file_name
  FROM events),
 recordings AS (
@@ -71,13 +71,13 @@ def recordings(spark, sf_dir):
     def every(size, count):
         return F.floor(user / size) % count
 
-    noise = F.when(user % 6 >= 4, F.when(every(12, 2) == 0, "_N").otherwise("_NN")).otherwise("")
+    noise = F.when(user % 6 >= 4, F.when(every(120, 2) == 0, "_N").otherwise("_NN")).otherwise("")
     named = F.concat(
         pick(["BR", "LO"], every(6, 2)),
         F.lit("_"),
         pick(["NL", "CC", "GL", "LC", "OL"], every(12, 5)),
         F.lit("_"),
-        pick(["0-18 LPS", "0-47 LPS", "ND", "Transient"], every(60, 4)),
+        pick(["0-18 LPS", "0-47 LPS", "ND", "Transient"], every(60, 2) + 2 * every(6, 2)),
         noise,
         F.lit("_"),
         pick(["A1", "A2", "P1", "P2", "H1", "H2"], user % 6),
@@ -253,7 +253,7 @@ def _(spark, sf_dir):
 SIZED_SQL = f"""{PARTS_SQL},
 widths AS (SELECT file_name, count(*) FILTER (second = 0) * 2 AS width FROM recordings GROUP BY 1),
 sized AS (SELECT a.*, w.width, w.width - CAST(floor(w.width * 0.5e0) AS BIGINT) AS step
- FROM attributes a JOIN widths w USING (file_name) WHERE w.width > 0),
+ FROM attributes a JOIN widths w USING (file_name) WHERE w.width > 0 AND a.second <= 29),
 {WINDOW_SQL.format(w="width", s="step", source="sized", keys="file_name, is_noise, topology, label, flow, noise, sensor").strip()}"""
 
 
@@ -296,11 +296,12 @@ noise_features AS (SELECT sensor, window_id, {", ".join(f"{c} AS n_{c}" for c, _
 heard AS (SELECT f.*, {", ".join(f"CASE WHEN f.noise = 'N' THEN n.n_{c} END AS n_{c}" for c, _ in _BLOCKS)}
  FROM features f LEFT JOIN noise_features n ON n.sensor = f.sensor AND n.window_id = f.window_id WHERE NOT f.is_noise),
 routed AS ({CONDITIONS_SQL.format(marker='')} FROM heard),
+firsts AS (SELECT * FROM routed QUALIFY dense_rank() OVER (PARTITION BY condition, topology, label, flow, sensor ORDER BY file_name) = 1),
 wide AS (SELECT condition, topology, label, flow, window_id,
  coalesce({", ".join(f"max(\"time\") FILTER (sensor = '{s}')" for s in SENSORS)}) AS "time",
  {", ".join(_block_sql(s, c, n) for s in SENSORS for c, n in _BLOCKS)},
  {", ".join(_block_sql(s, f"n_{c}", f"N_{c}") for s in ("H1", "H2") for c, _ in _BLOCKS)}
- FROM routed GROUP BY condition, topology, label, flow, window_id)"""
+ FROM firsts GROUP BY condition, topology, label, flow, window_id)"""
 
 
 def wide_features(spark, sf_dir):

@@ -252,20 +252,20 @@ def _(spark, sf_dir):
 
 @query("feature_relevance")
 def _(spark, sf_dir):
-    return feature_relevance(vectors(spark, sf_dir), "x", "y", trees=20, depth=5)
+    return feature_relevance(vectors(spark, sf_dir), "x", "y")
 
 
 @query("out_of_fold_probabilities")
 def _(spark, sf_dir):
-    probabilities, _ = out_of_fold_probabilities(vectors(spark, sf_dir), "id", "x", "y", trees=20, depth=5)
+    probabilities, _ = out_of_fold_probabilities(vectors(spark, sf_dir), "id", "x", "y")
     return probabilities
 
 
 @query("label_purity")
 def _(spark, sf_dir):
-    return label_purity(settle(vectors(spark, sf_dir)), "id", "x", "y", trees=20, depth=5)
+    return label_purity(settle(vectors(spark, sf_dir)), "id", "x", "y")
 
 
 @query("quality_report")
 def _(spark, sf_dir):
-    return quality_report(matrix(spark, sf_dir), "id", FEATURES, "y", trees=20, depth=5)
+    return quality_report(matrix(spark, sf_dir), "id", FEATURES, "y")

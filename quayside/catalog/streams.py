@@ -9,17 +9,10 @@ from quayside.catalog.base import query, table
 from quayside.operators.rounds import closed_rounds, price_rounds
 from quayside.schemas import ROUND_KEYS
 from quayside.session import scratch
-from quayside.sources.sinks import append_batch
-from quayside.streaming.costs import (
-    dashboard_writer,
-    drain,
-    fold_writer,
-    round_cost_stream,
-    stored_dashboard,
-    stored_folds,
-    stored_rounds,
-)
-from quayside.streaming.monitoring import gated_samples, online_spells
+from quayside.plans.dashboard import cost_dashboard
+from quayside.sources.sinks import append_batch, measurement_points
+from quayside.streaming.costs import drain, fold_writer, folded_costs, stored_folds
+from quayside.streaming.monitoring import gate_writer, online_spells, stored_samples
 from quayside.streaming.sources import configure_streams, table_stream
 
 
@@ -31,14 +24,12 @@ def _event_stream(spark, sf_dir):
 
 def _cost_stream(spark, sf_dir):
     messages = views.messages_of(_event_stream(spark, sf_dir))
-    return round_cost_stream(messages, views.prices(spark, sf_dir))
+    return folded_costs(messages, views.prices(spark, sf_dir), scratch(spark, "folds"), scratch(spark, "log"), views.MESSAGE_ORDER)
 
 
 @query("round_cost_stream", f"WITH {views.ROUNDS_SQL} SELECT {cost.COST_ROW_SQL} FROM round_cost")
 def _(spark, sf_dir):
-    path = scratch(spark, "rounds")
-    drain(_cost_stream(spark, sf_dir), append_batch(path), scratch(spark, "log"))
-    rows = stored_rounds(spark.read.parquet(path))
+    rows = _cost_stream(spark, sf_dir)
     return rows.select(*ROUND_KEYS, F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "edge_id", *cost.COST_FIELDS)
 
 
@@ -52,9 +43,8 @@ def _(spark, sf_dir):
 
 @query("cost_dashboard_stream", training.DASHBOARD_SQL)
 def _(spark, sf_dir):
-    path = scratch(spark, "points")
-    drain(_cost_stream(spark, sf_dir), dashboard_writer(path), scratch(spark, "log"))
-    board = stored_dashboard(spark.read.parquet(path).filter("value IS NOT NULL"))
+    points = measurement_points(_cost_stream(spark, sf_dir)).filter("value IS NOT NULL")
+    board = cost_dashboard(points.select("measurement", "dataset_id", "run_id", "task_id", "time", "field", "value"))
     return board.withColumns(
         {"time": F.col("time").cast("timestamp_ntz"), "total_cost": F.round("total_cost", 6)}
     )
@@ -101,7 +91,7 @@ def _(spark, sf_dir):
         F.when(marker, F.dayofmonth("ts")).alias("train_round"),
     )
     path = scratch(spark, "gated")
-    drain(gated_samples(rows), append_batch(path), scratch(spark, "log"), "append")
-    return spark.read.parquet(path).select(
+    drain(rows, gate_writer(path), scratch(spark, "log"), "append")
+    return stored_samples(spark, path).select(
         "edge_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "value", "train_round"
     )

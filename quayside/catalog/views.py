@@ -67,9 +67,9 @@ prices AS (
   concat('ds', CAST(c_custkey % 9 + 2 AS VARCHAR)) AS dataset_id,
   CASE WHEN c_nationkey % 3 = 2 AND c_custkey % 9 = 5 THEN 'no_such_function'
        ELSE 'qom_cost_by_train_performance' END AS qom_cost_function,
-  19.9e0 AS performance, 'resource_cost_by_cpu_mem' AS resource_cost_function, 0.01e0 AS by_minute, 0.01e0 AS cpu,
-  CASE WHEN c_custkey % 9 % 5 = 0 THEN NULL ELSE 0.001e0 END AS memory,
-  round(avg(c_acctbal) / 500.0e0, 4) AS cost_quantity_quality, 2.99e0 AS cost_context
+  23.5e0 AS performance, 'resource_cost_by_cpu_mem' AS resource_cost_function, 0.02e0 AS by_minute, 0.02e0 AS cpu,
+  CASE WHEN c_custkey % 9 % 5 = 0 THEN NULL ELSE 0.003e0 END AS memory,
+  round(avg(c_acctbal) / 500.0e0, 4) AS cost_quantity_quality, 3.25e0 AS cost_context
  FROM customer GROUP BY c_nationkey % 3, c_custkey % 9)"""
 
 
@@ -86,15 +86,15 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("m") == 2) & (F.col("d") == 5), "no_such_function")
         .otherwise("qom_cost_by_train_performance")
         .alias("qom_cost_function"),
-        F.struct(F.lit(19.9).alias("performance")).alias("qom_base_cost"),
+        F.struct(F.lit(23.5).alias("performance")).alias("qom_base_cost"),
         F.lit("resource_cost_by_cpu_mem").alias("resource_cost_function"),
         F.struct(
-            F.lit(0.01).alias("by_minute"),
-            F.lit(0.01).alias("cpu"),
-            F.when(F.col("d") % 5 != 0, F.lit(0.001)).alias("memory"),
+            F.lit(0.02).alias("by_minute"),
+            F.lit(0.02).alias("cpu"),
+            F.when(F.col("d") % 5 != 0, F.lit(0.003)).alias("memory"),
         ).alias("resource_base_cost"),
         "cost_quantity_quality",
-        F.lit(2.99).alias("cost_context"),
+        F.lit(3.25).alias("cost_context"),
     )
 
 

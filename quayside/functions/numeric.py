@@ -16,9 +16,9 @@ def finite(value: Column) -> Column:
     return F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), number))
 
 
-def absent(value: Column) -> Column:
-    """True for null and for NaN."""
-    return value.isNull() | F.isnan(value)
+def absent(value: Column, kind: str = "double") -> Column:
+    """True for null and, in a column of a floating type, for NaN."""
+    return value.isNull() | F.isnan(value) if kind in ("double", "float") else value.isNull()
 
 
 def metric_round(value: Column, digits: int = 4) -> Column:

@@ -203,8 +203,23 @@ def _search(points: DataFrame, rows: int, block: int) -> DataFrame:
 def nearest_neighbours(
     df: DataFrame, ident: str, vector: str, block: int = 2048, skew: Skew = DEFAULT_SKEW
 ) -> DataFrame:
-    """(id, neighbour, distance) for every row: Euclidean, exact, ties to the lowest id."""
+    """(id, neighbour, distance) for every row: Euclidean, exact, ties to the lowest id.
+
+    A vector with a null, NaN or infinite element has no distances and is an error. Very large elements
+    are scaled by a power of two first, so that no square overflows; a single row has no neighbour.
+    """
     rows = df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    usable = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    largest = F.array_max(F.transform("x", lambda v: F.abs(v)))
+    checked = rows.agg(F.count_if(~F.coalesce(usable, F.lit(False))).alias("bad"), F.max(F.when(usable, largest)).alias("top")).first()
+    if checked["bad"]:
+        raise ValueError(f"{checked['bad']} vectors have null, NaN or infinite elements")
+    if (checked["top"] or 0.0) > 1e140:
+        scale = 2.0 ** -(math.frexp(checked["top"])[1])
+        found = nearest_neighbours(
+            rows.select("id", F.transform("x", lambda v: v * F.lit(scale)).alias("x")), "id", "x", block, skew
+        )
+        return found.withColumn("distance", F.col("distance") / F.lit(scale))
     points = settle(_folded(rows))
     count = points.count()
     if count == 0:

@@ -70,7 +70,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], skew: Skew = DEFAULT_SKEW) -> H
 def _mark_hot(df: DataFrame, keys: Sequence[str], hot: Hot) -> DataFrame:
     """Add the boolean ``_hot``; the hot side is bounded by ``1 / share`` rows."""
     marks = hot.keys.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys], F.lit(True))
     return (
         df.join(F.broadcast(marks), same, "left")
         .drop(*[f"_h_{k}" for k in keys])

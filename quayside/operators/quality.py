@@ -53,42 +53,52 @@ def class_parity(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def completeness(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Share of feature cells that are neither null nor NaN."""
-    gaps = sum((F.count_if(absent(F.col(c))) for c in features), F.lit(0))
+    """Share of feature cells of any type that are neither null nor NaN."""
+    kinds = dict(df.dtypes)
+    gaps = sum((F.count_if(absent(F.col(c), kinds[c])) for c in features), F.lit(0))
     cells = F.count(F.lit(1)) * len(features)
     score = metric_round(1 - gaps / F.nullif(cells, F.lit(0))).alias("completeness")
     return df.groupBy(*by).agg(score) if by else df.agg(score)
 
 
 def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every feature pair: left < right (positions), r (null for a constant column).
+    """Pearson correlation of every feature pair: left < right (positions), r.
 
-    Each task reduces its rows to sums of centred products; only those are exchanged.
+    A pair is taken over the rows where neither cell is null or NaN; r is null if one of both is constant there.
+    Each task reduces its rows to counts, sums and products of cells less their column's mean, and only those are
+    exchanged, so the result does not depend on how the rows are spread.
     """
     features = list(features)
-    means = np.array(df.agg(*[F.avg(c) for c in features]).first(), "float64")
+    numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in features])
+    means = np.array([np.nan if m is None else m for m in numbers.agg(*[F.avg(c) for c in features]).first()], "float64")
+    if np.isinf(means).any():
+        raise ValueError("infinite cells have no correlation; see filled")
+    means = np.nan_to_num(means)
     size = len(features)
-    upper = np.triu_indices(size)
+    left, right = np.triu_indices(size, 1)
+    names = ["n", "x", "y", "xx", "yy", "xy"]
 
     def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size))
+        total = np.zeros((len(names), len(left)))
         for frame in frames:
-            centred = frame.to_numpy("float64") - means
-            total += centred.T @ centred
-        yield pd.DataFrame({"left": upper[0], "right": upper[1], "part": total[upper]})
-
-    sums = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in features])
-        .mapInPandas(products, "left int, right int, part double")
-        .groupBy("left", "right")
-        .agg(F.sum("part").alias("s"))
-    )
-    own = sums.filter("left = right").select(F.col("left").alias("at"), F.col("s").alias("own"))
-    # one row per feature
-    left, right = (F.broadcast(own.select(F.col("at").alias(n), F.col("own").alias(f"_{n}"))) for n in ("left", "right"))
-    pairs = sums.filter("left < right").join(left, "left").join(right, "right")
-    scale = F.sqrt("_left") * F.sqrt("_right")
-    return pairs.select("left", "right", F.try_divide(F.col("s"), scale).alias("r"))
+            cells = frame.to_numpy("float64") - means
+            there = (~np.isnan(cells)).astype("float64")
+            cells = np.nan_to_num(cells)
+            counts, sums, squares = there.T @ there, cells.T @ there, (cells * cells).T @ there
+            parts = (counts[left, right], sums[left, right], sums[right, left], squares[left, right], squares[right, left])
+            total += np.array([*parts, (cells.T @ cells)[left, right]])
+        yield pd.DataFrame({"left": left, "right": right, **dict(zip(names, total))})
+
+    kinds = ", ".join(f"{c} double" for c in names)
+    sums = numbers.mapInPandas(products, f"left int, right int, {kinds}").groupBy("left", "right").agg(*[F.sum(c).alias(c) for c in names])
+
+    def spread(square: str, plain: str) -> Column:
+        # what is left of the squares of a constant column is rounding
+        value = F.col(square) - F.try_divide(F.col(plain) * F.col(plain), F.col("n"))
+        return F.when(value > F.col(square) * 1e-12, value)
+
+    both = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n"))
+    return sums.select("left", "right", F.try_divide(both, F.sqrt(spread("xx", "x")) * F.sqrt(spread("yy", "y"))).alias("r"))
 
 
 def _correlation_score(r_sum: Column, size: int) -> Column:
@@ -130,7 +140,8 @@ MOST_CLASSES = 10_000
 
 
 def _indexed(df: DataFrame, label: str) -> tuple[DataFrame, list]:
-    """Add the dense class number. A column with very many values is no class label and is refused."""
+    """Add the dense class number; rows without a label take no part. A column with very many values is refused."""
+    df = df.filter(F.col(label).isNotNull())
     classes = [r[0] for r in df.select(label).distinct().orderBy(label).limit(MOST_CLASSES + 1).collect()]
     if len(classes) > MOST_CLASSES:
         raise ValueError(f"{label} has more than {MOST_CLASSES} classes")

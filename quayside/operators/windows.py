@@ -85,10 +85,10 @@ def window_features(
 
 
 def short_series(df: DataFrame, series: Sequence[str], width: int | str) -> DataFrame:
-    """Series with fewer readings than one window."""
+    """Series with fewer readings than one window, or without a reading in second 0, so that they have no width."""
     size = F.max(width) if isinstance(width, str) else F.lit(width)
     counted = df.groupBy(*series).agg(F.count(F.lit(1)).alias("readings"), size.alias("width"))
-    return counted.filter(F.col("readings") < F.col("width"))
+    return counted.filter((F.col("readings") < F.col("width")) | (F.col("width") <= 0))
 
 
 def features_with_series_width(
@@ -168,11 +168,15 @@ def beside(
     sensor: str = "sensor",
     window: str = "window_id",
     time: str = "time",
+    recording: str = "file_name",
 ) -> DataFrame:
     """Sensor blocks side by side per (group, window): ``<sensor>_<column>``, one shared time.
 
-    The explicit sensor list makes the output schema stable and the whole reshape one grouping.
+    Where a group has several recordings of a sensor, the one first by name gives the whole block. The
+    explicit sensor list makes the output schema stable and the reshape one grouping.
     """
+    first = features.groupBy(*group, sensor).agg(F.min(recording).alias("_first"))
+    features = features.join(first, [*group, sensor]).filter(F.col(recording) == F.col("_first"))
     blocks = [
         F.max(F.when(F.col(sensor) == s, F.col(c))).alias(f"{s}_{c.removeprefix('b')}" if c[1:].isdigit() else f"{s}_{c}")
         for s in sensors

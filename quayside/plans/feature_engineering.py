@@ -18,6 +18,7 @@ from quayside.operators.windows import (
     conditions_of,
     features_with_series_width,
     labelled,
+    truncate_recording,
     with_noise,
 )
 from quayside.session import settle
@@ -31,6 +32,7 @@ class FeatureOptions:
     overlap: float = 0.5
     providers: int = 8
     test_fraction: float = 0.2
+    last_second: int = 29
     topology: str | None = None
     label: str | None = None
 
@@ -48,7 +50,7 @@ def recording_features(
     parts = recording_parts(F.col("file_name"))
     chosen = recordings.filter(candidate_predicate(parts, options.topology, options.label))
     features = features_with_series_width(
-        chosen, ["file_name"], "pos", "value", "second", options.seconds, options.overlap, options.buckets, skew=skew
+        truncate_recording(chosen, "second", options.last_second), ["file_name"], "pos", "value", "second", options.seconds, options.overlap, options.buckets, skew=skew
     )
     return features.select("*", *[c.alias(n) for n, c in recording_parts(F.col("file_name")).items()])
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 SQL_SETTINGS = {
@@ -18,10 +21,32 @@ SQL_SETTINGS = {
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session: Python tasks import its modules there.
+
+    The archive lies in the driver's folder of files that Spark hands out.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_quayside_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(SparkFiles.getRootDirectory(), f"quayside-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._quayside_shipped = True
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings the operators are written for."""
+    """Apply the runtime SQL settings the operators are written for, and make the package known to the executors."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    if os.path.isdir(os.path.dirname(os.path.abspath(__file__))):
+        ship(spark)
     return spark
 
 

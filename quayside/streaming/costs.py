@@ -28,10 +28,10 @@ STATE = ROUND.split("train_round int, ", 1)[1]
 
 def _folder(timeout_ms: int):
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Fold the arriving messages of one round, a frame at a time, in arrival order.
+        """Fold the messages of one round that a batch brings, in time order.
 
-        The exchange mixes what the input tasks of one batch deliver, so a frame is put
-        in time order first; frames are never gathered.
+        The exchange mixes what the input tasks of a batch deliver, so all frames are put in order together: a task
+        holds one batch's messages of a round. ``fold_writer`` has no such task.
         """
         if state.hasTimedOut:
             # a finished round is not sent again; later input opens a fresh one
@@ -39,8 +39,8 @@ def _folder(timeout_ms: int):
             return
         held = state.get if state.exists else (None, None, 0, 0.0, 0.0, False, *[None] * 6)
         when, edge, count, cpu, memory, closed, *closing = held
-        for arrived in frames:
-            frame = arrived.sort_values("timestamp", kind="stable", ignore_index=True)
+        frame = pd.concat(list(frames)).sort_values("timestamp", kind="stable", ignore_index=True)
+        if len(frame):
             count += len(frame)
             newest = frame["timestamp"].max()
             when = newest if when is None or newest > when else when
@@ -148,6 +148,23 @@ def stored_folds(written: DataFrame) -> DataFrame:
     return merge_folds(written, "batch")
 
 
+def folded_costs(
+    messages: DataFrame,
+    prices: DataFrame,
+    path: str,
+    checkpoint: str,
+    order: Sequence[str] = ("timestamp",),
+    costs: CostFunctions = STANDARD_COSTS,
+    memory_unit: str = "bytes",
+) -> DataFrame:
+    """Cost records of all closed rounds after draining ``messages`` through stored folds.
+
+    Neither the order of rows within a batch nor the size of a round matters.
+    """
+    drain(messages, fold_writer(path, order), checkpoint, "append")
+    return closed_rounds(price_rounds(stored_folds(messages.sparkSession.read.parquet(path)), prices, costs, memory_unit))
+
+
 def dashboard_writer(path: str):
     """foreachBatch writer that keeps the cost points; ``stored_dashboard`` reads them back."""
     write = append_batch(path)

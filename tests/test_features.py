@@ -3,12 +3,15 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from quayside.operators.ordered import Skew
 from quayside.operators.predicates import apply_filters, meets_constraints, range_predicate
 from quayside.operators.sampling import contiguous_folds, sample_with_replacement
 from quayside.operators.splits import chronological_split, provider_partitions
 from quayside.operators.windows import (
+    beside,
     bucket_of,
     features_with_series_width,
+    series_widths,
     short_series,
     window_features,
     with_windows,
@@ -125,3 +128,25 @@ def test_missing_metric_fails_its_constraint(spark):
     metrics = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 0.5), ("b", "x", 1.0)], "dataset_id string, metric_name string, value double")
     bounds = spark.createDataFrame([("x", 0.9), ("y", 0.5)], "metric_name string, min_value double")
     assert dict(map(tuple, meets_constraints(metrics, bounds).collect())) == {"a": True, "b": False}
+
+
+def test_first_recording_of_a_group_gives_the_whole_block(spark):
+    rows = [("f_N", "H1", 0, 50.0, 1), ("f_N", "H1", 1, 40.0, 2), ("f_NN", "H1", 0, 90.0, 3), ("f_NN", "H1", 2, 80.0, 4), ("g", "A1", 0, 5.0, 1)]
+    df = spark.createDataFrame(rows, "file_name string, sensor string, window_id int, mean double, time int").withColumn("g", F.lit("x"))
+    got = {r.window_id: (r.H1_mean, r.A1_mean) for r in beside(df, ["g"], ["A1", "H1"], ["mean"]).collect()}
+    assert got == {0: (50.0, 5.0), 1: (40.0, None)}
+
+
+def test_series_without_second_0_are_reported(spark):
+    df = spark.createDataFrame([("a", i, 1.0, 3 + i // 10) for i in range(100)], "s string, pos int, value double, second int")
+    sized = df.crossJoin(series_widths(df, ["s"], "second", 2).select("width"))
+    assert [r.s for r in short_series(sized, ["s"], "width").collect()] == ["a"]
+    with pytest.raises(ValueError):
+        features_with_series_width(df, ["s"], "pos", "value", "second", 2, 0.5, 2, strict=True)
+
+
+def test_hot_split_without_a_group(spark):
+    df = spark.createDataFrame([(i, i % 400) for i in range(2000)], "id long, t long")
+    plain = chronological_split(df, [], "t", ["id"], 0.2, skew=None)
+    hot = chronological_split(df, [], "t", ["id"], 0.2, skew=Skew(0.01, 50))
+    assert sorted(map(tuple, hot.select("id", "split").collect())) == sorted(map(tuple, plain.select("id", "split").collect()))

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,32 @@ def test_label_issues_same_with_hot_classes(spark):
     plain = sorted(r["id"] for r in label_issues(df, 3).collect())
     hot = sorted(r["id"] for r in label_issues(df, 3, Skew(0.1, 20, 5)).collect())
     assert plain == hot and plain
+
+
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_correlation_with_gaps_does_not_depend_on_partitions(spark, parts):
+    rng = np.random.default_rng(3)
+    cells = rng.normal(size=(200, 3))
+    cells[:, 1] += cells[:, 0]
+    cells[5, 0] = np.nan
+    rows = [(None if i % 17 == 3 else float(a), float(b), float(c), 7.5) for i, (a, b, c) in enumerate(cells)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(parts)
+    got = {(r["left"], r["right"]): r["r"] for r in correlation_pairs(df, ["a", "b", "c", "d"]).collect()}
+    want = pd.DataFrame(rows, columns=list("abcd")).astype("float64").corr()
+    for (i, j), r in got.items():
+        assert r is None if j == 3 else r == pytest.approx(want.iloc[i, j], abs=1e-12)
+    assert len(got) == 6
+
+
+def test_completeness_of_mixed_types(spark):
+    rows = [("x", 1, float("nan")), (None, 2, 1.0), ("y", None, 2.0), ("z", 4, None)]
+    df = spark.createDataFrame(rows, "a string, b int, c double").withColumn("t", F.lit("2024-01-01").cast("timestamp"))
+    assert completeness(df, ["a", "b", "c", "t"]).first()[0] == 0.75
+
+
+def test_neighbours_of_unusable_and_very_large_vectors(spark):
+    bad = spark.createDataFrame([(0, [1.0]), (1, [float("nan")])], "id long, x array<double>")
+    with pytest.raises(ValueError):
+        nearest_neighbours(bad, "id", "x")
+    large = spark.createDataFrame([(0, [1.7e308, 0.0]), (1, [-1.7e308, 1.0]), (2, [1.6e308, 5.0])], "id long, x array<double>")
+    assert {r.id: r.neighbour for r in nearest_neighbours(large, "id", "x").collect()} == {0: 2, 1: 2, 2: 0}

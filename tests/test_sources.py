@@ -16,11 +16,11 @@ PRICE = {
     "model_id": "m",
     "data_source_id": "d1",
     "qom_cost_function": "qom_cost_by_train_performance",
-    "qom_base_cost": {"performance": 19.9},
+    "qom_base_cost": {"performance": 23.5},
     "resource_cost_function": "resource_cost_by_cpu_mem",
-    "resource_base_cost": {"by_minute": 0.01, "cpu": 0.01, "memory": 0.001},
-    "cost_quantity_quality": 14.32,
-    "cost_context": 2.99,
+    "resource_base_cost": {"by_minute": 0.02, "cpu": 0.02, "memory": 0.003},
+    "cost_quantity_quality": 11.75,
+    "cost_context": 3.25,
 }
 
 
@@ -32,20 +32,20 @@ def test_csv_with_header(spark, tmp_path):
 
 
 def test_price_json(spark, tmp_path):
-    second = {**PRICE, "data_source_id": "d2", "resource_base_cost": {"by_minute": 0.01}}
+    second = {**PRICE, "data_source_id": "d2", "resource_base_cost": {"by_minute": 0.02}}
     (tmp_path / "p.json").write_text(json.dumps([PRICE, second], indent=1))
     rows = {r["dataset_id"]: r for r in read_prices(spark, str(tmp_path / "p.json")).collect()}
-    assert rows["d1"]["resource_base_cost"]["memory"] == 0.001 and rows["d1"]["cost_quantity_quality"] == 14.32
+    assert rows["d1"]["resource_base_cost"]["memory"] == 0.003 and rows["d1"]["cost_quantity_quality"] == 11.75
     assert rows["d2"]["resource_base_cost"]["cpu"] is None
 
 
 def test_price_csv_with_a_malformed_number(spark, tmp_path):
-    quoted = '"{\\"performance\\":19.9}",resource_cost_by_cpu_mem,"{\\"by_minute\\":0.01, \\"cpu\\": 0.01}"'
+    quoted = '"{\\"performance\\":23.5}",resource_cost_by_cpu_mem,"{\\"by_minute\\":0.02, \\"cpu\\": 0.02}"'
     head = ",".join(PRICE)
-    (tmp_path / "p.csv").write_text(f"{head}\nm,d1,qom,{quoted},14.32,2.99\nm,d2,qom,{quoted},9.66.,2.99\n")
+    (tmp_path / "p.csv").write_text(f"{head}\nm,d1,qom,{quoted},11.75,3.25\nm,d2,qom,{quoted},8.41.,3.25\n")
     rows = {r["dataset_id"]: r for r in read_prices_csv(spark, str(tmp_path / "p.csv")).collect()}
-    assert rows["d1"]["qom_base_cost"]["performance"] == 19.9 and rows["d1"]["cost_quantity_quality"] == 14.32
-    assert rows["d2"]["cost_quantity_quality"] is None and rows["d2"]["resource_base_cost"]["cpu"] == 0.01
+    assert rows["d1"]["qom_base_cost"]["performance"] == 23.5 and rows["d1"]["cost_quantity_quality"] == 11.75
+    assert rows["d2"]["cost_quantity_quality"] is None and rows["d2"]["resource_base_cost"]["cpu"] == 0.02
 
 
 @pytest.mark.parametrize("slice_samples", [7, 16384])
@@ -86,27 +86,27 @@ def test_readers_by_name(spark, tmp_path):
 REQUEST = {
     "owner_id": "o",
     "dataset_id": "d",
-    "features": [{"name": "city_pop", "index": 1}, {"name": "amt", "index": 0}],
-    "label": {"name": "is_fraud", "index": 2},
-    "filters": {"operator": "and", "constraints": [{"feature_name": "amt", "from": 10, "to": "*"}]},
+    "features": [{"name": "pressure", "index": 1}, {"name": "flow", "index": 0}],
+    "label": {"name": "faulty", "index": 2},
+    "filters": {"operator": "and", "constraints": [{"feature_name": "flow", "from": 10, "to": "*"}]},
     "sample_limit": {"number": 3, "method": "random"},
 }
 
 
 def test_a_request_end_to_end(spark, tmp_path):
-    (tmp_path / "in.csv").write_text("id,amt,city_pop,is_fraud\n" + "".join(f"{i},{i},{i * 10},{i % 2}\n" for i in range(40)))
+    (tmp_path / "in.csv").write_text("id,flow,pressure,faulty\n" + "".join(f"{i},{i},{i * 10},{i % 2}\n" for i in range(40)))
     conf = {
         "owner_id": "o",
         "dataset_id": "d",
         "dest_path": str(tmp_path / "out"),
-        "schema": "id int, amt double, city_pop int, is_fraud int",
+        "schema": "id int, flow double, pressure int, faulty int",
     }
     request = {**REQUEST, "access_info": {"type": "file", "location": str(tmp_path / "in.csv")}}
     response = serve(spark, request, conf, ["id"], request_id="r1")
     assert response["data_summary"] == {"columns": 3, "rows": 3}
     assert response["read_info"]["location"].endswith("d_r1")
     written = spark.read.csv(response["read_info"]["location"], header=True, inferSchema=True)
-    assert written.columns == ["amt", "city_pop", "is_fraud"] and written.filter("amt < 10").count() == 0
+    assert written.columns == ["flow", "pressure", "faulty"] and written.filter("flow < 10").count() == 0
     with pytest.raises(PermissionError):
         serve(spark, {**request, "owner_id": "other"}, conf, ["id"])
 
