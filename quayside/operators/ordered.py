@@ -7,8 +7,7 @@ column into pieces, each piece is summarised, the summaries are accumulated over
 (few) pieces of a key, and the rows then see "summary of the earlier pieces" plus
 "window inside my own piece".
 
-Hot keys are defined by a share of all rows, so there are at most ``1 / share`` of them:
-that bound is what makes broadcasting them safe.
+A key is hot by the number of rows a task may get. The keys are counted before they are broadcast.
 """
 
 from __future__ import annotations
@@ -26,9 +25,13 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Skew:
-    """When a key counts as hot, and into how many pieces at most hot rows are cut."""
+    """A key with more than ``min_rows`` rows, what one task may get, is hot, whatever the size of the table.
 
-    share: float = 1e-3
+    Hot keys are marked by a broadcast while there are at most ``1 / share`` of them, and by a plain join
+    beyond. ``pieces``: into how many pieces at most hot rows are cut.
+    """
+
+    share: float = 1e-5
     min_rows: int = 2_000_000
     pieces: int = 16_384
 
@@ -51,28 +54,29 @@ class Scan:
 
 @dataclass(frozen=True)
 class Hot:
-    """The hot keys, at most ``1 / share`` of them, and the number of all rows."""
+    """The hot keys, whether they are few enough to be broadcast, and the number of all rows."""
 
     keys: DataFrame
     rows: int
+    few: bool = True
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], skew: Skew = DEFAULT_SKEW) -> Hot | None:
-    """Keys above the share, or None when there are none."""
+    """Keys above the limit, or None when there are none."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    largest, total = counts.agg(F.max("_rows"), F.sum("_rows")).first()
-    limit = max(skew.min_rows, int((total or 0) * skew.share))
-    if (largest or 0) <= limit:
+    is_hot = F.col("_rows") > skew.min_rows
+    number, total = counts.agg(F.count_if(is_hot), F.sum("_rows")).first()
+    if not number:
         return None
-    return Hot(counts.filter(F.col("_rows") > limit).select(*keys), total)
+    return Hot(counts.filter(is_hot).select(*keys), total, number * skew.share <= 1)
 
 
 def _mark_hot(df: DataFrame, keys: Sequence[str], hot: Hot) -> DataFrame:
-    """Add the boolean ``_hot``; the hot side is bounded by ``1 / share`` rows."""
+    """Add the boolean ``_hot``."""
     marks = hot.keys.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys], F.lit(True))
     return (
-        df.join(F.broadcast(marks), same, "left")
+        df.join(F.broadcast(marks) if hot.few else marks, same, "left")
         .drop(*[f"_h_{k}" for k in keys])
         .withColumn("_hot", F.coalesce("_hot", F.lit(False)))
     )

@@ -82,7 +82,7 @@ def meets_constraints(metrics: DataFrame, constraints: DataFrame, key: str = "da
     its constraint, which shows as fewer matches than constraints.
     """
     wanted = constraints.count()
-    checked = metrics.join(F.broadcast(constraints) if wanted <= 1000 else constraints, "metric_name", "inner")
+    checked = metrics.join(constraints, "metric_name", "inner")
     return (
         metrics.select(key)
         .distinct()
