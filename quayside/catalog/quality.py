@@ -10,6 +10,7 @@ from quayside.functions.numeric import array_variance, euclidean, metric_round,
 from quayside.operators.neighbours import mutual_pairs, nearest_neighbours, tomek_links
 from quayside.operators.quality import (
     class_overlap,
+    class_overlap_by,
     class_parity,
     completeness,
     confident_joint,
@@ -183,6 +184,27 @@ def _(spark, sf_dir):
     return class_overlap(vectors(spark, sf_dir), "id", "x", "y").withColumn("class_overlap", F.round("class_overlap", 6))
 
 
+OVERLAP_BY_SQL = """
+v AS (SELECT vec_id AS id, vec_id % 4 AS dataset, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings),
+near AS (SELECT a.id, a.dataset, a.label, arg_min(b.id, (list_distance(a.x, b.x), b.id)) AS neighbour
+ FROM v a JOIN v b ON a.id <> b.id AND a.dataset = b.dataset GROUP BY a.id, a.dataset, a.label),
+links AS (SELECT a.dataset, a.label AS low_label, b.label AS high_label
+ FROM near a JOIN near b ON a.neighbour = b.id AND b.neighbour = a.id AND a.id < b.id WHERE a.label <> b.label),
+minority AS (SELECT dataset, label FROM v GROUP BY dataset, label QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY count(*), label) = 1),
+members AS (SELECT dataset, unnest([low_label, high_label]) AS label FROM links),
+dropped AS (SELECT m.dataset, count(*) AS n FROM members m JOIN minority y ON y.dataset = m.dataset AND y.label <> m.label GROUP BY 1)"""
+
+
+@query(
+    "class_overlap_by_dataset",
+    f"""WITH {OVERLAP_BY_SQL} SELECT dataset, round(1 - coalesce(any_value(n), 0)::DOUBLE / count(*), 6) AS class_overlap
+    FROM v LEFT JOIN dropped USING (dataset) GROUP BY dataset""",
+)
+def _(spark, sf_dir):
+    rows = vectors(spark, sf_dir).withColumn("dataset", F.col("id") % 4)
+    return class_overlap_by(rows, "dataset", "id", "x", "y").withColumn("class_overlap", F.round("class_overlap", 6))
+
+
 @query(
     "euclidean_to_class_centre",
     """WITH cells AS (SELECT vec_id, label, unnest(range(64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),

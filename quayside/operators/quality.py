@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions.numeric import absent, array_variance, finite, metric_round, standardise, top_mean
@@ -179,14 +180,44 @@ def minority_class(df: DataFrame, label: str) -> DataFrame:
     return sizes.agg(F.min_by(label, F.struct("n", label)).alias("minority"))
 
 
-def class_overlap(df: DataFrame, ident: str, vector: str, label: str, links: DataFrame | None = None) -> DataFrame:
-    """Share of rows left after dropping the link members outside the smallest class."""
+def class_overlap(
+    df: DataFrame, ident: str, vector: str, label: str, links: DataFrame | None = None, classify: bool = True
+) -> DataFrame:
+    """Share of rows left after dropping the link members outside the smallest class; 1 if labels are no classes."""
+    if not classify:
+        return df.agg((F.lit(1.0) + 0 * F.count(F.lit(1))).alias("class_overlap"))
     found = tomek_links(df, ident, vector, label) if links is None else links
     dropped = link_members(found).filter(F.col("label") != minority_class(df, label).scalar())
     removed = dropped.agg(F.count(F.lit(1)).alias("n")).scalar()
     return df.agg((1 - removed / F.count(F.lit(1))).alias("class_overlap"))
 
 
+def class_overlap_by(df: DataFrame, by: str, ident: str, vector: str, label: str) -> DataFrame:
+    """``class_overlap`` of every dataset named in ``by``, with one search for all of them.
+
+    A further coordinate holds the datasets farther apart than any two vectors are, so a nearest neighbour
+    is of the own dataset, and distances within it stay as they are. A dataset of one row has no link.
+    """
+    rows = df.select(F.col(by).alias("_by"), F.col(label).alias("_y"), F.col(ident).alias("_id"), F.col(vector).cast("array<double>").alias("_x"))
+    largest = rows.agg(F.max(F.aggregate("_x", F.lit(0.0), lambda s, v: s + v * v))).first()[0] or 0.0
+    # one row for each dataset
+    numbers = rows.select(F.col("_by").alias("_of")).distinct().withColumn("_n", F.row_number().over(Window.orderBy("_of")))
+    apart = settle(
+        rows.join(numbers, F.col("_by").eqNullSafe(F.col("_of"))).select(
+            "_id",
+            F.struct(F.col("_by").alias("by"), F.col("_y").alias("y")).alias("_class"),
+            F.concat("_x", F.array(F.col("_n") * (4 * math.sqrt(largest) + 1))).alias("_at"),
+        )
+    )
+    found = tomek_links(apart, "_id", "_at", "_class").filter(F.col("low_label.by").eqNullSafe(F.col("high_label.by")))
+    sizes = apart.groupBy(F.col("_class.by").alias("_by"), F.col("_class.y").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy("_by").agg(F.min_by("y", F.struct("n", "y")).alias("least"), F.sum("n").alias("rows"))
+    members = link_members(found).select(F.col("label.by").alias("_in"), F.col("label.y").alias("y"))
+    dropped = F.count_if(~F.col("y").eqNullSafe(F.col("least")) & F.col("_linked"))
+    joined = whole.join(members.withColumn("_linked", F.lit(True)), F.col("_by").eqNullSafe(F.col("_in")), "left")
+    return joined.groupBy("_by", "rows").agg(dropped.alias("d")).select(F.col("_by").alias(by), (1 - F.col("d") / F.col("rows")).alias("class_overlap"))
+
+
 def out_of_fold_probabilities(
     df: DataFrame,
     ident: str,
