@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quayside.llm.blocks import blocks, mix, total_bytes, word_hashes
 from quayside.llm.messages import MESSAGE, messages, pack, unpack
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 12 << 20
 #: Bits of a hash that are sent; the bucket, which the highest bits decide, adds to them.
 SENT_BITS = 48
 
