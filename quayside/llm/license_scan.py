@@ -136,7 +136,7 @@ def oracle(templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float =
         return f"string_split(trim(regexp_replace(lower({column}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
 
     def pairs(column: str) -> str:
-        return f"list_distinct(list_transform(range(1, len({column})), i -> {column}[i] || ' ' || {column}[i + 1]))"
+        return f"list_distinct(list_transform(range(1, len({column})), lambda i: {column}[i] || ' ' || {column}[i + 1]))"
 
     return f"""
 WITH paragraphs AS (SELECT doc_id, text, string_split_regex(text, '\\n[ \\t\\r]*\\n') AS parts FROM documents),
