@@ -1,7 +1,7 @@
 """Toxicity of texts whose words may be disguised.
 
 A noisy channel turns letters into look-alikes, puts separators between them, spaces words out and repeats
-letters. Tokens that show such traces become a lattice: every character may be itself, a letter it looks like,
+letters. Every token with a look-alike, a letter twice in a row or a separator becomes a lattice: every character may be itself, a letter it looks like,
 a word boundary or nothing. Viterbi decoding finds the reading that a character language model, counted over
 all documents, finds most likely. The restored words are scored with stems learned from labelled documents.
 """
@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,14 @@ LOOKS_LIKE = {
 KEPT, SWAPPED, DROPPED, BROKEN = (math.log(p) for p in (0.6, 0.3, 0.3, 0.03))
 SYMBOLS = 32
 WORDS = re.compile(r"[^\W\d_]+")
-_EDGE = re.compile(r"^[^\w$@€£¡!|+(]+|[^\w$@€£+]+$|(?<=\w)[$@€£+]{2,}$")
-_TRACE = re.compile(r"[^\W\d_].*[\W\d_].*|[\W\d_].*[^\W\d_]|(.)\1\1", re.S)
+_LOOKS = "".join(map(re.escape, LOOKS_LIKE))
+#: Around a token: punctuation; at its end also marks that end sentences; also other symbols that look like letters.
+_EDGES = tuple(
+    re.compile(rf"^[^\w{_LOOKS}]+|{end}")
+    for end in (rf"[^\w{_LOOKS}]+$", r"[^\w$@€£+]+$", r"[^\w$@€£+]+$|(?<=\w)[$@€£+]{2,}[^\w$@€£+]*$")
+)
+#: A character that looks like a letter, a letter twice in a row, or a letter beside anything else.
+_TRACE = re.compile(rf"[{_LOOKS}]|([^\W\d_])\1|[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]", re.S)
 #: Tokens whose reading a worker remembers.
 MOST_TOKENS = 200_000
 
@@ -109,26 +116,35 @@ def _readings(text: str, at: int) -> list[tuple[str, float]]:
     return [*options, (" ", BROKEN)]
 
 
-def decode(text: str, logs: np.ndarray) -> str:
+@lru_cache(maxsize=8192)
+def _options(c: str, repeated: bool, letter: bool) -> tuple[tuple[str, float, int], ...]:
+    """``_readings`` of a character with their symbols, -1 for none; those that are letters alone if it has to be one."""
+    readings = _readings(c + c if repeated else c, int(repeated))
+    return tuple((r, cost, _symbol(r) if r else -1) for r, cost in readings if not letter or c not in LOOKS_LIKE or r.strip())
+
+
+def decode(text: str, logs: np.ndarray, letters_from: int | None = None) -> str:
     """The most likely reading of a lower-cased text, by Viterbi over the last three symbols.
 
+    What looks like a letter is one from ``letters_from`` on; without it, it may be none anywhere.
     Equally likely readings: the first in the order of the text of the reading.
     """
     best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-    for at in range(len(text)):
+    rows = memoryview(logs)
+    for at, c in enumerate(text):
         following: dict[int, tuple[float, tuple]] = {}
-        options = [(r, cost, _symbol(r) if r else -1) for r, cost in _readings(text, at)]
+        options = _options(c, at > 0 and text[at - 1] == c, letters_from is not None and at >= letters_from)
         for state, (score, path) in best.items():
             for reading, cost, symbol in options:
                 if symbol < 0 or (symbol == 0 and state % SYMBOLS == 0):
                     to, total, way = state, score + cost, path
                 else:
                     to = (state * SYMBOLS + symbol) % SYMBOLS**3
-                    total, way = score + cost + float(logs[state, symbol]), (path, reading)
+                    total, way = score + cost + rows[state, symbol], (path, reading)
                 if to not in following or total > following[to][0]:
                     following[to] = (total, way)
         best = following
-    state, (_, path) = max(best.items(), key=lambda x: (x[1][0] + float(logs[x[0], 0]), -x[0]))
+    state, (_, path) = max(best.items(), key=lambda x: (x[1][0] + rows[x[0], 0], -x[0]))
     letters = []
     while path:
         path, letter = path
@@ -143,10 +159,12 @@ class Reader:
         self._logs, self._meaning, self._known = logs, meaning, {}
 
     def words_of(self, token: str) -> list[str]:
-        core = _EDGE.sub("", token)
         words = WORDS.findall(token)
-        if _TRACE.search(core):
-            words += [w for w in WORDS.findall(decode(core, self._logs)) if w not in words]
+        *longer, core = (token,) if token.isalpha() else (edge.sub("", token) for edge in _EDGES)
+        # symbols at the end are read as none, and as letters
+        for text in dict.fromkeys([core, *longer]):
+            if _TRACE.search(text):
+                words += [w for w in WORDS.findall(decode(text, self._logs, len(core))) if w not in words]
         return words
 
     def _of_token(self, token: str) -> tuple:

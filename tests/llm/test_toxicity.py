@@ -55,6 +55,19 @@ def test_disguises_are_read(logs):
     assert reader.read("") == (0, [])
 
 
+@pytest.mark.parametrize(
+    "token,word",
+    [("a$$", "ass"), ("dumba$$", "dumbass"), ("4$$", "ass"), ("455", "ass"), ("$1+", "sit"), ("iidiiot", "idiot"), ("1d10t!", "idiot"), ("f00!", "fool"), ("moron$$", "moron"), ("A$$!", "ass"), ("4$$!!", "ass"), ("moron$$!", "moron")],
+)
+def test_short_and_whole_disguises_are_read(token, word):
+    four = np.zeros((32,) * 4)
+    codes = toxicity._SYMBOL[np.frombuffer(b" the ass and a dumbass sit with the idiot moron and a fool " * 2, np.uint8)]
+    for k in range(len(codes) - 3):
+        four[tuple(codes[k : k + 4])] += 20
+    reader = toxicity.Reader(toxicity.log_probabilities(four), lambda w: (w,))
+    assert word in reader.read(f"you {token} here")[1]
+
+
 def test_held_out_documents(spark, sf_dir):
     folder = sf_dir.replace("sf0.001", "sf0.1")
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
