@@ -2,7 +2,7 @@
 
 An inverted index of the test items holds BM25 weights, divided by the score an item has against itself, so
 that one threshold fits all items. Every passage of every text is a query: two neighbouring segments of its
-words. Items are indexed in blocks with the largest weight of each term in a block. As in block-max WAND, the
+words, which are as long as the items looked for. Items are indexed in blocks with the largest weight of each term in a block. As in block-max WAND, the
 maxima of a passage's terms bound what any item of a block can reach, and blocks below the threshold are skipped;
 the items of the others are scored in full. Where an item reaches the threshold, its question and its answer
 have to be found in the passage. Bounds and scores are computed for many passages at a time.
@@ -95,8 +95,17 @@ class Index:
         return out
 
 
-def build(items: list[tuple[int, str]], frequency: dict[int, int], count: int, mean_length: float, longest: int, settings: Settings) -> Index | None:
-    """``frequency`` of each term, ``count``, ``mean_length`` and ``longest`` are those of all items, indexed here or not."""
+def segment_of(words: int, longest: int) -> int:
+    """Words in a segment for an item of so many words: wherever a copy starts, it ends in the next segment at the latest.
+
+    Items of up to 1024 words share one size, that of the ``longest`` of all items; longer ones have the next power of two.
+    """
+    usual = int(np.clip(longest, 32, 1024))
+    return usual if words <= usual else 1 << (words - 1).bit_length()
+
+
+def build(items: list[tuple[int, str]], frequency: dict[int, int], count: int, mean_length: float, segment: int, settings: Settings) -> Index | None:
+    """``frequency`` of each term, ``count`` and ``mean_length`` are those of all items, indexed here or not."""
     split = [question_and_answer(text) for _, text in items]
     whole, question, answer = (words_of(list(t)) for t in ([t for _, t in items], [q for q, _ in split], [a for _, a in split]))
     triples = []
@@ -120,7 +129,7 @@ def build(items: list[tuple[int, str]], frequency: dict[int, int], count: int, m
     return Index(
         [i for i, _ in items], list(zip(question, answer, strict=True)), terms, slots, np.append(at, len(term)), item, weight,
         np.searchsorted(key[0], np.arange(len(terms) + 1)), key[1], top, len(items) // settings.items_in_block + 1,
-        int(np.clip(longest, 32, 1024)), settings,
+        segment, settings,
     )
 
 
@@ -175,7 +184,10 @@ def scored(index: Index, block: Block) -> Iterator[tuple[int, int, float, float,
 
 
 def indexes(items: DataFrame, settings: Settings) -> Iterator[Index]:
-    """Indexes of all items, a part of bounded size at a time; statistics are those of all items together."""
+    """Indexes of all items, a part of bounded size at a time, items of one size of segment in each.
+
+    Statistics are those of all items together.
+    """
     own = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     parts = max(1, -(-2 * total_bytes(own, "text") // settings.part))
     own = own.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
@@ -194,15 +206,19 @@ def indexes(items: DataFrame, settings: Settings) -> Iterator[Index]:
         terms = seen.where((F.col("part") == part) & F.col("term").isNotNull()).select("term").distinct()
         frequency = {r.term & 0xFFFFFFFFFFFFFFFF: r.n for r in terms.join(sums, "term").collect()}
         rows = [(r.item_id, r.text) for r in own.where(F.col("part") == part).orderBy("item_id", "text").collect()]
-        index = build(rows, frequency, number, max(1.0, length.n / number), length.longest, settings) if rows else None
-        if index:
-            yield index
+        by_segment: dict[int, list[tuple[int, str]]] = {}
+        for row, words in zip(rows, words_of([text for _, text in rows]), strict=True):
+            by_segment.setdefault(segment_of(len(words), length.longest), []).append(row)
+        for segment, own_rows in sorted(by_segment.items()):
+            index = build(own_rows, frequency, number, max(1.0, length.n / number), segment, settings)
+            if index:
+                yield index
 
 
 def matches(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, item_id, score, question and answer: items found in each document, with the best passage's figures.
 
-    Passages cover every whole text. Null and empty texts contain nothing, items without words are never found.
+    Passages cover every whole text, and two of an item's segments hold a copy of it, however long it is. Null and empty texts contain nothing, items without words are never found.
     Repeated rows, and rows of one doc_id, are reported together; rows with null doc_id too. Items of one
     item_id are found if any of their texts is. Other columns than doc_id, item_id and text are not looked at.
     """

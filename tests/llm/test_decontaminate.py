@@ -91,6 +91,20 @@ def test_low_thresholds_and_parts_of_the_index(spark):
     check(spark, docs, items, dc.Settings(part=1500))
 
 
+@pytest.mark.parametrize("length", [1025, 2500, 5000, 20_000])
+def test_copies_of_items_of_any_length_are_found_at_any_offset(spark, length):
+    rng = random.Random(length)
+    item = f"{prose(rng, length // 2).capitalize()}? {prose(rng, length - length // 2)}."
+    items = [(1, item), (2, "What is the name of the tallest peak? It is called Example."), (3, prose(rng, 30))]
+    docs = [(i, f"{prose(rng, offset)} {item} {prose(rng, 700)}") for i, offset in enumerate((0, 1, 500, 1023, 1500, length // 2, length - 1))]
+    docs += [(100, item), (101, prose(rng, 2 * length)), (102, f"{prose(rng, 3000)} {items[1][1]}")]
+    frame, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.score, r.question, r.answer) for r in dc.matches(frame, table).collect()}
+    assert found.keys() == {*((i, 1) for i in (*range(7), 100)), (102, 2)}
+    assert all(v == pytest.approx((1, 1, 1)) for v in found.values())
+    assert [r.doc_id for r in dc.without_leaks(frame, table).collect()] == [101]
+
+
 def test_nulls_ties_empty_and_long_texts(spark):
     rng = random.Random(4)
     item = "What is the name of the tallest mountain in the range? It is called Éxample peak."
