@@ -8,6 +8,7 @@ the false positives each language's fill lets through, and the largest corrected
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,11 +21,13 @@ from pyspark.sql import functions as F
 from quayside.llm.blocks import Block, blocks, fold_of, mix, record_batch, stored, with_rows
 
 UNKNOWN = "und"
+#: Rows of a language that are drawn at least, if it has them.
+LEAST_ROWS = 50
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: about so many labelled documents, chosen by hash, are learned from; it bounds the model.
+    """``sample``: about so many labelled documents, chosen by hash, are learned from, of every language some.
     ``grams``: the most frequent n-grams kept per language. ``least``: an n-gram seen less often is left out.
     ``typical``: an n-gram belongs to a language if its frequency there is this share of its highest one.
     """
@@ -89,6 +92,20 @@ def _places(grams: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashed & last).astype(np.int64), ((hashed >> np.uint64(32)) & last).astype(np.int64)
 
 
+def rows_a_language(counts: list[int], sample: int) -> float:
+    """The most rows of one language if all languages together have ``sample``: small ones whole, large ones alike.
+
+    No fewer than ``LEAST_ROWS``, so that a hash cut leaves some rows of every language.
+    """
+    left, most = float(sample), math.inf
+    for i, n in enumerate(sorted(counts)):
+        if n > left / (len(counts) - i):
+            most = left / (len(counts) - i)
+            break
+        left -= n
+    return max(LEAST_ROWS, most)
+
+
 def learn(docs: DataFrame, labelled, settings: Settings = Settings()) -> Filter:
     """Learn from the rows where ``labelled`` holds and lang is not null; whole texts, in any order of rows.
 
@@ -96,10 +113,13 @@ def learn(docs: DataFrame, labelled, settings: Settings = Settings()) -> Filter:
     ``settings.grams`` n-grams a language. No labelled rows give a filter without languages.
     """
     chosen = docs.select("doc_id", "lang", "text").where(labelled & F.col("lang").isNotNull())
-    total = chosen.count()
-    if total > settings.sample:
-        cut = int(2**62 * settings.sample / total)
-        chosen = chosen.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < cut)
+    rows = {r.lang: r["count"] for r in chosen.groupBy("lang").count().collect()}
+    most = rows_a_language(list(rows.values()), settings.sample)
+    cuts = [(lang, int(2**62 * most / n)) for lang, n in rows.items() if n > most]
+    if cuts:
+        of_language = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long"))
+        drawn = F.col("cut").isNull() | (F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < F.col("cut"))
+        chosen = chosen.join(of_language, "lang", "left").where(drawn).select("doc_id", "lang", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])

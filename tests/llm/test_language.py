@@ -65,3 +65,19 @@ def test_over_64_languages_and_the_cap_on_grams(spark):
     assert len(model.languages) == 100 and model.slots.shape[0] == 2
     pred = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
     assert all(pred[i] == f"l{i:03d}" for i in range(100))
+
+
+def test_a_rare_language_is_in_a_bounded_sample(spark):
+    texts = {"en": "the cat sat on the mat", "de": "der hund und die katze", "fi": "kolme pientä kissaa juoksee"}
+    rows = [(i, texts[lang], lang) for i, lang in enumerate(["en", "de"] * 2000 + ["fi"] * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs, F.lit(True), language.Settings(sample=200))
+    assert model.languages == ("de", "en", "fi")
+    pred = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
+    assert all(pred[i] == lang for i, _, lang in rows)
+
+
+def test_rows_a_language_use_the_whole_sample():
+    assert language.rows_a_language([10, 20], 100) == language.rows_a_language([], 100) == float("inf")
+    assert language.rows_a_language([10, 1000, 1000], 210) == 100
+    assert language.rows_a_language([1000] * 100, 200) == language.LEAST_ROWS
