@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import backoff, byte_bpe, decontaminate, language, license_scan, minhash_forest, suffix_repeats, toxicity, warc, winnowing
+from quayside.llm import backoff, byte_bpe, decontaminate, language, license_scan, minhash_forest, packing, suffix_repeats, toxicity, warc, winnowing
 from quayside.session import configure, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -79,3 +80,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), TOKENIZER)
