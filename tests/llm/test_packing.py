@@ -113,4 +113,5 @@ def test_few_documents_are_cut(spark):
         packer.add(Piece(i, 0, bytes(4 * n), n))
     open_windows = packer.open
     packer.finish()
-    assert sum(map(len, packer.done)) - 20_000 <= open_windows + 11 and open_windows < 3000
+    cuts = sum(map(len, packer.done)) - 20_000
+    assert cuts <= open_windows + 11 and open_windows < 3000, (cuts, open_windows)
