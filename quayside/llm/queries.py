@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import backoff, byte_bpe, conversation_repair, decontaminate, language, license_scan, minhash_forest, packing, suffix_repeats, toxicity, warc, winnowing
+from quayside.llm import backoff, byte_bpe, conversation_repair, decontaminate, language, lexical_search, license_scan, minhash_forest, packing, suffix_repeats, toxicity, warc, winnowing
 from quayside.session import configure, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,11 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_lexical_search"] = lexical_search.ORACLE
