@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quayside.catalog.base import query, table
 from quayside.catalog.views import FEATURES, GAPS_SQL, gaps, matrix, vectors
 from quayside.functions.numeric import array_variance, euclidean, metric_round, top_mean
+from quayside.operators.correlations import correlations_by
+from quayside.operators.grouped_neighbours import nearest_neighbours_by
 from quayside.operators.neighbours import mutual_pairs, nearest_neighbours, tomek_links
 from quayside.operators.quality import (
     class_overlap,
@@ -163,6 +165,29 @@ def _(spark, sf_dir):
     return nearest_neighbours(vectors(spark, sf_dir), "id", "x").withColumn("distance", F.round("distance", 6))
 
 
+@query("hashed_nearest_neighbours")
+def _(spark, sf_dir):
+    found = nearest_neighbours(vectors(spark, sf_dir), "id", "x", method="hashed")
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "hashed_neighbour_recall",
+    f"""WITH {NEAREST_SQL} SELECT count(*) AS "rows", count(*) AS answered, 0 AS nearer_than_nearest, true AS recall_reached FROM near""",
+)
+def _(spark, sf_dir):
+    """The hashed form against the exact one, for every row."""
+    rows = vectors(spark, sf_dir)
+    exact = nearest_neighbours(rows, "id", "x").select("id", F.col("distance").alias("least"))
+    both = exact.join(nearest_neighbours(rows, "id", "x", method="hashed"), "id", "left")
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("distance").alias("answered"),
+        F.count_if(F.col("distance") < F.col("least") * (1 - 1e-9)).cast("int").alias("nearer_than_nearest"),
+        (F.avg((F.col("distance") <= F.col("least") * (1 + 1e-9)).cast("int")) >= 0.9).alias("recall_reached"),
+    )
+
+
 @query("mutual_neighbours", f"WITH {NEAREST_SQL} SELECT low, high FROM links")
 def _(spark, sf_dir):
     return mutual_pairs(nearest_neighbours(vectors(spark, sf_dir), "id", "x")).select("low", "high")
@@ -205,6 +230,49 @@ def _(spark, sf_dir):
     return class_overlap_by(rows, "dataset", "id", "x", "y").withColumn("class_overlap", F.round("class_overlap", 6))
 
 
+@query(
+    "nearest_neighbours_by_dataset",
+    """WITH v AS (SELECT vec_id AS id, nullif(vec_id % 97, 5) AS dataset, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
+    SELECT a.dataset, a.id, arg_min(b.id, (list_distance(a.x, b.x), b.id)) AS neighbour, round(min(list_distance(a.x, b.x)), 6) AS distance
+    FROM v a JOIN v b ON a.id <> b.id AND a.dataset IS NOT DISTINCT FROM b.dataset GROUP BY a.dataset, a.id""",
+)
+def _(spark, sf_dir):
+    rows = vectors(spark, sf_dir).withColumn("dataset", F.nullif(F.col("id") % 97, F.lit(5)))
+    near = nearest_neighbours_by(rows, "dataset", "id", "x")
+    return near.select(F.col("by").alias("dataset"), "id", "neighbour", F.round("distance", 6).alias("distance"))
+
+
+#: 64 features, a few cells missing, and a dataset for each label and parity.
+WIDE_SQL = """
+w AS (SELECT label, vec_id % 2 AS parity, i, vec_id, CASE WHEN (vec_id + 3 * i) % 11 <> 0 THEN CAST(embedding[i + 1] AS DOUBLE) END AS v
+ FROM embeddings, range(64) r(i)),
+pairs AS (SELECT a.label, a.parity, a.i AS "left", b.i AS "right", corr(a.v, b.v) AS r FROM w a JOIN w b ON a.vec_id = b.vec_id AND a.i < b.i
+ GROUP BY a.label, a.parity, a.i, b.i)"""
+WIDE = [f"f{i}" for i in range(64)]
+
+
+def wide(spark, sf_dir):
+    cell = [F.when((F.col("vec_id") + 3 * i) % 11 != 0, F.col("embedding")[i].cast("double")).alias(c) for i, c in enumerate(WIDE)]
+    return table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 2).alias("parity"), *cell)
+
+
+@query("wide_correlations_by_dataset", f'WITH {WIDE_SQL} SELECT label, parity, "left", "right", round(r, 6) AS r FROM pairs')
+def _(spark, sf_dir):
+    place = F.array(*[F.struct(F.lit(i).cast("long").alias("left"), F.lit(j).cast("long").alias("right")) for i in range(64) for j in range(i + 1, 64)])
+    found = correlations_by(wide(spark, sf_dir), WIDE, ["label", "parity"])
+    each = found.select("label", "parity", F.posexplode("r").alias("at", "r"))
+    return each.select("label", "parity", place[F.col("at")].alias("p"), F.round("r", 6).alias("r")).select("label", "parity", "p.*", "r")
+
+
+@query(
+    "wide_feature_correlation_by_dataset",
+    f"""WITH {WIDE_SQL} SELECT label, parity, round_even(1 - 2 * sum(CASE WHEN abs(r) < 1 - 1e-12 THEN abs(r) ELSE 0 END) / 2016.0e0, 4)
+    AS feature_correlation FROM pairs GROUP BY label, parity""",
+)
+def _(spark, sf_dir):
+    return feature_correlation(wide(spark, sf_dir), WIDE, by=["label", "parity"])
+
+
 @query(
     "euclidean_to_class_centre",
     """WITH cells AS (SELECT vec_id, label, unnest(range(64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),

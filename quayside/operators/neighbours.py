@@ -1,10 +1,11 @@
-"""Exact nearest neighbour of every row, and the mutual pairs built on it.
+"""Nearest neighbour of every row, exact or in hashed orders, and the mutual pairs built on it.
 
-The search space is divided around pivot rows. A row first looks for a neighbour in its own
+For the exact form the search space is divided around pivot rows. A row first looks for a neighbour in its own
 block, which bounds the distance; it then visits only those blocks that the triangle inequality
 cannot rule out. Blocks hold a limited number of rows and the visitors of a block are spread over
 several tasks, so no task grows with the data. The pivots influence the speed only, never the result.
-Equal rows are folded into one before the search, so a mass of copies costs nothing.
+Equal rows are folded into one before the search, so a mass of copies costs nothing. With many dimensions nothing can
+be ruled out and the exact form compares all pairs; above some 100 000 rows ``method="hashed"`` is meant.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.operators.hashed_neighbours import Hashing, hashed_search
 from quayside.operators.ordered import DEFAULT_SKEW, Skew, lookup
 from quayside.operators.positions import uniform_hash
+from quayside.operators.vectors import nearest_of
 from quayside.session import settle
 
 PIVOT_BYTES = 32 << 20
@@ -40,23 +43,10 @@ def _pivot_distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def _best(visitor_ids, visitors, member_ids, members, rows: int = 512):
+def _best(visitor_ids, visitors, member_ids, members):
     """Nearest member per visitor other than itself; ties go to the lowest id."""
-    order = np.argsort(member_ids, kind="stable")
-    member_ids, members = member_ids[order], members[order]
-    names = np.empty(len(visitor_ids), "int64")
-    squares = np.empty(len(visitor_ids))
-    for start in range(0, len(visitor_ids), rows):
-        part = slice(start, start + rows)
-        total = np.zeros((len(visitor_ids[part]), len(member_ids)))
-        for axis in range(members.shape[1]):
-            step = visitors[part, axis, None] - members[None, :, axis]
-            total += step * step
-        total[visitor_ids[part, None] == member_ids[None, :]] = np.inf
-        nearest = total.argmin(axis=1)
-        names[part] = member_ids[nearest]
-        squares[part] = total[np.arange(len(nearest)), nearest]
-    found = np.isfinite(squares)
+    squares, names = nearest_of(visitors, visitor_ids, members, member_ids)
+    found = names >= 0
     return pd.DataFrame({"id": visitor_ids[found], "neighbour": names[found], "square": squares[found]})
 
 
@@ -200,16 +190,32 @@ def _search(points: DataFrame, rows: int, block: int) -> DataFrame:
     return nearest.select("id", "_best.neighbour", F.sqrt("_best.square").alias("distance"))
 
 
+def usable_vector(vector: str) -> Column:
+    """Whether all elements are numbers; null for a null vector."""
+    return F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+
+
 def nearest_neighbours(
-    df: DataFrame, ident: str, vector: str, block: int = 2048, skew: Skew = DEFAULT_SKEW
+    df: DataFrame,
+    ident: str,
+    vector: str,
+    block: int = 2048,
+    skew: Skew = DEFAULT_SKEW,
+    method: str = "exact",
+    hashing: Hashing = Hashing(),
 ) -> DataFrame:
-    """(id, neighbour, distance) for every row: Euclidean, exact, ties to the lowest id.
+    """(id, neighbour, distance) for every row: Euclidean, ties to the lowest id.
+
+    ``method="hashed"`` finds the nearest neighbour of a share of the rows, measured against ``hashing.recall``, and a near
+    one of the others; copies are always found. It exchanges each row once an order, the exact form up to all pairs.
 
     A vector with a null, NaN or infinite element has no distances and is an error. Very large elements
     are scaled by a power of two first, so that no square overflows; a single row has no neighbour.
     """
+    if method not in ("exact", "hashed"):
+        raise ValueError(f"there is no method {method}")
     rows = df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
-    usable = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    usable = usable_vector("x")
     largest = F.array_max(F.transform("x", lambda v: F.abs(v)))
     checked = rows.agg(F.count_if(~F.coalesce(usable, F.lit(False))).alias("bad"), F.max(F.when(usable, largest)).alias("top")).first()
     if checked["bad"]:
@@ -217,7 +223,7 @@ def nearest_neighbours(
     if (checked["top"] or 0.0) > 1e140:
         scale = 2.0 ** -(math.frexp(checked["top"])[1])
         found = nearest_neighbours(
-            rows.select("id", F.transform("x", lambda v: v * F.lit(scale)).alias("x")), "id", "x", block, skew
+            rows.select("id", F.transform("x", lambda v: v * F.lit(scale)).alias("x")), "id", "x", block, skew, method, hashing
         )
         return found.withColumn("distance", F.col("distance") / F.lit(scale))
     points = settle(_folded(rows))
@@ -230,7 +236,10 @@ def nearest_neighbours(
         F.when(F.col("id") == F.col("lowest"), F.col("second")).otherwise(F.col("lowest")).alias("neighbour"),
         F.lit(0.0).alias("distance"),
     )
-    return copies if count == 1 else copies.unionByName(_search(points, count, block))
+    if count == 1:
+        return copies
+    searched = hashed_search(points, count, hashing) if method == "hashed" else _search(points, count, block)
+    return copies.unionByName(searched)
 
 
 def mutual_pairs(neighbours: DataFrame) -> DataFrame:
@@ -246,9 +255,11 @@ def mutual_pairs(neighbours: DataFrame) -> DataFrame:
     return both.filter("_sides = 2").drop("_sides")
 
 
-def tomek_links(df: DataFrame, ident: str, vector: str, label: str, neighbours: DataFrame | None = None) -> DataFrame:
+def tomek_links(
+    df: DataFrame, ident: str, vector: str, label: str, neighbours: DataFrame | None = None, method: str = "exact"
+) -> DataFrame:
     """Mutual nearest neighbours with different labels: low, high, low_label, high_label."""
-    near = nearest_neighbours(df, ident, vector) if neighbours is None else neighbours
+    near = nearest_neighbours(df, ident, vector, method=method) if neighbours is None else neighbours
     # long form: one row per member, so that each label is looked up by a unique id
     members = mutual_pairs(near).select("low", "high", F.explode(F.array("low", "high")).alias("id"))
     labels = df.select(F.col(ident).cast("long").alias("id"), F.col(label).alias("_label"))

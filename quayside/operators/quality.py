@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions.numeric import absent, array_variance, finite, metric_round, standardise, top_mean
+from quayside.operators.correlations import correlations_by
+from quayside.operators.grouped_neighbours import MOST_ROWS, nearest_neighbours_by
 from quayside.operators.neighbours import link_members, tomek_links
 from quayside.operators.ordered import DEFAULT_SKEW, Skew, lookup, ranked
 from quayside.operators.sampling import contiguous_folds
@@ -112,14 +114,26 @@ def _counted(r: Column) -> Column:
     return F.when(F.abs(r) < 1 - 1e-12, F.abs(r))
 
 
+#: Pairs that are aggregated by an expression each.
+MOST_PAIR_EXPRESSIONS = 45
+
+
 def feature_correlation(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """1 minus twice the mean absolute correlation of feature pairs."""
+    """1 minus twice the mean absolute correlation of feature pairs.
+
+    Datasets named in ``by`` with few pairs are aggregated by an expression for each pair, others by ``correlations_by``.
+    """
     size = len(features)
     if not by:
         return correlation_pairs(df, features).agg(
             _correlation_score(F.sum(_counted(F.col("r"))), size).alias("feature_correlation")
         )
 
+    if size * (size - 1) // 2 > MOST_PAIR_EXPRESSIONS:
+        found = correlations_by(df, features, by)
+        total = F.aggregate("r", F.lit(0.0), lambda s, r: s + F.coalesce(_counted(r), F.lit(0.0)))
+        return found.select(*by, _correlation_score(total, size).alias("feature_correlation"))
+
     def pearson(a: str, b: str) -> Column:
         # corr() fails on a constant column, where the correlation is undefined
         spread = F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b)))
@@ -181,41 +195,44 @@ def minority_class(df: DataFrame, label: str) -> DataFrame:
 
 
 def class_overlap(
-    df: DataFrame, ident: str, vector: str, label: str, links: DataFrame | None = None, classify: bool = True
+    df: DataFrame,
+    ident: str,
+    vector: str,
+    label: str,
+    links: DataFrame | None = None,
+    classify: bool = True,
+    method: str = "exact",
 ) -> DataFrame:
-    """Share of rows left after dropping the link members outside the smallest class; 1 if labels are no classes."""
+    """Share of rows left after dropping the link members outside the smallest class; 1 if labels are no classes.
+
+    ``method``: as in ``nearest_neighbours``; with "hashed" links are looked for among the neighbours found.
+    """
     if not classify:
         return df.agg((F.lit(1.0) + 0 * F.count(F.lit(1))).alias("class_overlap"))
-    found = tomek_links(df, ident, vector, label) if links is None else links
+    found = tomek_links(df, ident, vector, label, method=method) if links is None else links
     dropped = link_members(found).filter(F.col("label") != minority_class(df, label).scalar())
     removed = dropped.agg(F.count(F.lit(1)).alias("n")).scalar()
     return df.agg((1 - removed / F.count(F.lit(1))).alias("class_overlap"))
 
 
-def class_overlap_by(df: DataFrame, by: str, ident: str, vector: str, label: str) -> DataFrame:
-    """``class_overlap`` of every dataset named in ``by``, with one search for all of them.
+def class_overlap_by(df: DataFrame, by: str, ident: str, vector: str, label: str, most: int = MOST_ROWS) -> DataFrame:
+    """``class_overlap`` of every dataset named in ``by``, each searched by itself; see ``nearest_neighbours_by``.
 
-    A further coordinate holds the datasets farther apart than any two vectors are, so a nearest neighbour
-    is of the own dataset, and distances within it stay as they are. A dataset of one row has no link.
+    Ids are unique within a dataset. A dataset of one row has no link.
     """
-    rows = df.select(F.col(by).alias("_by"), F.col(label).alias("_y"), F.col(ident).alias("_id"), F.col(vector).cast("array<double>").alias("_x"))
-    largest = rows.agg(F.max(F.aggregate("_x", F.lit(0.0), lambda s, v: s + v * v))).first()[0] or 0.0
-    # one row for each dataset
-    numbers = rows.select(F.col("_by").alias("_of")).distinct().withColumn("_n", F.row_number().over(Window.orderBy("_of")))
-    apart = settle(
-        rows.join(numbers, F.col("_by").eqNullSafe(F.col("_of"))).select(
-            "_id",
-            F.struct(F.col("_by").alias("by"), F.col("_y").alias("y")).alias("_class"),
-            F.concat("_x", F.array(F.col("_n") * (4 * math.sqrt(largest) + 1))).alias("_at"),
-        )
-    )
-    found = tomek_links(apart, "_id", "_at", "_class").filter(F.col("low_label.by").eqNullSafe(F.col("high_label.by")))
-    sizes = apart.groupBy(F.col("_class.by").alias("_by"), F.col("_class.y").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    whole = sizes.groupBy("_by").agg(F.min_by("y", F.struct("n", "y")).alias("least"), F.sum("n").alias("rows"))
-    members = link_members(found).select(F.col("label.by").alias("_in"), F.col("label.y").alias("y"))
-    dropped = F.count_if(~F.col("y").eqNullSafe(F.col("least")) & F.col("_linked"))
-    joined = whole.join(members.withColumn("_linked", F.lit(True)), F.col("_by").eqNullSafe(F.col("_in")), "left")
-    return joined.groupBy("_by", "rows").agg(dropped.alias("d")).select(F.col("_by").alias(by), (1 - F.col("d") / F.col("rows")).alias("class_overlap"))
+    rows = df.select(F.col(by).alias("by"), F.col(label).alias("y"), F.col(ident).cast("long").alias("id"), F.col(vector).alias("x"))
+    near = nearest_neighbours_by(rows, "by", "id", "x", most)
+    pairs = near.groupBy("by", F.least("id", "neighbour").alias("low"), F.greatest("id", "neighbour").alias("high")).agg(F.count(F.lit(1)).alias("sides"))
+    members = pairs.filter("sides = 2").select(F.col("by").alias("of"), "low", "high", F.explode(F.array("low", "high")).alias("member"))
+    labelled = members.join(rows.select("by", "y", "id"), F.col("of").eqNullSafe(F.col("by")) & (F.col("member") == F.col("id")))
+    links = labelled.groupBy("by", "low", "high").agg(F.collect_list("y").alias("labels")).filter(F.col("labels")[0] != F.col("labels")[1])
+    linked = links.select(F.col("by").alias("of"), F.explode("labels").alias("y")).groupBy("of", "y").agg(F.count(F.lit(1)).alias("linked"))
+    sizes = rows.groupBy("by", "y").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy("by").agg(F.min_by("y", F.struct("n", "y")).alias("least"), F.sum("n").alias("rows"))
+    joined = whole.join(linked, F.col("by").eqNullSafe(F.col("of")), "left")
+    dropped = F.sum(F.when(~F.col("y").eqNullSafe(F.col("least")), F.col("linked")))
+    share = 1 - F.coalesce(dropped, F.lit(0)) / F.col("rows")
+    return joined.groupBy("by", "rows").agg(share.alias("class_overlap")).select(F.col("by").alias(by), "class_overlap")
 
 
 def out_of_fold_probabilities(
