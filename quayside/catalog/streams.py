@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from quayside.catalog import cost, training, views
 from quayside.catalog.base import query, table
-from quayside.operators.rounds import closed_rounds, price_rounds
+from quayside.operators.rounds import closed_rounds, fold_rounds, price_rounds
 from quayside.schemas import ROUND_KEYS
-from quayside.session import scratch
+from quayside.session import scratch, settle
 from quayside.plans.dashboard import cost_dashboard
 from quayside.sources.sinks import append_batch, measurement_points
-from quayside.streaming.costs import drain, fold_writer, folded_costs, stored_folds
+from quayside.streaming.costs import current_folds, drain, fold_writer, folded_costs, stored_folds
+from quayside.streaming.live_dashboard import live_dashboard, shown_dashboard
+from quayside.streaming.liveness import transitions
 from quayside.streaming.monitoring import gate_writer, online_spells, stored_samples
+from quayside.streaming.round_state import keyed_rounds, resumed_rounds
 from quayside.streaming.sources import configure_streams, table_stream
 
 
@@ -41,6 +44,34 @@ def _(spark, sf_dir):
     return closed_rounds(price_rounds(stored_folds(spark.read.parquet(path)), views.prices(spark, sf_dir)))
 
 
+@query("round_cost_keyed_state", f"WITH {views.ROUNDS_SQL} SELECT {cost.COST_ROW_SQL} FROM round_cost")
+def _(spark, sf_dir):
+    """Keyed state over the later half of the events; the fold of the earlier half is its initial state."""
+    path, events = scratch(spark, "keyed-rounds"), table(spark, sf_dir, "events")
+    middle = F.lit(events.agg(F.percentile_approx("ts", 0.5)).first()[0])
+    folds = settle(fold_rounds(views.messages_of(events.filter(F.col("ts") < middle)), views.MESSAGE_ORDER))
+    later = views.messages_of(_event_stream(spark, sf_dir).filter(F.col("ts") >= middle))
+    drain(keyed_rounds(later, views.MESSAGE_ORDER, initial=folds), append_batch(path), scratch(spark, "log"))
+    rows = closed_rounds(price_rounds(resumed_rounds(spark.read.parquet(path), folds), views.prices(spark, sf_dir)))
+    return rows.select(*ROUND_KEYS, F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "edge_id", *cost.COST_FIELDS)
+
+
+@query(
+    "edge_transitions_stream",
+    """WITH marked AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER w + INTERVAL 600 SECONDS, true) AS opens,
+      coalesce(lead(ts) OVER w > ts + INTERVAL 600 SECONDS, true) AS closes FROM events
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    told AS (SELECT user_id AS edge_id, 'online' AS status, date_trunc('milliseconds', ts) AS "at" FROM marked WHERE opens
+      UNION ALL SELECT user_id, 'offline', date_trunc('milliseconds', ts) + INTERVAL 600 SECONDS FROM marked WHERE closes)
+    SELECT * FROM told WHERE "at" <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 600 SECONDS FROM events)""",
+)
+def _(spark, sf_dir):
+    beats = _event_stream(spark, sf_dir).select(F.col("user_id").alias("edge_id"), F.col("ts").cast("timestamp").alias("arrived"))
+    path = scratch(spark, "transitions")
+    drain(transitions(beats), append_batch(path), scratch(spark, "log"), "append", empty_batches=True)
+    return spark.read.parquet(path).select("edge_id", "status", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
 @query("cost_dashboard_stream", training.DASHBOARD_SQL)
 def _(spark, sf_dir):
     points = measurement_points(_cost_stream(spark, sf_dir)).filter("value IS NOT NULL")
@@ -50,6 +81,33 @@ def _(spark, sf_dir):
     )
 
 
+@query("round_cost_from_compacted_folds", f"WITH {views.ROUNDS_SQL} SELECT {cost.COST_ROW_SQL} FROM round_cost")
+def _(spark, sf_dir):
+    """Ten batches in event order, merged into a base every third batch."""
+    path, events = scratch(spark, "folds"), table(spark, sf_dir, "events")
+    cuts = [F.lit(c) for c in events.agg(F.percentile_approx("ts", [i / 10 for i in range(1, 10)])).first()[0]]
+    number = sum((F.when(F.col("ts") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    write = fold_writer(path, views.MESSAGE_ORDER, compact_every=3)
+    for batch in range(10):
+        write(views.messages_of(events.filter(number == batch)), batch)
+    return closed_rounds(price_rounds(stored_folds(current_folds(spark, path)), views.prices(spark, sf_dir))).select(
+        *ROUND_KEYS, F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "edge_id", *cost.COST_FIELDS
+    )
+
+
+@query("cost_dashboard_live", training.DASHBOARD_SQL)
+def _(spark, sf_dir):
+    """Cost records arrive in six files in no order of time, so most points come late."""
+    configure_streams(spark)
+    source, path = scratch(spark, "cost-records"), scratch(spark, "dashboard")
+    records = cost.cost_rows(spark, sf_dir).withColumn("version", F.lit(0)).withColumn("part", F.pmod(F.xxhash64(*ROUND_KEYS), F.lit(6)))
+    records.repartition(6, "part").drop("part").write.parquet(source)
+    stream = table_stream(spark, source, spark.read.parquet(source).schema, files_per_batch=2)
+    drain(live_dashboard(stream), append_batch(path), scratch(spark, "log"))
+    board = shown_dashboard(spark.read.parquet(path))
+    return board.withColumns({"time": F.col("time").cast("timestamp_ntz"), "total_cost": F.round("total_cost", 6)})
+
+
 @query(
     "online_spells_stream",
     """WITH marked AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER w + INTERVAL 600 SECONDS, true) AS fresh_start FROM events

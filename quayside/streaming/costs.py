@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -104,16 +106,16 @@ def round_cost_stream(
     return closed_rounds(price_rounds(folded_stream(messages, timeout_ms), prices, costs, memory_unit))
 
 
-def drain(stream: DataFrame, write, checkpoint: str, mode: str = "update") -> None:
+def drain(stream: DataFrame, write, checkpoint: str, mode: str = "update", empty_batches: bool = False) -> None:
     """Process everything available with a foreachBatch writer, and stop.
 
-    A state timeout keeps asking for empty batches, which would keep such a run from ending,
-    so they are off for it; a live stream needs them.
+    A timeout in processing time keeps asking for empty batches, which would keep such a run from ending,
+    so they are off for it; a live stream needs them, and so do timers in event time.
     """
     conf = stream.sparkSession.conf
     setting = "spark.sql.streaming.noDataMicroBatches.enabled"
     before = conf.get(setting)
-    conf.set(setting, "false")
+    conf.set(setting, str(empty_batches).lower())
     try:
         query = (
             stream.writeStream.outputMode(mode)
@@ -132,19 +134,74 @@ def stored_rounds(written: DataFrame) -> DataFrame:
     return latest_batch_rows(written, ROUND_KEYS).drop("batch")
 
 
-def fold_writer(path: str, order: Sequence[str] = ("timestamp",), skew: Skew | None = DEFAULT_SKEW):
+def fold_writer(path: str, order: Sequence[str] = ("timestamp",), skew: Skew | None = DEFAULT_SKEW, compact_every: int = 0):
     """foreachBatch writer for streams with very busy rounds: stores the fold of each batch.
 
     A batch is folded without Python and spread over tasks even where one round holds most of it.
     Nothing is kept between batches; ``stored_folds`` merges what was written. Use this instead of
-    the keyed state when throughput matters more than publishing every round at once.
+    the keyed state when throughput matters more than publishing every round at once. With ``compact_every`` the
+    folds of all batches before are merged into one base whenever so many are new; see ``compact``.
     """
     write = append_batch(path)
-    return lambda df, batch_id: write(fold_rounds(df, order, skew=skew), batch_id)
+
+    def fold(df: DataFrame, batch_id: int) -> None:
+        # all batches before this one are complete
+        if compact_every and batch_id and batch_id % compact_every == 0:
+            compact(df.sparkSession, path, batch_id - 1)
+        write(fold_rounds(df, order, skew=skew), batch_id)
+
+    return fold
+
+
+def _base(path: str) -> str:
+    return f"{path.rstrip('/')}-base"
+
+
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def compacted_through(spark: SparkSession, path: str) -> int:
+    """The last batch that a finished base holds; -1 without one."""
+    done = _written(spark, f"{_base(path)}/done")
+    return -1 if done is None else int(done.agg(F.coalesce(F.max("through"), F.lit(-1))).first()[0])
+
+
+def current_folds(spark: SparkSession, path: str, through: int | None = None) -> DataFrame | None:
+    """The base and the folds of newer batches, as parts numbered by batch; None if nothing is written.
+
+    Only folders of newer batches are read, however many there were before.
+    """
+    base = compacted_through(spark, path)
+    parts = [] if base < 0 else [spark.read.parquet(f"{_base(path)}/folds/through={base}").withColumn("batch", F.lit(base))]
+    newer = _written(spark, path)
+    if newer is not None:
+        own = newer.filter(F.col("batch") > base)
+        parts.append(own if through is None else own.filter(F.col("batch") <= through))
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+
+
+def compact(spark: SparkSession, path: str, through: int) -> None:
+    """Merge the base and the folds of the batches up to ``through``, all of them complete, into a new base.
+
+    A base is used only once a row in ``done`` names it, which is written last; so an interrupted run leaves the
+    older base in use, and a repeated one writes the same again. Batch folders are left where they are.
+    """
+    if compacted_through(spark, path) >= through:
+        return
+    folds = current_folds(spark, path, through)
+    if folds is not None:
+        merge_folds(folds, "batch").write.mode("overwrite").parquet(f"{_base(path)}/folds/through={through}")
+        spark.range(1).select(F.lit("folds").alias("what")).write.mode("overwrite").parquet(f"{_base(path)}/done/through={through}")
 
 
 def stored_folds(written: DataFrame) -> DataFrame:
-    """Current state of every round from the folds of all batches."""
+    """Current state of every round from the folds of all batches, or from ``current_folds``."""
     return merge_folds(written, "batch")
 
 
