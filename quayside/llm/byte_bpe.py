@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,9 @@ from quayside.llm.blocks import with_rows
 MOST_RANK_BYTES = 64 << 20
 #: Pieces kept per worker; beyond that the memory of pieces starts anew.
 MOST_PIECES = 300_000
+LONGEST_PIECE = 64
+#: Documents decoded in one step.
+DECODED_AT_ONCE = 256
 
 
 class Vocabulary:
@@ -44,7 +48,7 @@ class Vocabulary:
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._shorter: dict[int, int | None] = {}
         self._compatible: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, tuple[int, ...]] = {}
+        self._pieces: dict[str, bytes] = {}
 
     def parts(self, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; none for a byte or a token that merges never make."""
@@ -123,16 +127,38 @@ class Vocabulary:
         return tuple(ids)
 
     def encode(self, text: str) -> Iterator[tuple[int, ...]]:
-        known = self._pieces
-        for piece in self._split(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece.encode())
-                if len(piece) <= 64:
-                    if len(known) >= MOST_PIECES:
-                        known.clear()
-                    known[piece] = ids
-            yield ids
+        """Ids of each piece."""
+        return (self.encode_piece(piece.encode()) for piece in self._split(text))
+
+    def ids(self, text: str) -> bytes:
+        """Ids of a whole text as 32-bit integers; pieces met before are remembered."""
+        pieces, known = self._split(text), self._pieces
+        missing = [piece for piece in dict.fromkeys(pieces) if piece not in known]
+        if not missing:
+            return b"".join(map(known.__getitem__, pieces))
+        if len(known) + len(missing) > MOST_PIECES:
+            known.clear()
+            missing = list(dict.fromkeys(pieces))
+        own = {piece: array("i", self.encode_piece(piece.encode())).tobytes() for piece in missing}
+        known.update((piece, ids) for piece, ids in own.items() if len(piece) <= LONGEST_PIECE)
+        return b"".join([own[piece] if piece in own else known[piece] for piece in pieces])
+
+    @functools.cached_property
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all tokens in one run, where each starts and its size; size -1 for ids that are no token."""
+        sizes = np.full(max(self.tokens, default=-1) + 1, -1, np.int64)
+        sizes[list(self.tokens)] = [len(token) for token in self.tokens.values()]
+        data = np.frombuffer(b"".join(self.tokens[i] for i in np.flatnonzero(sizes >= 0).tolist()), np.uint8)
+        return data, np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0), sizes
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids, and how many each gives."""
+        data, starts, sizes = self._table
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes) or (sizes[ids] < 0).any()):
+            raise KeyError("there is an id that is no token")
+        own = sizes[ids]
+        ends = np.cumsum(own)
+        return data[np.repeat(starts[ids] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)], own
 
 
 @functools.lru_cache(2)
@@ -166,12 +192,9 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", into
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(ranks.value, pattern)
         for batch in with_rows(batches):
-            flat, offsets = array("i"), [0]
-            for value in batch.column(text):
-                for ids in words.encode(value.as_py() or ""):
-                    flat.extend(ids)
-                offsets.append(len(flat))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+            rows = [words.ids(value.as_py() or "") for value in batch.column(text)]
+            offsets = np.concatenate([[0], np.cumsum([len(row) // 4 for row in rows])])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, into])
 
     return df.mapInArrow(run, schema)
@@ -183,10 +206,17 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", into:
     schema = _appended(df, into, T.BinaryType())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = vocabulary(ranks.value, pattern).tokens
+        words = vocabulary(ranks.value, pattern)
         for batch in with_rows(batches):
+            texts: list[bytes] = []
             lists = batch.column(batch.schema.names.index(ids))
-            texts = [b"".join(map(tokens.__getitem__, lists[i].values.to_pylist())) if lists[i].is_valid else b"" for i in range(len(lists))]
+            for at in range(0, len(lists), DECODED_AT_ONCE):
+                some = lists.slice(at, DECODED_AT_ONCE)
+                flat = some.flatten()  # without what lies under a null
+                data, sizes = words.decode(flat.to_numpy(zero_copy_only=False).astype(np.int64))
+                ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(some), 0).to_numpy())])]
+                run = data.tobytes()
+                texts += [run[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, into])
 
     return df.mapInArrow(run, schema)

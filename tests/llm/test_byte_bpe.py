@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import numpy as np
 import pytest
 import tiktoken
 
@@ -70,3 +71,23 @@ def test_empty_table_and_clashing_names(spark):
         byte_bpe.encode(clash, PATH, PATTERN)
     assert byte_bpe.encode(clash, PATH, PATTERN, into="tokens").columns == ["doc_id", "text", "ids", "tokens"]
     assert byte_bpe.token_digests(clash, PATH, PATTERN).count() == 1
+
+
+def test_remembered_pieces_and_decoded_ids(words):
+    text = "some words, some more words \u00e9\u4e2d " * 50
+    for _ in range(2):
+        ids = np.frombuffer(words.ids(text), np.int32)
+        assert ids.tolist() == [i for piece in words.encode(text) for i in piece]
+    data, sizes = words.decode(ids)
+    assert data.tobytes().decode() == text and sizes.sum() == len(text.encode())
+    assert words.decode(ids[:0])[0].size == 0 and words.ids("") == b""
+    for wrong in (-1, 10**6):
+        with pytest.raises(KeyError):
+            words.decode(np.array([wrong]))
+
+
+def test_pieces_are_forgotten_beyond_the_limit(words, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MOST_PIECES", 10)
+    for i in range(40):
+        text = f"piece {i} and {i * 7} others"
+        assert np.frombuffer(words.ids(text), np.int32).tolist() == [n for piece in words.encode(text) for n in piece]
