@@ -32,15 +32,16 @@ KEPT, SWAPPED, DROPPED, BROKEN = (math.log(p) for p in (0.6, 0.3, 0.3, 0.03))
 SYMBOLS = 32
 WORDS = re.compile(r"[^\W\d_]+")
 _LOOKS = "".join(map(re.escape, LOOKS_LIKE))
-#: Around a token: punctuation; at its end also marks that end sentences; also other symbols that look like letters.
-_EDGES = tuple(
-    re.compile(rf"^[^\w{_LOOKS}]+|{end}")
-    for end in (rf"[^\w{_LOOKS}]+$", r"[^\w$@€£+]+$", r"[^\w$@€£+]+$|(?<=\w)[$@€£+]{2,}[^\w$@€£+]*$")
-)
-#: A character that looks like a letter, a letter twice in a row, or a letter beside anything else.
-_TRACE = re.compile(rf"[{_LOOKS}]|([^\W\d_])\1|[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]", re.S)
-#: Tokens whose reading a worker remembers.
-MOST_TOKENS = 200_000
+_CURRENCY = frozenset("$@€£+")
+#: A character that looks like a letter, or a letter twice in a row.
+_DISGUISE = re.compile(rf"[{_LOOKS}]|([^\W\d_])\1")
+_LETTER, _OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]")
+#: Three single characters in a row.
+_SPACED = re.compile(r"(?<!\S)\S\s+\S\s+\S(?!\S)")
+#: Tokens after which a worker forgets those it has not met since as many before.
+MOST_TOKENS = 150_000
+#: Rows handed on at a time.
+ROWS_OUT = 1000
 
 
 @dataclass(frozen=True)
@@ -152,38 +153,76 @@ def decode(text: str, logs: np.ndarray, letters_from: int | None = None) -> str:
     return "".join(reversed(letters)).strip()
 
 
+def _is_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def cores(token: str) -> list[str]:
+    """The token without punctuation around it: at its end also without other symbols that look like letters, and without a
+    run of currency signs after a word. Every end is looked at character by character, so long tokens cost their length."""
+    start, end = 0, len(token)
+    while start < end and not (_is_word(token[start]) or token[start] in LOOKS_LIKE):
+        start += 1
+    longest = end
+    while longest > start and not (_is_word(token[longest - 1]) or token[longest - 1] in LOOKS_LIKE):
+        longest -= 1
+    while end > start and not (_is_word(token[end - 1]) or token[end - 1] in _CURRENCY):
+        end -= 1
+    before = end
+    while before > start and token[before - 1] in _CURRENCY:
+        before -= 1
+    bare = before if end - before > 1 and before > start and _is_word(token[before - 1]) else end
+    return [token[start:longest], token[start:end], token[start:bare]]
+
+
+def is_traced(text: str) -> bool:
+    """Whether the text may be disguised: a look-alike, a letter twice in a row, or letters beside anything else."""
+    return bool(_DISGUISE.search(text)) or bool(_LETTER.search(text) and _OTHER.search(text))
+
+
 class Reader:
     """The words of texts after restoring disguised ones; what a token's words become is remembered."""
 
     def __init__(self, logs: np.ndarray, meaning: Callable[[str], Iterable]) -> None:
-        self._logs, self._meaning, self._known = logs, meaning, {}
+        self._logs, self._meaning = logs, meaning
+        # what was met lately, and before that
+        self._known: dict[str, tuple] = {}
+        self._older: dict[str, tuple] = {}
 
     def words_of(self, token: str) -> list[str]:
         words = WORDS.findall(token)
-        *longer, core = (token,) if token.isalpha() else (edge.sub("", token) for edge in _EDGES)
+        *longer, core = (token,) if token.isalpha() else cores(token)
         # symbols at the end are read as none, and as letters
         for text in dict.fromkeys([core, *longer]):
-            if _TRACE.search(text):
+            if is_traced(text):
                 words += [w for w in WORDS.findall(decode(text, self._logs, len(core))) if w not in words]
         return words
 
     def _of_token(self, token: str) -> tuple:
-        found = tuple(x for word in self.words_of(token) for x in self._meaning(word))
+        found = self._known.get(token)
+        if found is not None:
+            return found
+        found = self._older.get(token)
+        if found is None:
+            found = tuple(x for word in self.words_of(token) for x in self._meaning(word))
         if len(self._known) >= MOST_TOKENS:
-            self._known.clear()
+            self._older, self._known = self._known, {}
         if len(token) < 100:
             self._known[token] = found
         return found
 
     def read(self, text: str) -> tuple[int, list]:
         """The number of tokens, and what all words mean, one by one; letters spaced out are also read together."""
-        tokens, found, known = text.lower().split(), [], self._known
-        for token in tokens:
-            own = known.get(token)
-            found += self._of_token(token) if own is None else own
-        for run in re.finditer("1{3,}", "".join(["1" if len(t) == 1 else "0" for t in tokens])):
-            for word in WORDS.findall(decode(" ".join(tokens[run.start() : run.end()]), self._logs)):
-                found += self._meaning(word)
+        text = text.lower()
+        tokens = text.split()
+        meanings = list(map(self._known.get, tokens))
+        if None in meanings:
+            meanings = [self._of_token(token) if own is None else own for token, own in zip(tokens, meanings, strict=True)]
+        found = [x for own in meanings if own for x in own]
+        if _SPACED.search(text):
+            for run in re.finditer("1{3,}", "".join(["1" if len(t) == 1 else "0" for t in tokens])):
+                for word in WORDS.findall(decode(" ".join(tokens[run.start() : run.end()]), self._logs)):
+                    found += self._meaning(word)
         return len(tokens), found
 
 
@@ -331,15 +370,20 @@ def predict(docs: DataFrame, logs: np.ndarray, model: Model, keep: tuple[str, ..
     if clash := {"doc_id", "score", "predicted"} & set(keep):
         raise ValueError(f"rename {sorted(clash)} first")
     sent = docs.sparkSession.sparkContext.broadcast((logs, model))
-    columns = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    # the text goes to the tasks once, kept or not
+    others = [c for c in keep if c != "text"]
+    columns = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(f"keep_{c}") for c in others))
     kept = [f"`{c}` {t}" for c, t in docs.select(*keep).dtypes] if keep else []
+    place = [0 if c == "text" else 2 + others.index(c) for c in keep]
 
     def make(own, batches):
         reader = Reader(own[0], own[1].evidence)
         for batch in batches:
-            scores = pa.array([own[1].score(points(*reader.read(t.as_py() or ""))) for t in batch.column(0)], pa.float64())
-            predicted = pc.cast(pc.greater_equal(scores, 0.5), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(1), scores, predicted, *batch.columns[2:]], names=["doc_id", "score", "predicted", *keep])
+            for at in range(0, batch.num_rows, ROWS_OUT):
+                part = batch.slice(at, ROWS_OUT)
+                scores = pa.array([own[1].score(points(*reader.read(t.as_py() or ""))) for t in part.column(0)], pa.float64())
+                predicted = pc.cast(pc.greater_equal(scores, 0.5), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(1), scores, predicted, *(part.column(i) for i in place)], names=["doc_id", "score", "predicted", *keep])
 
     return _read_rows(columns, sent, ", ".join(["doc_id long", "score double", "predicted int", *kept]), make)
 
