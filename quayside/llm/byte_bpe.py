@@ -31,6 +31,8 @@ MOST_RANK_BYTES = 64 << 20
 #: Pieces kept per worker; beyond that the memory of pieces starts anew.
 MOST_PIECES = 300_000
 LONGEST_PIECE = 64
+#: Documents handed on at a time.
+ROWS_OUT = 1000
 #: Documents decoded in one step.
 DECODED_AT_ONCE = 256
 
@@ -41,15 +43,20 @@ class Vocabulary:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self._split = regex.compile(pattern).findall
-        self._automaton = ahocorasick.Automaton()
-        for token, rank in self.ranks.items():
-            self._automaton.add_word(token.decode("latin-1"), (rank, len(token)))
-        self._automaton.make_automaton()
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._shorter: dict[int, int | None] = {}
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
         self._pieces: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def _automaton(self) -> ahocorasick.Automaton:
+        """Made for encoding only; a worker that decodes goes without."""
+        automaton = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+        automaton.make_automaton()
+        return automaton
+
     def parts(self, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; none for a byte or a token that merges never make."""
         if rank not in self._parts:
@@ -73,7 +80,7 @@ class Vocabulary:
         return self._shorter[rank]
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         if key not in self._compatible:
             if len(self._compatible) > 4 * MOST_PIECES:
                 self._compatible.clear()
@@ -192,10 +199,12 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", into
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(ranks.value, pattern)
         for batch in with_rows(batches):
-            rows = [words.ids(value.as_py() or "") for value in batch.column(text)]
-            offsets = np.concatenate([[0], np.cumsum([len(row) // 4 for row in rows])])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, into])
+            for at in range(0, batch.num_rows, ROWS_OUT):
+                some = batch.slice(at, ROWS_OUT)
+                rows = [words.ids(value.as_py() or "") for value in some.column(text)]
+                offsets = np.concatenate([[0], np.cumsum([len(row) // 4 for row in rows])])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+                yield pa.RecordBatch.from_arrays([*some.columns, lists], names=[*batch.schema.names, into])
 
     return df.mapInArrow(run, schema)
 
@@ -208,7 +217,6 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", into:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(ranks.value, pattern)
         for batch in with_rows(batches):
-            texts: list[bytes] = []
             lists = batch.column(batch.schema.names.index(ids))
             for at in range(0, len(lists), DECODED_AT_ONCE):
                 some = lists.slice(at, DECODED_AT_ONCE)
@@ -216,8 +224,8 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", into:
                 data, sizes = words.decode(flat.to_numpy(zero_copy_only=False).astype(np.int64))
                 ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(some), 0).to_numpy())])]
                 run = data.tobytes()
-                texts += [run[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, into])
+                texts = pa.array([run[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, DECODED_AT_ONCE).columns, texts], names=[*batch.schema.names, into])
 
     return df.mapInArrow(run, schema)
 
