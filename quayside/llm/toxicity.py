@@ -39,7 +39,9 @@ _LETTER, _OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]")
 #: Three single characters in a row.
 _SPACED = re.compile(r"(?<!\S)\S\s+\S\s+\S(?!\S)")
 #: Tokens after which a worker forgets those it has not met since as many before.
-MOST_TOKENS = 150_000
+MOST_TOKENS = 75_000
+#: Stems that a task counts before it sends them.
+MOST_COUNTS = 100_000
 #: Rows handed on at a time.
 ROWS_OUT = 1000
 
@@ -310,13 +312,20 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: Column, logs: np.ndarray
         def make(logs, batches):
             reader = Reader(logs, stems)
             sums: Counter = Counter()
+
+            def counted() -> pa.RecordBatch:
+                return record_batch({"stem": list(sums), "n": list(sums.values())}, pa.schema([("stem", pa.string()), ("n", pa.int64())]))
+
             for batch in batches:
                 for text, doc_id, label in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     if doc_id in ids and (label > 0) == bool(wanted):
                         found = set(reader.read(text or "")[1])
                         sums.update(found if only is None else found & only)
+                        if len(sums) > MOST_COUNTS:
+                            yield counted()
+                            sums.clear()
             if sums:
-                yield record_batch({"stem": list(sums), "n": list(sums.values())}, pa.schema([("stem", pa.string()), ("n", pa.int64())]))
+                yield counted()
 
         return make
 

@@ -108,3 +108,22 @@ def test_no_rows_and_no_labels(spark):
     assert len(got) == 300 and {r.score for r in got} == {0.5}
     clean = spark.createDataFrame([(i, 1, 0) for i in range(300)], LABELS)
     assert {r.predicted for r in toxicity.scored(spark.createDataFrame(docs, DOCS), clean).collect()} == {0}
+
+
+def test_long_tokens_cost_their_length():
+    import time
+
+    reader = toxicity.Reader(None, lambda word: ())
+    start = time.time()
+    assert reader.words_of("ab" * 200_000) == ["ab" * 200_000]
+    assert toxicity.cores("a" + "." * 400_000 + "a")[0].count(".") == 400_000
+    assert toxicity.cores("." * 400_000 + "(a$$.")[1:] == ["(a$$", "(a"]
+    assert time.time() - start < 5
+
+
+def test_marks_around_a_token():
+    assert toxicity.cores("...a!b!,") == ["a!b!", "a!b", "a!b"]
+    assert toxicity.cores("a$$!") == ["a$$!", "a$$", "a"]
+    assert toxicity.cores("$$$") == ["$$$", "$$$", "$$$"]
+    assert toxicity.cores("") == ["", "", ""] and toxicity.cores("-_-") == ["_", "_", "_"]
+    assert toxicity.is_traced("a1") and toxicity.is_traced("aa") and not toxicity.is_traced("abab") and not toxicity.is_traced("-.")
