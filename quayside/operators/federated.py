@@ -73,12 +73,24 @@ def softmax_regression(features: int, classes: int, rate: float = 0.5) -> ModelF
     )
 
 
+#: Bytes of gradients a task combines before it hands them on.
 HELD_BYTES = 64 << 20
+#: Rows of one provider that meet its weights in one call; a larger provider is cut into parts.
+PART_ROWS = 50_000
+#: Most providers above ``PART_ROWS`` whose names are broadcast.
+MOST_LARGE = 100_000
 SUMS = "provider string, correct double, loss double, n long, gradient array<double>"
+_SUM_COLUMNS = ["provider", "correct", "loss", "n", "gradient"]
 
 
-def _sums(data: DataFrame, weights: dict[str, np.ndarray] | np.ndarray, model: ModelFunctions, learn: bool) -> DataFrame:
-    """Per task and provider: sums of score and gradient. ``data`` is (provider, x, y)."""
+def _row_sums(rows: pd.DataFrame, weights: np.ndarray, model: ModelFunctions, learn: bool) -> list:
+    x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy()
+    correct, loss = model.score(weights, x, y)
+    return [correct, loss, len(y), model.gradient(weights, x, y) if learn else np.empty(0)]
+
+
+def _sums(data: DataFrame, weights: np.ndarray, model: ModelFunctions, learn: bool) -> DataFrame:
+    """Per task and provider: sums of score and gradient under the same weights. ``data`` is (provider, x, y)."""
 
     def reduce_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
@@ -86,18 +98,15 @@ def _sums(data: DataFrame, weights: dict[str, np.ndarray] | np.ndarray, model: M
         def emit() -> pd.DataFrame:
             rows = [(name, *sums) for name, sums in held.items()]
             held.clear()
-            return pd.DataFrame(rows, columns=["provider", "correct", "loss", "n", "gradient"])
+            return pd.DataFrame(rows, columns=_SUM_COLUMNS)
 
         for frame in frames:
             for provider, part in frame.groupby("provider", sort=False):
-                own = weights if isinstance(weights, np.ndarray) else weights[provider]
-                x, y = np.stack(part["x"].to_numpy()), part["y"].to_numpy()
-                correct, loss = model.score(own, x, y)
-                sums = [correct, loss, len(y), model.gradient(own, x, y) if learn else np.empty(0)]
+                sums = _row_sums(part, weights, model, learn)
                 before = held.get(provider)
                 held[provider] = sums if before is None else [a + b for a, b in zip(before, sums)]
             # sums are combined in the task, as far as they fit
-            if learn and 8 * len(held) * len(model.initial()) > HELD_BYTES:
+            if learn and 8 * len(held) * len(weights) > HELD_BYTES:
                 yield emit()
         if held:
             yield emit()
@@ -105,6 +114,36 @@ def _sums(data: DataFrame, weights: dict[str, np.ndarray] | np.ndarray, model: M
     return data.select(F.col("provider").cast("string"), "x", "y").mapInPandas(reduce_rows, SUMS)
 
 
+def parted(data: DataFrame) -> DataFrame:
+    """(provider, x, y, part): the rows of a large provider are spread over parts of about ``PART_ROWS`` rows.
+
+    Rows without a provider belong to none and are left out. Stored, as a part must not change when a task is repeated.
+    """
+    rows = data.select(F.col("provider").cast("string").alias("provider"), "x", "y").filter("provider IS NOT NULL")
+    sizes = rows.groupBy("provider").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > PART_ROWS)
+    large = settle(sizes.select(F.col("provider").alias("_large"), F.ceil(F.col("_n") / PART_ROWS).cast("long").alias("_parts")))
+    large = F.broadcast(large) if large.count() <= MOST_LARGE else large
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_parts", F.lit(1).cast("long")))
+    return settle(rows.join(large, F.col("provider") == F.col("_large"), "left").select("provider", "x", "y", place.alias("part")))
+
+
+def _own_sums(parts: DataFrame, weights: DataFrame, model: ModelFunctions, learn: bool) -> DataFrame:
+    """Per part: sums of score and gradient under the provider's own weights, a table (provider, weights).
+
+    Every part meets one copy of its provider's weights; neither names nor weights pass through the driver.
+    """
+
+    def reduce_part(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or own.empty:
+            return pd.DataFrame([], columns=_SUM_COLUMNS)
+        sums = _row_sums(rows, np.asarray(own["weights"].iloc[0]), model, learn)
+        return pd.DataFrame([(rows["provider"].iloc[0], *sums)], columns=_SUM_COLUMNS)
+
+    places = parts.select(F.col("provider").alias("of"), F.col("part").alias("of_part")).distinct()
+    places = places.join(weights.select(F.col("provider").alias("of"), "weights"), "of")
+    return parts.groupBy("provider", "part").cogroup(places.groupBy("of", "of_part")).applyInPandas(reduce_part, SUMS)
+
+
 def _scores(sums: DataFrame, prefix: str) -> DataFrame:
     return sums.groupBy("provider").agg(
         F.sum("n").alias("n"),
@@ -113,8 +152,8 @@ def _scores(sums: DataFrame, prefix: str) -> DataFrame:
     )
 
 
-def _stepped(sums: DataFrame, weights: dict[str, np.ndarray] | np.ndarray, model: ModelFunctions) -> DataFrame:
-    """New weights per provider from the summed gradients."""
+def _stepped(sums: DataFrame, weights: DataFrame | np.ndarray, model: ModelFunctions) -> DataFrame:
+    """New weights per provider from the summed gradients: provider, n, weights."""
     rows = sums.groupBy("provider").agg(F.sum("n").alias("n"))
     gradient = (
         sums.select("provider", F.posexplode("gradient"))
@@ -123,53 +162,40 @@ def _stepped(sums: DataFrame, weights: dict[str, np.ndarray] | np.ndarray, model
         .groupBy("provider")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "g"))), lambda e: e.getField("g")).alias("gradient"))
     )
+    joined = gradient.join(rows, "provider")
+    if isinstance(weights, np.ndarray):
 
-    @F.pandas_udf("array<double>")
-    def step(provider: pd.Series, gradients: pd.Series, n: pd.Series) -> pd.Series:
-        own = [weights if isinstance(weights, np.ndarray) else weights[p] for p in provider]
-        return pd.Series([model.step(w, np.asarray(g), int(c)) for w, g, c in zip(own, gradients, n)])
+        @F.pandas_udf("array<double>")
+        def step(gradients: pd.Series, n: pd.Series) -> pd.Series:
+            return pd.Series([model.step(weights, np.asarray(g), int(c)) for g, c in zip(gradients, n)])
 
-    return gradient.join(rows, "provider").select("provider", "n", step("provider", "gradient", "n").alias("weights"))
+        return joined.select("provider", "n", step("gradient", "n").alias("weights"))
 
+    @F.pandas_udf("array<double>")
+    def own_step(own: pd.Series, gradients: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([model.step(np.asarray(w), np.asarray(g), int(c)) for w, g, c in zip(own, gradients, n)])
 
-def _held(weights: DataFrame, size: int) -> Iterator[dict[str, np.ndarray]]:
-    """Provider weights in portions small enough for every task to hold one."""
-    portion = max(1, HELD_BYTES // (8 * size))
-    names = sorted(r[0] for r in weights.select("provider").collect())
-    for start in range(0, len(names), portion):
-        part = weights.filter(F.col("provider").isin(names[start : start + portion]))
-        yield {r["provider"]: np.asarray(r["weights"]) for r in part.select("provider", "weights").collect()}
+    before = joined.join(weights.select("provider", F.col("weights").alias("_own")), "provider")
+    return before.select("provider", "n", own_step("_own", "gradient", "n").alias("weights"))
 
 
 def local_round(data: DataFrame, start: np.ndarray, model: ModelFunctions, epochs: int = 1) -> DataFrame:
     """Every provider evaluates the global weights, trains on its rows, and evaluates again.
 
     Returns provider, n, weights, pre_/post_ performance and loss. Gradients are summed across
-    tasks, so a provider may hold any share of the rows.
+    tasks, so a provider may hold any share of the rows. Only the weights all providers start from
+    are sent by the driver; the weights of each provider are a table from the first step on.
     """
-    first = settle(_sums(data, start, model, True))
+    parts = parted(data)
+    first = settle(_sums(parts, start, model, True))
     before = _scores(first, "pre").select("provider", "pre_performance", "pre_loss")
     trained = settle(_stepped(first, start, model))
-
-    def passes(weights: DataFrame, learn: bool):
-        for held in _held(weights, len(start)):
-            part = data.filter(F.col("provider").cast("string").isin(list(held)))
-            yield held, _sums(part, held, model, learn)
-
     for _ in range(epochs - 1):
-        stepped = [_stepped(settle(sums), held, model) for held, sums in passes(trained, True)]
-        trained = settle(_stacked(stepped))
-    after = _stacked([_scores(sums, "post") for _, sums in passes(trained, False)])
+        trained = settle(_stepped(settle(_own_sums(parts, trained, model, True)), trained, model))
+    after = _scores(_own_sums(parts, trained, model, False), "post")
     return trained.join(before, "provider").join(after.drop("n"), "provider")
 
 
-def _stacked(frames: Sequence[DataFrame]) -> DataFrame:
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
-
-
 def evaluate_global(data: DataFrame, weights: np.ndarray, model: ModelFunctions) -> DataFrame:
     """A tester's performance and loss of the global model on held-out rows."""
     sums = _sums(data.withColumn("provider", F.lit("tester")), weights, model, False)

@@ -58,6 +58,51 @@ def test_providers_in_portions(shards, monkeypatch):
     assert all(np.allclose(whole[p], parts[p]) for p in whole)
 
 
+def test_a_large_provider_is_cut_into_parts(shards, monkeypatch):
+    model = softmax_regression(3, 3)
+    whole = {r["provider"]: r for r in local_round(shards, model.initial(), model, epochs=3).collect()}
+    monkeypatch.setattr(federated, "PART_ROWS", 25)
+    sizes = federated.parted(shards).groupBy("provider", "part").count().collect()
+    assert len({r["part"] for r in sizes if r["provider"] == "big"}) == 7 and max(r["count"] for r in sizes) < 60
+    parts = {r["provider"]: r for r in local_round(shards, model.initial(), model, epochs=3).collect()}
+    for provider, row in whole.items():
+        assert np.allclose(row["weights"], parts[provider]["weights"]) and row["n"] == parts[provider]["n"]
+        assert row["post_loss"] == pytest.approx(parts[provider]["post_loss"])
+    monkeypatch.setattr(federated, "MOST_LARGE", 0)
+    joined = {r["provider"]: r["n"] for r in local_round(shards, model.initial(), model).collect()}
+    assert joined == {p: r["n"] for p, r in whole.items()}
+
+
+def test_many_providers_without_collecting_their_weights(spark, monkeypatch):
+    model = softmax_regression(2, 2)
+    rows = spark.range(6000).select(
+        F.concat(F.lit("p"), (F.col("id") % 2000).cast("string")).alias("provider"),
+        F.array((F.col("id") % 7 - 3).cast("double"), (F.col("id") % 5 - 2).cast("double")).alias("x"),
+        (F.col("id") % 7 > 2).cast("int").alias("y"),
+    )
+    data = rows.unionByName(spark.createDataFrame([(None, [0.0, 0.0], 0)], rows.schema))
+
+    def refuse(*_):
+        raise AssertionError("collected")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(type(data), "collect", refuse)
+        updates = local_round(data, model.initial(), model, epochs=2)
+    assert updates.count() == 2000
+    some = updates.filter("provider = 'p17'").first()
+    part = rows.filter("provider = 'p17'").toPandas()
+    x, y, weights = np.stack(part["x"]), part["y"].to_numpy(), model.initial()
+    for _ in range(2):
+        weights = model.step(weights, model.gradient(weights, x, y), len(y))
+    assert some["n"] == 3 and np.allclose(some["weights"], weights)
+
+
+def test_a_round_over_no_rows(spark):
+    empty = spark.createDataFrame([], "provider string, x array<double>, y int")
+    model = softmax_regression(2, 2)
+    assert local_round(empty, model.initial(), model, epochs=2).collect() == []
+
+
 def test_rounds_improve_and_report(shards):
     done = train(shards, softmax_regression(3, 3), rounds=3, held_out=shards.select("x", "y"))
     losses = {r["round"]: r["test_loss"] for r in done.history.collect()}
