@@ -18,6 +18,7 @@ from quayside.operators.predicates import (
     split_label,
     without,
 )
+from quayside.operators.reservoir import reservoir_sample
 from quayside.operators.sampling import contiguous_folds, leading, sample_with_replacement, shuffled
 from quayside.plans.extraction import TableExtractor, summarise
 
@@ -216,6 +217,26 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "reservoir_sample",
+    """SELECT least(1000, count(*)) AS drawn, least(1000, count(*)) AS of_the_table, true AS same_again,
+     true AS prices_near FROM lineitem""",
+)
+def _(spark, sf_dir):
+    """What is fixed of a sample: its size, that its rows are the table's, that the seed repeats it, a mean near the table's."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("price"))
+    key = ["l_orderkey", "l_linenumber"]
+    first, again = reservoir_sample(lines, 1000, seed=5), reservoir_sample(lines, 1000, seed=5)
+    code = F.sum(F.shiftright(F.xxhash64(*key), 16))
+    member = first.join(lines.select(*key).distinct(), key, "left_semi").agg(F.count(F.lit(1))).scalar()
+    mean, spread = lines.agg(F.avg("price")).scalar(), lines.agg(F.stddev("price")).scalar()
+    drawn = first.agg(F.count(F.lit(1)).alias("drawn"), code.alias("_code"), F.avg("price").alias("_mean"))
+    # five standard errors of the mean of 1000 draws
+    near = F.abs(F.col("_mean") - mean) <= 5 * spread / F.sqrt(F.lit(1000.0))
+    same = F.col("_code") == again.agg(code).scalar()
+    return drawn.select("drawn", member.alias("of_the_table"), same.alias("same_again"), near.alias("prices_near"))
+
+
 @query(
     "contiguous_folds",
     f"""WITH placed AS (SELECT o_orderkey,
@@ -233,7 +254,8 @@ def _(spark, sf_dir):
     return leading(signal(spark, sf_dir), "pos", 32).select("series_id", "pos", "value")
 
 
-@query("seeded_shuffle")
+# the order is random; the rows are those of the table, each once
+@query("seeded_shuffle", "SELECT o_orderkey FROM orders")
 def _(spark, sf_dir):
     return shuffled(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
 

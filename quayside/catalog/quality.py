@@ -351,6 +351,25 @@ def _(spark, sf_dir):
     return probabilities
 
 
+@query(
+    "out_of_fold_facts",
+    """SELECT label AS class, count(*) AS "rows", count(DISTINCT vec_id) AS ids, count(*) AS with_all_classes, count(*) AS sum_to_one
+    FROM embeddings GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    """What is fixed of the probabilities: one row for every row, one probability a class, that they sum to 1."""
+    rows = vectors(spark, sf_dir)
+    found, classes = out_of_fold_probabilities(rows, "id", "x", "y", trees=5, depth=3)
+    total = F.aggregate("p", F.lit(0.0), lambda a, b: a + b)
+    facts = found.join(rows.select("id", "y"), "id").groupBy("y").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.countDistinct("id").alias("ids"),
+        F.count_if(F.size("p") == len(classes)).alias("with_all_classes"),
+        F.count_if(F.abs(total - 1) < 1e-9).alias("sum_to_one"),
+    )
+    return facts.withColumnRenamed("y", "class")
+
+
 @query("label_purity")
 def _(spark, sf_dir):
     return label_purity(settle(vectors(spark, sf_dir)), "id", "x", "y")

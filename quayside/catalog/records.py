@@ -320,6 +320,17 @@ def _(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", bytes_to_mb(F.col("value") * 4096.0).alias("mb"))
 
 
+@query("request_id_facts", "SELECT count(*) AS requests, count(*) AS different, count(*) AS well_formed FROM orders")
+def _(spark, sf_dir):
+    """What is fixed of random ids: one for every request, no two alike, of the usual form."""
+    ids = with_request_id(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("consumer_id")))
+    return ids.agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.countDistinct("request_id").alias("different"),
+        F.count_if(F.col("request_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("well_formed"),
+    )
+
+
 @query("request_ids")
 def _(spark, sf_dir):
     return with_request_id(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("consumer_id")))

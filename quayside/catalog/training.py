@@ -111,6 +111,23 @@ def _(spark, sf_dir):
     return done.history.drop("train_duration")
 
 
+@query(
+    "federated_training_facts",
+    """WITH rounds AS (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS round)
+    SELECT round, concat('p', CAST(vec_id % 4 AS VARCHAR)) AS provider, count(*) AS n, true AS better_after_training, true AS finite
+    FROM embeddings CROSS JOIN rounds GROUP BY 1, 2""",
+)
+def _(spark, sf_dir):
+    """What is fixed of three rounds: every provider's rows in each, that training lowers its loss, that nothing diverges."""
+    done = train(_shards(spark, sf_dir), softmax_regression(64, 10, rate=0.1), rounds=3)
+    losses = ("pre_loss", "post_loss", "pre_performance", "post_performance")
+    finite = F.lit(True)
+    for name in losses:
+        finite &= F.col(name).isNotNull() & (F.abs(name) < 1e6)
+    better = (F.col("post_loss") < F.col("pre_loss")).alias("better_after_training")
+    return done.history.select("round", "provider", "n", better, finite.alias("finite"))
+
+
 @query(
     "tester_evaluation",
     """SELECT count(*) AS n, round(avg(CASE WHEN label = 0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS test_performance,
