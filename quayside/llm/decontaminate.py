@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from quayside.llm.blocks import LETTER_BYTE, Block, blocks, mix, record_batch, stored, total_bytes, with_rows, word_hashes
 
 
+#: Bounds of (segment, block), and entries of postings, that are held at a time.
+BOUND_CELLS = 1 << 21
+
+
 @dataclass(frozen=True)
 class Settings:
     """``threshold``: share of an item's own BM25 score a passage has to reach. ``overlap``: share of the runs of
@@ -141,12 +145,27 @@ def expanded(at: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def possible(index: Index, segment: np.ndarray, term: np.ndarray, segments: int, same: np.ndarray) -> np.ndarray:
-    """Pairs (segment, block) whose bound, of the segment and the next one of its text, reaches the threshold."""
-    place, owner = expanded(index.block_at, term)
-    cell = segment[owner] * index.blocks + index.block[place]
-    bound = np.bincount(cell, index.block_weight[place], segments * index.blocks).reshape(segments, index.blocks)
-    bound[:-1] += np.where(same[:, None], bound[1:], 0)
-    return np.argwhere(bound >= index.settings.threshold - 1e-9)
+    """Pairs (segment, block) whose bound, of the segment and the next one of its text, reaches the threshold.
+
+    ``segment`` ascends. Bounds are computed for a slice of segments at a time, so that a text of any length and any
+    number of items take bounded memory; the segment after a slice is read with it.
+    """
+    postings = np.append(0, np.cumsum(np.diff(index.block_at)[term]))
+    found, first = [np.zeros((0, 2), np.int64)], 0
+    while first < segments:
+        begin = int(np.searchsorted(segment, first))
+        full = int(np.searchsorted(postings, postings[begin] + BOUND_CELLS, "right")) - 1
+        last = int(segment[full]) if full < len(segment) else segments
+        last = max(first + 1, min(last, first + BOUND_CELLS // index.blocks, segments))
+        upto = min(segments, last + 1)
+        end = int(np.searchsorted(segment, upto))
+        place, owner = expanded(index.block_at, term[begin:end])
+        cell = (segment[begin:end][owner] - first) * index.blocks + index.block[place]
+        bound = np.bincount(cell, index.block_weight[place], (upto - first) * index.blocks).reshape(-1, index.blocks)
+        bound[:-1] += np.where(same[first : upto - 1, None], bound[1:], 0)
+        found.append(np.argwhere(bound[: last - first] >= index.settings.threshold - 1e-9) + [first, 0])
+        first = last
+    return np.concatenate(found)
 
 
 def scored(index: Index, block: Block) -> Iterator[tuple[int, int, float, float, float]]:
@@ -166,11 +185,12 @@ def scored(index: Index, block: Block) -> Iterator[tuple[int, int, float, float,
     row_of = row[start]
     found = possible(index, of_segment, of_term, len(start), row_of[1:] == row_of[:-1])
     ends = np.append(start, len(hashes))
-    for s in np.unique(found[:, 0]):
+    segments, begins = np.unique(found[:, 0], return_index=True)
+    for s, begin, end in zip(segments, begins, np.append(begins, len(found))[1:], strict=True):
         last = s + 1 if s + 1 < len(start) and row_of[s + 1] == row_of[s] else s
         terms = np.unique(of_term[np.searchsorted(of_segment, s) : np.searchsorted(of_segment, last, "right")])
         at, owner = expanded(index.posting_at, terms)
-        allowed = np.isin(index.posting_item[at] // settings.items_in_block, found[found[:, 0] == s, 1])
+        allowed = np.isin(index.posting_item[at] // settings.items_in_block, found[begin:end, 1])
         score = np.bincount(index.posting_item[at[allowed]], index.posting_weight[at[allowed]])
         words = hashes[ends[s] : ends[last + 1]]
         for item in np.flatnonzero(score >= settings.threshold - 1e-9):

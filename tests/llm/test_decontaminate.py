@@ -1,8 +1,10 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from quayside.llm import decontaminate as dc
@@ -131,3 +133,36 @@ def test_the_tables_passages(spark, sf_dir):
     flat = [(r.doc_id, " ".join(words(r.text))) for r in docs.select("doc_id", "text").collect()]
     whole = {(d, i) for i, t in ((r.item_id, " ".join(words(r.text))) for r in items.collect()) for d, text in flat if t in text}
     assert whole and whole <= found and len(found) < len(whole) * 1.2
+
+
+def built(items, longest=60):
+    frequency = Counter(int(w) for text in items for w in set(dc.words_of([text])[0].tolist()))
+    return dc.build(list(enumerate(items)), frequency, len(items), float(longest), dc.segment_of(longest, longest), dc.Settings())
+
+
+@pytest.mark.parametrize("cells", [1, 7, 300, 5000])
+def test_bounds_in_slices_are_those_of_the_whole(monkeypatch, cells):
+    rng = random.Random(cells)
+    items = [prose(rng, 40) for _ in range(50)]
+    text = " ".join([prose(rng, 333), items[3], prose(rng, 77), items[17], items[18]])
+    texts = pa.array([text, None, "", items[4], text[::-1], text])
+    index = built(items)
+    whole = [list(dc.scored(index, block)) for block in dc.lower_blocks(texts)]
+    assert sum(map(len, whole)) >= 7
+    monkeypatch.setattr(dc, "BOUND_CELLS", cells)
+    assert [list(dc.scored(index, block)) for block in dc.lower_blocks(texts)] == whole
+
+
+def test_a_long_text_and_many_items_take_bounded_memory():
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    items = [" ".join(rng.choices(vocabulary, k=12)) + "." for _ in range(30_000)]
+    index = built(items, 32)
+    text = " ".join([*rng.choices(vocabulary, k=500_000), items[77], *rng.choices(vocabulary, k=200_000)])
+    (block,) = dc.lower_blocks(pa.array([text]))
+    tracemalloc.start()
+    found = [item for _, item, *_ in dc.scored(index, block)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 22 000 segments and 3751 blocks of items are 660 MB of bounds at once
+    assert len(text) > 4_000_000 and found and set(found) == {77} and peak < 300 << 20
