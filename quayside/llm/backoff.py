@@ -3,9 +3,9 @@
 The count tables are partitioned by hash of the n-gram. Every batch of documents explodes its texts to n-grams,
 folds equal ones and sends each hash with its count to the bucket that holds it. The bucket joins what it gets
 with the sums over all batches and returns the sums. The batch looks its n-grams up in them and adds the
-logarithms per document. This goes round once for every length: an n-gram of the required count has both its
-parts that often, so longer ones are only sent if the sums of their parts allow it. No n-gram is a hot key: it
-is sent once a batch, however frequent it is.
+logarithms per document. This goes round once for every length. An n-gram is at most as frequent as its parts:
+one with a part that the corpus has once occurs once itself and is not sent, nor is one with a part below the
+required count. No n-gram is a hot key: it is sent once a batch, however frequent it is.
 """
 
 from __future__ import annotations
@@ -53,14 +53,14 @@ class Text:
         self.counts: list[np.ndarray] = []
 
     def wanted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where an n-gram of the next length may have the required count; the different ones, their counts.
+        """Where the sum of an n-gram of the next length does not follow from its parts; the different ones, their counts.
 
         Hash 0 stands for the number of words and is sent with the single words.
         """
         n = len(self.counts) + 1
         mask = self.by_order[n - 1] > 0
         if n > 1:
-            often = self.counts[-1] >= self.least
+            often = self.counts[-1] >= max(self.least, 2)
             mask[1:] &= often[1:] & often[:-1]
         different, counts = np.unique(self.by_order[n - 1][mask], return_counts=True)
         if n == 1:
@@ -68,14 +68,14 @@ class Text:
         return mask, different, counts
 
     def learn(self, table: pa.Table) -> None:
-        """Take in the sums of the next length; n-grams that were not sent count 0."""
+        """Take in the sums of the next length; n-grams that were not sent count 1, which is exact or below ``least``."""
         n = len(self.counts) + 1
         mask, different, _ = self.wanted()
         rows = sorted((b, f) for k, b, f in zip(*(table[c].to_pylist() for c in ("kind", "n", "f0")), strict=True) if k == n)
         sums = np.concatenate([np.zeros(0, np.int64), *(unpack(f).astype(np.int64) for _, f in rows)])
         if n == 1:
             self.all_words = int(sums[0])
-        counts = np.zeros(self.words, np.int64)
+        counts = (self.by_order[n - 1] > 0).astype(np.int64)
         counts[mask] = sums[np.searchsorted(different, self.by_order[n - 1][mask])]
         self.counts.append(counts)
 
@@ -138,13 +138,14 @@ def score(docs: pa.Table, table: pa.Table, order: int, buckets: int, least: int,
     )
 
 
-def scores(docs: DataFrame, order: int = 3, least: int = 2, backoff: float = 0.4) -> DataFrame:
+def scores(docs: DataFrame, order: int = 3, least: int = 1, backoff: float = 0.4) -> DataFrame:
     """doc_id, n_tokens, score (sum of natural logarithms) and per_token, the mean, for every row.
 
     A word's score is the count of the longest n-gram that ends at it, up to ``order`` words, over the count of
     that n-gram without its last word; n-grams of two and more words that the corpus has fewer than ``least``
-    times count as unseen, and every step down costs the factor ``backoff``. Single words are taken over all
-    words. Counts cover all rows, repeated ones as often as they occur. Null and texts without words have score
+    times count as unseen, and every step down costs the factor ``backoff``. As the corpus holds the documents
+    themselves, ``least=1`` knows every n-gram and steps down only where a text begins. Single words are taken over
+    all words. Counts cover all rows, repeated ones as often as they occur. Null and texts without words have score
     0 and no mean. Both figures are rounded to 6 places.
     """
     batches = max(1, -(-total_bytes(docs, "text") // BATCH_BYTES))
@@ -182,9 +183,9 @@ c2 AS (SELECT w1, w, count(*) AS n FROM placed WHERE w1 IS NOT NULL GROUP BY w1,
 c3 AS (SELECT w2, w1, w, count(*) AS n FROM placed WHERE w2 IS NOT NULL GROUP BY w2, w1, w),
 scored AS (
   SELECT p.r,
-    CASE WHEN p.w2 IS NOT NULL AND c3.n >= 2 THEN c3.n / h2.n
+    CASE WHEN p.w2 IS NOT NULL AND c3.n >= 1 THEN c3.n / h2.n
          ELSE CASE WHEN p.w2 IS NOT NULL THEN 0.4::DOUBLE ELSE 1 END
-            * CASE WHEN p.w1 IS NOT NULL AND c2.n >= 2 THEN c2.n / h1.n
+            * CASE WHEN p.w1 IS NOT NULL AND c2.n >= 1 THEN c2.n / h1.n
                    ELSE CASE WHEN p.w1 IS NOT NULL THEN 0.4::DOUBLE ELSE 1 END * (c1.n / (SELECT count(*) FROM placed)) END
     END AS s
   FROM placed p JOIN c1 ON c1.w = p.w

@@ -17,7 +17,7 @@ def split(text):
     return re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOWER))
 
 
-def brute(rows, order=3, least=2, factor=0.4):
+def brute(rows, order=3, least=1, factor=0.4):
     docs = [(i, split(t)) for i, t in rows]
     counts = Counter(tuple(w[k - n : k]) for _, w in docs for n in range(1, order + 1) for k in range(n, len(w) + 1))
     total = sum(len(w) for _, w in docs)
@@ -52,15 +52,16 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("settings", [{}, {"order": 2}, {"order": 1}, {"order": 5, "least": 1}, {"least": 3, "backoff": 0.1}])
+@pytest.mark.parametrize("settings", [{}, {"order": 2}, {"order": 1}, {"order": 5}, {"least": 2}, {"least": 3, "backoff": 0.1}])
 def test_against_direct_counts(spark, settings):
     check(spark, ROWS, **settings)
 
 
-def test_many_batches(spark, monkeypatch, sf_dir):
+@pytest.mark.parametrize("least", [1, 2])
+def test_many_batches(spark, monkeypatch, sf_dir, least):
     monkeypatch.setattr(backoff, "BATCH_BYTES", 20_000)
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
-    check(spark, rows)
+    check(spark, rows, least=least)
 
 
 def test_words_across_rows_and_blocks():
