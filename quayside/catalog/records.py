@@ -135,6 +135,25 @@ def _(spark, sf_dir):
     return updated(_edges(spark, sf_dir), changes, "edge_id")
 
 
+@query(
+    "partial_updates_in_order",
+    """SELECT c_custkey AS edge_id, coalesce(n, c_name) AS name, coalesce(b, c_acctbal) AS balance
+     FROM customer LEFT JOIN (
+       SELECT o_custkey, last(o_orderpriority ORDER BY o_orderdate, o_orderkey) FILTER (WHERE o_orderkey % 3 <> 0) AS n,
+              last(o_totalprice ORDER BY o_orderdate, o_orderkey) FILTER (WHERE o_orderkey % 2 = 0) AS b
+       FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""",
+)
+def _(spark, sf_dir):
+    changes = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("edge_id"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("name"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("balance"),
+        "o_orderdate",
+        "o_orderkey",
+    )
+    return updated(_edges(spark, sf_dir), changes, "edge_id", order=["o_orderdate", "o_orderkey"])
+
+
 @query(
     "delete_by_key",
     """SELECT c_custkey AS edge_id, c_name AS name FROM customer

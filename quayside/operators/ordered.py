@@ -93,9 +93,12 @@ def lookup(
 
     Without hot keys this is a plain equi-join whose strategy Spark picks from sizes.
     Rows of hot keys are joined in place against the few matching table rows instead
-    of being sent to one task each.
+    of being sent to one task each. If more than ``1 / share`` keys are hot, only those with more than that share of
+    all rows are, of which there cannot be more; Spark splits what else is skewed in the equi-join.
     """
     hot = hot_keys(df, keys, skew)
+    if hot is not None and not hot.few:
+        hot = hot_keys(df, keys, replace(skew, min_rows=max(skew.min_rows, int(hot.rows * skew.share))))
     if hot is None:
         return df.join(table, list(keys), how)
     marked = _mark_hot(df, keys, hot)

@@ -16,6 +16,8 @@ from quayside.operators.ordered import Scan, ordered_scan
 HASH_SPAN = 1 << 32
 ROWS_PER_SLICE = 500_000
 MOST_SLICES = 1_000_000
+#: Slices that are broadcast at most; a row is its key and a number.
+MOST_SENT = 1_000_000
 
 
 def uniform_hash(*columns: str, seed: int = 42) -> Column:
@@ -58,8 +60,10 @@ def rows_at(
         .filter("_asked = 1")
         .select(*wanted.columns, "_at._slice", (F.col("rank") - F.col("_at._start")).alias("_place"))
     )
-    # no more than one row per slice and key, or per wanted row if those are fewer
-    needed = F.broadcast(located.select(*where).distinct())
+    # no more than one row per wanted row
+    needed = located.select(*where).distinct()
+    if asked <= MOST_SENT:
+        needed = F.broadcast(needed)
     inside = Window.partitionBy(*where).orderBy(hashed, *ties)
     numbered = sliced.join(needed, where, "left_semi").withColumn("_place", F.row_number().over(inside).cast("long"))
     return numbered.join(located, [*where, "_place"]).drop("_slice", "_place")

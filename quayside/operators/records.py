@@ -41,11 +41,25 @@ def clashing_keys(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return batch.join(existing.select(key), key, "left_semi").select(key)
 
 
-def updated(existing: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """New snapshot: fields set in ``changes`` (non-null) replace the stored ones."""
-    changed = [c for c in changes.columns if c != key]
-    renamed = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in changed])
-    merged = existing.join(renamed, key, "left")
+def updated(existing: DataFrame, changes: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """New snapshot: fields set in ``changes`` (non-null) replace the stored ones.
+
+    Of several changes of one key the last value of each field counts, in the ``order`` of columns of ``changes``;
+    without an order several changes of one key are an error. Changes without a key change nothing.
+    """
+    changed = [c for c in changes.columns if c != key and c in existing.columns]
+    place = F.struct(*[F.col(c) for c in order])
+    several = F.raise_error(F.concat(F.lit(f"several changes of one {key}: "), F.first(F.col(key).cast("string"))))
+
+    def value(name: str) -> Column:
+        if order:
+            return F.max_by(name, F.when(F.col(name).isNotNull(), place))
+        return F.when(F.count(F.lit(1)) > 1, several).otherwise(F.first(name))
+
+    if not changed:
+        return existing
+    last = changes.filter(F.col(key).isNotNull()).groupBy(key).agg(*[value(c).alias(f"_new_{c}") for c in changed])
+    merged = existing.join(last, key, "left")
     return merged.select(
         *[F.coalesce(f"_new_{c}", c).alias(c) if c in changed else F.col(c) for c in existing.columns]
     )

@@ -81,7 +81,9 @@ def test_hot_scan_over_timestamps(skewed):
 
 @pytest.mark.parametrize("most", [1_000_000, 40])
 @pytest.mark.parametrize("keys", [[], ["half"]])
-def test_rows_at_positions(spark, skewed, monkeypatch, keys, most):
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_rows_at_positions(spark, skewed, monkeypatch, keys, most, sent):
+    monkeypatch.setattr(positions, "MOST_SENT", sent)
     monkeypatch.setattr(positions, "MOST_SLICES", most)
     hashed = skewed.select("id", (F.col("id") % 2).alias("half"), uniform_hash("id").alias("h"))
     groups = {}
@@ -103,6 +105,15 @@ def test_hot_lookup_equals_join(spark, skewed, how):
     )
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookup_with_more_hot_keys_than_are_broadcast(spark, skewed, how):
+    many = Skew(share=0.3, min_rows=1)
+    assert not hot_keys(skewed, ["key"], many).few
+    table = spark.createDataFrame([("hot", 1), ("a", 2), ("k3", 3)], "key string, w int")
+    got = lookup(skewed, table, ["key"], how, many)
+    assert rows(got, "id", "w") == rows(skewed.join(table, ["key"], how), "id", "w")
+
+
 def test_hot_round_fold(spark, sf_dir):
     from quayside.catalog import views
 
