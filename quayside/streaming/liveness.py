@@ -1,8 +1,9 @@
 """When edges come online and go offline, told by timers as event time passes.
 
-The spells of an edge are kept as intervals that late heartbeats may still join. A timer stands at the start and at
-the end of every spell: once the watermark has passed one of them, no heartbeat can move it any more, and
-the transition is sent. Nothing waits for a further heartbeat of the edge.
+The spells of an edge are kept as intervals that late heartbeats may still join. Once the watermark has passed the start
+or the end of a spell, no heartbeat can move it any more, and the transition is sent. An edge has one timer, at the
+earliest transition that is not sent; when it expires, all that the watermark has passed are sent and the timer moves on.
+Nothing waits for a further heartbeat of the edge.
 """
 
 from __future__ import annotations
@@ -18,21 +19,27 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 #: Silence after which an edge counts as offline.
 SILENCE_MS = 600_000
-SPELL = "start long, stop long, told boolean"
+#: All spells of an edge as one value: starts, ends and 1 where the start was told, each as 64-bit integers in order.
+SPELLS = "packed binary"
 
 
-def merged(spells: list[tuple[int, int, bool]], beats: np.ndarray, silence: int) -> list[tuple[int, int, bool]]:
-    """Spells (first beat, last beat, start told) with more beats; beats ``silence`` apart or nearer are one spell."""
-    starts = np.concatenate([np.array([s[0] for s in spells], np.int64), beats])
-    stops = np.concatenate([np.array([s[1] for s in spells], np.int64), beats])
-    told = np.concatenate([np.array([s[2] for s in spells], bool), np.zeros(len(beats), bool)])
+def joined(starts: np.ndarray, stops: np.ndarray, told: np.ndarray, beats: np.ndarray, silence: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First beats, last beats and whether the start was told, of spells in order, with more beats; beats ``silence`` apart or nearer are one spell."""
+    starts, stops = np.concatenate([starts, beats]), np.concatenate([stops, beats])
+    told = np.concatenate([told, np.zeros(len(beats), bool)])
+    if not len(starts):
+        return starts, stops, told
     order = np.argsort(starts, kind="stable")
     starts, stops, told = starts[order], stops[order], told[order]
     reach = np.maximum.accumulate(stops)
-    new = np.concatenate([[True], starts[1:] > reach[:-1] + silence]) if len(starts) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(starts))[: len(at)] - 1
-    return [(int(starts[i]), int(reach[j]), bool(told[i : j + 1].any())) for i, j in zip(at, last, strict=True)]
+    at = np.flatnonzero(np.concatenate([[True], starts[1:] > reach[:-1] + silence]))
+    return starts[at], reach[np.append(at[1:], len(starts)) - 1], np.logical_or.reduceat(told, at)
+
+
+def merged(spells: list[tuple[int, int, bool]], beats: np.ndarray, silence: int) -> list[tuple[int, int, bool]]:
+    """``joined`` for spells as tuples (first beat, last beat, start told)."""
+    columns = (np.array([s[i] for s in spells], kind) for i, kind in enumerate((np.int64, np.int64, bool)))
+    return list(zip(*(c.tolist() for c in joined(*columns, beats, silence)), strict=True))
 
 
 class LivenessProcessor(StatefulProcessor):
@@ -41,48 +48,46 @@ class LivenessProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.spells = handle.getListState("spells", SPELL)
+        self.spells = handle.getValueState("spells", SPELLS)
+
+    def _held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        held = self.spells.get()
+        starts, stops, told = np.frombuffer(held[0] if held else b"", np.int64).reshape(3, -1)
+        return starts, stops, told.astype(bool)
 
-    def _save(self, spells: list[tuple[int, int, bool]]) -> None:
-        wanted = {stop + self.silence for _, stop, _ in spells} | {start for start, _, told in spells if not told}
+    def _save(self, starts: np.ndarray, stops: np.ndarray, told: np.ndarray) -> None:
+        # a spell's end comes after its start, and spells are in order: the first has the earliest transition left
+        wanted = {int(stops[0]) + self.silence if told[0] else int(starts[0])} if len(starts) else set()
         now = set(self.handle.listTimers())
         for timer in now - wanted:
             self.handle.deleteTimer(timer)
         for timer in wanted - now:
             self.handle.registerTimer(timer)
-        if spells:
-            self.spells.put(spells)
+        if len(starts):
+            self.spells.update((np.array([starts, stops, told], np.int64).tobytes(),))
         else:
             self.spells.clear()
 
-    def _tell(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
-        """Send what the watermark has passed, and forget ended spells."""
-        out, left = [], []
-        for start, stop, told in (tuple(s) for s in self.spells.get()):
-            if not told and start <= watermark:
-                out.append((key[0], "online", start))
-                told = True
-            if stop + self.silence <= watermark:
-                out.append((key[0], "offline", stop + self.silence))
-            else:
-                left.append((start, stop, told))
-        self._save(left)
-        if out:
-            yield pd.DataFrame(out, columns=["edge", "status", "at_ms"])
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        spells = [tuple(s) for s in self.spells.get()]
+        spells = self._held()
         watermark = timerValues.getCurrentWatermarkInMs()
         for frame in rows:
             beats = frame["at_ms"].to_numpy(np.int64)
             # heartbeats behind the watermark cannot take back what was told
-            spells = merged(spells, beats[beats > watermark], self.silence)
-        self._save(spells)
+            spells = joined(*spells, beats[beats > watermark], self.silence)
+        self._save(*spells)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # several timers may have expired; the first tells all and deletes the others
-        return self._tell(key, timerValues.getCurrentWatermarkInMs())
+        """Send what the watermark has passed, and forget ended spells."""
+        starts, stops, told = self._held()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        online, offline = ~told & (starts <= watermark), stops + self.silence <= watermark
+        self._save(starts[~offline], stops[~offline], (told | online)[~offline])
+        at = np.concatenate([starts[online], stops[offline] + self.silence])
+        if len(at):
+            status = np.repeat(["online", "offline"], [online.sum(), offline.sum()])
+            yield pd.DataFrame({"edge": pd.Series([key[0]] * len(at), dtype=object), "status": status, "at_ms": at})
 
     def close(self) -> None:
         pass

@@ -19,7 +19,7 @@ from quayside.schemas import ROUND_KEYS
 from quayside.sources.sinks import append_batch, measurement_points
 from quayside.streaming.costs import compact, compacted_through, current_folds, drain, fold_writer, stored_folds
 from quayside.streaming.live_dashboard import live_dashboard, shown_dashboard, totals
-from quayside.streaming.liveness import merged, transitions
+from quayside.streaming.liveness import LivenessProcessor, merged, transitions
 from quayside.streaming.round_state import Held, folded, keyed_rounds, resumed_rounds
 from quayside.streaming.sources import configure_streams, table_stream
 
@@ -189,6 +189,59 @@ def test_a_silent_edge_goes_offline_without_another_beat_of_its_own(spark, tmp_p
     ]
 
 
+class OneEdge:
+    """State and timers of one edge, as a processor's handle gives them; counts the timers registered."""
+
+    def __init__(self):
+        self.value, self.timers, self.registered = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    getListState = getValueState
+
+    def get(self):
+        return [] if self.value is None else self.value
+
+    def put(self, value):
+        self.value = value
+
+    update = put
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.registered += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class Watermark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_an_edge_has_one_timer_however_many_spells():
+    handle, processor = OneEdge(), LivenessProcessor(10)
+    processor.init(handle)
+    list(processor.handleInputRows((1,), iter([pd.DataFrame({"at_ms": np.arange(200) * 100})]), Watermark(-1)))
+    assert handle.registered == 1 and handle.timers == {0}
+    handle.timers.clear()  # it expired
+    told = pd.concat(processor.handleExpiredTimer((1,), Watermark(10_000), None))
+    want = [("online", s * 100) for s in range(101)] + [("offline", s * 100 + 10) for s in range(100)]
+    assert list(zip(told["status"], told["at_ms"], strict=True)) == want and set(told["edge"]) == {1}
+    assert handle.registered == 2 and handle.timers == {10_010}
+
+
 def test_totals_of_absent_values():
     points = [("a", (1, 0, 1.0, None, 5.0, 6.0)), ("b", (2, 0, 2.0, 3.0, None, 7.0))]
     assert totals(points, [10.0, 20.0]) == [("a", 1, 11.0, None, 5.0, 6.0), ("b", 2, 13.0, 23.0, None, 7.0)]
