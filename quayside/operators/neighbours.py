@@ -1,11 +1,12 @@
 """Nearest neighbour of every row, exact or in hashed orders, and the mutual pairs built on it.
 
 For the exact form the search space is divided around pivot rows. A row first looks for a neighbour in its own
-block, which bounds the distance; it then visits only those blocks that the triangle inequality
-cannot rule out. Blocks hold a limited number of rows and the visitors of a block are spread over
-several tasks, so no task grows with the data. The pivots influence the speed only, never the result.
+block, which bounds the distance; two blocks then meet only if the triangle inequality cannot rule out that a row of
+one has its neighbour in the other. Blocks hold a limited number of rows and a task holds two at a time, so no task
+grows with the data. The pivots influence the speed only, never the result.
 Equal rows are folded into one before the search, so a mass of copies costs nothing. With many dimensions nothing can
-be ruled out and the exact form compares all pairs; above some 100 000 rows ``method="hashed"`` is meant.
+be ruled out and the exact form compares all pairs, each once for both of its rows; its time then grows with the
+square of the rows, and for millions of them ``method="hashed"`` is meant.
 """
 
 from __future__ import annotations
@@ -21,14 +22,18 @@ from pyspark.sql import functions as F
 from quayside.operators.hashed_neighbours import Hashing, hashed_search
 from quayside.operators.ordered import DEFAULT_SKEW, Skew, lookup
 from quayside.operators.positions import uniform_hash
-from quayside.operators.vectors import nearest_of
+from quayside.operators.vectors import nearest_between, nearest_of
 from quayside.session import settle
 
 PIVOT_BYTES = 32 << 20
 RINGS = 64
 VISITS_AT_ONCE = 2_000_000
+#: Rows of a block: a share of all, so that many tasks have work, within these limits.
+BLOCKS, LEAST_BLOCK, MOST_BLOCK = 24, 2048, 16384
 # a table of that many small rows may be broadcast
-FEW_SLOTS = 1_000_000
+FEW_PAIRS = 1_000_000
+#: Tasks among which the pairs of blocks are dealt at most.
+MOST_TASKS = 4000
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -65,10 +70,12 @@ def _folded(df: DataFrame) -> DataFrame:
     )
 
 
-def _search(points: DataFrame, rows: int, block: int) -> DataFrame:
+def _search(points: DataFrame, rows: int, block: int | None) -> DataFrame:
     """Nearest other point per point; ``points`` holds distinct vectors (id, x, second)."""
+    block = block or min(MOST_BLOCK, max(LEAST_BLOCK, rows // BLOCKS))
     width = len(points.select("x").first()["x"])
-    wanted = max(1, min(1024, math.isqrt(rows), PIVOT_BYTES // (8 * width)))
+    # two blocks a pivot: each block is sent to all others that it may reach
+    wanted = max(1, min(1024, rows // (2 * block), PIVOT_BYTES // (8 * width)))
     pivots = np.array(
         [r["x"] for r in points.orderBy(uniform_hash("id"), "id").limit(wanted).select("x").collect()], "float64"
     )
@@ -123,69 +130,56 @@ def _search(points: DataFrame, rows: int, block: int) -> DataFrame:
         return _best(ids[ask], vectors[ask], ids, vectors)
 
     # a point with a copy knows its neighbour already and is only looked at, never asks
-    own = settle(members.groupBy("slot").applyInPandas(inside, FOUND))
-    asking = members.filter(F.col("second").isNull()).join(own.select("id", "square"), "id", "left")
-
-    def reachable(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(row, slot) of every other block that may hold something at least as near, in small portions."""
-        portion = max(1, VISITS_AT_ONCE // slots)
-        for start in range(0, len(frame), portion):
-            part = frame.iloc[start : start + portion]
-            distances = _pivot_distances(_matrix(part["x"]), pivots)[:, cells]
-            least = np.maximum(0.0, np.maximum(low[None, :] - distances, distances - high[None, :]))
-            limit = np.sqrt(part["square"].fillna(np.inf).to_numpy())
-            row, area = np.nonzero(least <= limit[:, None] * (1 + 1e-9) + 1e-12)
-            repeat = shards[area]
-            within = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-            row, slot = np.repeat(row, repeat), np.repeat(first[area], repeat) + within
-            other = slot != part["slot"].to_numpy()[row]
-            yield start + row[other], slot[other]
-
-    def count_visits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(slots, "int64")
+    own = settle(members.repartition(max(1, min(MOST_TASKS, slots)), "slot").groupBy("slot").applyInPandas(inside, FOUND))
+    known = settle(members.join(own.select("id", "square"), "id", "left"))
+    # of the areas, by slot: what is needed to rule out rows of another slot
+    area_of = np.repeat(np.arange(len(areas)), shards)
+
+    def reachable(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(one, other) of slots where a row of one may have something at least as near in the other; one is the lower."""
+        portion, met = max(1, VISITS_AT_ONCE // slots), {}
         for frame in frames:
-            for _, slot in reachable(frame):
-                total += np.bincount(slot, minlength=slots)
-        visited = np.nonzero(total)[0]
-        yield pd.DataFrame({"slot": visited.astype("int32"), "visits": total[visited]})
-
-    visits = (
-        asking.mapInPandas(count_visits, "slot int, visits long")
-        .groupBy("slot")
-        .agg(F.ceil(F.sum("visits") / (4 * block)).cast("int").alias("lanes"))
-    )
-    lanes = settle(visits)
-    if slots <= FEW_SLOTS:
-        lanes = F.broadcast(lanes)
-
-    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            names, vectors = frame["id"].to_numpy(), frame["x"].to_numpy()
-            for row, slot in reachable(frame):
-                for start in range(0, len(row), 4096):
-                    part = slice(start, start + 4096)
-                    yield pd.DataFrame({"id": names[row[part]], "x": vectors[row[part]], "slot": slot[part]})
-
-    visitors = (
-        asking.mapInPandas(visit, "id long, x array<double>, slot int")
-        .join(lanes, "slot")
-        .withColumn("lane", F.pmod(F.xxhash64("id"), F.col("lanes")).cast("int"))
-    )
-    hosts = members.join(lanes, "slot").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
-
-    def meet(guests: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        if guests.empty or members.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "square": []})
-        return _best(
-            guests["id"].to_numpy(), _matrix(guests["x"]), members["id"].to_numpy(), _matrix(members["x"])
-        )
-
-    elsewhere = (
-        visitors.select("id", "x", "slot", "lane")
-        .groupBy("slot", "lane")
-        .cogroup(hosts.select("id", "x", "slot", "lane").groupBy("slot", "lane"))
-        .applyInPandas(meet, FOUND)
-    )
+            frame = frame[frame["second"].isna().to_numpy()]
+            for start in range(0, len(frame), portion):
+                part = frame.iloc[start : start + portion]
+                distances = _pivot_distances(_matrix(part["x"]), pivots)[:, cells]
+                least = np.maximum(0.0, np.maximum(low[None, :] - distances, distances - high[None, :]))
+                limit = np.sqrt(part["square"].fillna(np.inf).to_numpy())
+                may = least <= limit[:, None] * (1 + 1e-9) + 1e-12
+                for slot, at in part.groupby("slot").indices.items():
+                    met[slot] = met.get(slot, False) | may[at].any(axis=0)[area_of]
+        for slot, other in met.items():
+            other = np.flatnonzero(other)
+            other = other[other != slot].astype("int32")
+            yield pd.DataFrame({"one": np.minimum(other, slot).astype("int32"), "other": np.maximum(other, slot).astype("int32")})
+
+    pairs = settle(known.select("x", "second", "square", "slot").mapInPandas(reachable, "one int, other int").distinct())
+    many = pairs.count()
+    both = pairs.select("one", "other", F.explode(F.array("one", "other")).alias("slot"))
+    both = F.broadcast(both) if many <= FEW_PAIRS else both
+    # elements that came as single floats are sent as such
+    single = points.agg(F.bool_and(F.forall("x", lambda v: v == v.cast("float").cast("double")))).first()[0]
+    sent = F.col("x").cast("array<float>").alias("x") if single else F.col("x")
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for slot in (frame["one"].iat[0], frame["other"].iat[0]):
+            own = frame[(frame["slot"] == slot).to_numpy()]
+            squares = own["square"].fillna(np.inf).to_numpy()
+            sides.append((slot, own["id"].to_numpy(), _matrix(own["x"]), own["second"].isna().to_numpy(), squares))
+        asks = []
+        for (_, _, x, ask, squares), (slot, *_) in (sides, sides[::-1]):
+            area = area_of[slot]
+            distance = _pivot_distances(x, pivots[cells[area]][None, :])[:, 0]
+            least = np.maximum(0.0, np.maximum(low[area] - distance, distance - high[area]))
+            asks.append(ask & (least <= np.sqrt(squares) * (1 + 1e-9) + 1e-12))
+        (_, ids, x, _, squares), (_, other_ids, other, _, other_squares) = sides
+        found = nearest_between(x, ids, asks[0], squares, other, other_ids, asks[1], other_squares)
+        return pd.DataFrame(dict(zip(("id", "neighbour", "square"), found, strict=True)))
+
+    meeting = known.select("id", sent, "second", "square", "slot").join(both, "slot")
+    spread = meeting.repartition(max(1, min(MOST_TASKS, many)), "one", "other")
+    elsewhere = spread.groupBy("one", "other").applyInPandas(meet, FOUND)
     nearest = own.unionByName(elsewhere).groupBy("id").agg(F.min(F.struct("square", "neighbour")).alias("_best"))
     return nearest.select("id", "_best.neighbour", F.sqrt("_best.square").alias("distance"))
 
@@ -199,7 +193,7 @@ def nearest_neighbours(
     df: DataFrame,
     ident: str,
     vector: str,
-    block: int = 2048,
+    block: int | None = None,
     skew: Skew = DEFAULT_SKEW,
     method: str = "exact",
     hashing: Hashing = Hashing(),

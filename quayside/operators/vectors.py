@@ -45,6 +45,53 @@ def nearest_of(visitors: np.ndarray, visitor_ids: np.ndarray, members: np.ndarra
     return squares, names
 
 
+def nearest_between(
+    one: np.ndarray, ids: np.ndarray, asks: np.ndarray, known: np.ndarray, other: np.ndarray, other_ids: np.ndarray, other_asks: np.ndarray, other_known: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """id, neighbour, square of the rows on either side that ask and have a member on the other side as near as ``known``.
+
+    Each product of two rows serves both sides; as in ``nearest_of`` it only finds what may be nearest, rows of one id
+    are no neighbours, and ties go to the lowest id.
+    """
+    # a row that does not ask on one side is needed only if the other side asks
+    left = np.arange(len(one)) if other_asks.any() else np.flatnonzero(asks)
+    right = np.arange(len(other)) if asks.any() else np.flatnonzero(other_asks)
+    best = [np.full(len(one), np.inf), np.full(len(other), np.inf)]
+    names = [np.full(len(one), -1, np.int64), np.full(len(other), -1, np.int64)]
+    if len(left) and len(right):
+        middle = other.mean(axis=0)
+        a, b = one[left] - middle, other[right] - middle
+        norm_a, norm_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        error = 8 * (one.shape[1] + 8) * np.finfo(float).eps * (norm_a.max() + norm_b.max())
+        a_limit = np.where(asks, known, -np.inf)[left] + error
+        b_limit = np.where(other_asks, other_known, -np.inf)[right] + error
+        common = np.isin(ids[left], other_ids[right]).any()
+        for start in range(0, len(a), ROWS):
+            part = slice(start, start + ROWS)
+            rough = a[part] @ (-2 * b.T)
+            rough += norm_b[None, :]
+            rough += norm_a[part, None]
+            if common:
+                rough[ids[left[part], None] == other_ids[right][None, :]] = np.inf
+            # what does not ask has no limit to come below
+            np.minimum(b_limit, rough.min(axis=0) + error, out=b_limit, where=b_limit > -np.inf)
+            np.minimum(a_limit[part], rough.min(axis=1) + error, out=a_limit[part], where=a_limit[part] > -np.inf)
+            near = ((rough <= a_limit[part, None]) | (rough <= b_limit[None, :])) & np.isfinite(rough)
+            row, at = np.nonzero(near)
+            for first in range(0, len(row), PAIRS):
+                i, j = left[row[first : first + PAIRS] + start], right[at[first : first + PAIRS]]
+                total = np.zeros(len(i))
+                for axis in range(one.shape[1]):
+                    step = one[i, axis] - other[j, axis]
+                    total += step * step
+                for side, (mine, theirs) in enumerate(((i, other_ids[j]), (j, ids[i]))):
+                    order = np.lexsort((theirs, total, mine))
+                    lead = order[np.concatenate([[True], mine[order][1:] != mine[order][:-1]])]
+                    better(best[side], names[side], mine[lead], total[lead], theirs[lead])
+    ok = [ask & (name >= 0) & (square <= limit) for ask, name, square, limit in zip((asks, other_asks), names, best, (known, other_known), strict=True)]
+    return tuple(np.concatenate([x[ok[0]], y[ok[1]]]) for x, y in ((ids, other_ids), names, best))
+
+
 def better(squares: np.ndarray, names: np.ndarray, at: np.ndarray, new_squares: np.ndarray, new_names: np.ndarray) -> None:
     """Keep what is nearer, or equally near with a lower id; ``at`` has no place twice."""
     nearer = (new_squares < squares[at]) | ((new_squares == squares[at]) & (new_names < names[at]) & (new_names >= 0))

@@ -13,7 +13,7 @@ from quayside.operators.hashed_neighbours import Hashing, exact_of, recall_of
 from quayside.operators.neighbours import nearest_neighbours
 from quayside.operators.quality import class_overlap, class_overlap_by, feature_correlation
 from quayside.operators.runs import runs, whole_runs
-from quayside.operators.vectors import all_nearest, nearest_of
+from quayside.operators.vectors import all_nearest, nearest_between, nearest_of
 
 
 def brute(x, ids):
@@ -195,3 +195,37 @@ def test_infinite_cells_and_empty_tables(spark):
     with pytest.raises(ValueError, match="infinite"):
         correlations_by(spark.createDataFrame([(1, float("inf"), 1.0)], "k int, a double, b double"), ["a", "b"], ["k"])
     assert correlations_by(spark.createDataFrame([], "k int, a double, b double"), ["a", "b"], ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_both_sides_of_a_product_get_their_nearest(seed):
+    rng = np.random.default_rng(seed)
+    # few different values: many equal distances
+    x = rng.integers(0, 4, (90, 3)).astype(float)
+    ids = rng.permutation(90) // 2 * 2 if seed % 2 else rng.permutation(90)
+    asks, known = rng.random(90) < 0.7, np.where(rng.random(90) < 0.5, np.inf, rng.integers(0, 4, 90))
+    one, other = slice(0, 50), slice(50, 90)
+    found = nearest_between(x[one], ids[one], asks[one], known[one], x[other], ids[other], asks[other], known[other])
+    want = set()
+    for mine, theirs in ((one, other), (other, one)):
+        for i in range(90)[mine]:
+            square, name = min((((x[i] - x[j]) ** 2).sum(), ids[j]) for j in range(90)[theirs] if ids[j] != ids[i])
+            if asks[i] and square <= known[i]:
+                want.add((ids[i], name, square))
+    assert set(zip(*found, strict=True)) == want
+
+
+@pytest.mark.parametrize("block", [8, 40, None])
+def test_blocks_of_any_size_give_the_exact_neighbour(spark, block):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (150, 4)), rng.integers(0, 3, (100, 4)) + 20.0, rng.normal(0, 1e-3, (50, 4)) - 9])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    squares = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(squares, np.inf)
+    found = nearest_neighbours(rows, "id", "x", block=block).collect()
+    assert sorted(r.id for r in found) == list(range(300))
+    for r in found:
+        assert r.distance == pytest.approx(np.sqrt(squares[r.id].min()), rel=1e-9, abs=1e-12)
+        # integer coordinates have equal distances, of which the lowest id counts
+        assert squares[r.id, r.neighbour] == pytest.approx(squares[r.id].min(), rel=1e-9, abs=1e-12)
+        assert not 150 <= r.id < 250 or r.neighbour == squares[r.id].argmin()
