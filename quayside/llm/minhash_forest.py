@@ -4,7 +4,9 @@ Documents are sets of word shingles. Equal sets are folded first. Every tree of
 signatures in the order of its own few minimum hashes, sorted across the cluster by range, so that no group
 of copies, however large, meets in one task. Rows that share the first hashes with their neighbours form a region;
 its documents are candidates of each other. A region adapts its depth: one with more rows than a block holds is
-cut into overlapping windows along the deeper hashes, so that those with the longest common prefixes meet.
+cut into overlapping windows along the deeper hashes, so that those with the longest common prefixes meet first. When
+the windows of all trees are confirmed, what is left of such regions, and of those that a border between tasks cuts, is
+compared in full: parts of about the same size and not yet one component meet two by two, half a block each.
 
 Candidates are confirmed a few trees at a time, on the full sets, all with all of a region. What is linked counts as one
 from then on, and a region whose documents are all connected is not looked at again in later trees.
@@ -114,23 +116,31 @@ def _region_starts(trees: np.ndarray, keys: np.ndarray, least: int) -> np.ndarra
 
 
 def candidates(reps: DataFrame, forest: Forest) -> DataFrame:
-    """tree, block, region, doc_id: documents that are candidates of each other, in regions that are part of one block."""
+    """tree, block, region, doc_id: documents that are candidates of each other, in regions that are part of one block.
+
+    Rows with ``whole``, the first hashes, instead of block and region belong to regions that may not lie in one block
+    as a whole. They come in addition, maybe twice.
+    """
     width = 4 * forest.depth
     trees = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(forest.trees - 1)), lambda t: F.substring("signature", t * width + 1, F.lit(width))))
     rows = reps.select("doc_id", F.greatest(F.col("n_shingles") / forest.shingles, F.lit(1 / forest.block)).alias("weight"), trees.alias("tree", "key"))
     parts = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(parts, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
-    schema = pa.schema([("tree", pa.int32()), ("block", pa.int64()), ("region", pa.int64()), ("doc_id", pa.int64())])
+    schema = pa.schema([("tree", pa.int32()), ("block", pa.int64()), ("region", pa.int64()), ("doc_id", pa.int64()), ("whole", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = [TaskContext.get().partitionId() << 32] * 2  # of the next block and the next region
 
-        def packed(table: pa.Table, keys: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Whole regions to blocks; those of one row are none."""
+        def packed(table: pa.Table, keys: np.ndarray, weight: np.ndarray, cut: bool, end: bool) -> Iterator[pa.RecordBatch]:
+            """Whole regions to blocks; those of one row are none. The first may have begun earlier, the last may go on."""
             starts = np.flatnonzero(_region_starts(table["tree"].to_numpy(), keys, forest.least))
             region = np.cumsum(np.bincount(starts, minlength=len(keys))) - 1
             size = np.bincount(region)
             heavy = np.bincount(region, weight)
+            divided = heavy > 1
+            divided[:1] |= cut
+            divided[-1:] |= end
+            yield from unfinished(table.filter(pa.array(divided[region])))
             small = (size > 1) & (heavy <= 1)
             place = np.full(len(size), -1)
             place[small] = (np.cumsum(np.where(small, heavy, 0)) // 1).astype(np.int64)[small]
@@ -147,14 +157,20 @@ def candidates(reps: DataFrame, forest: Forest) -> DataFrame:
                 if own.sum() > 1:
                     yield part(table, own, np.zeros(own.sum(), np.int64), np.zeros(own.sum(), np.int64))
 
+        def unfinished(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            if len(table):
+                whole = [key[: 4 * forest.least] for key in table["key"].to_pylist()]
+                none = [None] * len(table)
+                yield record_batch({"tree": table["tree"].to_numpy(), "block": none, "region": none, "doc_id": table["doc_id"].to_numpy(), "whole": whole}, schema)
+
         def part(table: pa.Table, own: np.ndarray, block: np.ndarray, region: np.ndarray) -> pa.RecordBatch:
             some = table.filter(pa.array(own))
-            out = {"tree": some["tree"].to_numpy(), "block": block + number[0], "region": region + number[1], "doc_id": some["doc_id"].to_numpy()}
+            out = {"tree": some["tree"].to_numpy(), "block": block + number[0], "region": region + number[1], "doc_id": some["doc_id"].to_numpy(), "whole": [None] * len(some)}
             number[0] += int(block.max()) + 1
             number[1] += int(region.max()) + 1
             return record_batch(out, schema)
 
-        held: pa.Table | None = None
+        held, cut = None, True  # what is held begins in the middle of a region, as far as is known
         for batch in with_rows(batches):
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table])
@@ -162,18 +178,21 @@ def candidates(reps: DataFrame, forest: Forest) -> DataFrame:
             weight = table["weight"].to_numpy()
             last = int(np.flatnonzero(_region_starts(table["tree"].to_numpy(), keys, forest.least))[-1])
             if last:
-                yield from packed(table.slice(0, last), keys[:last], weight[:last])
+                yield from packed(table.slice(0, last), keys[:last], weight[:last], cut, False)
+                cut = False
             # of a very long region, which may go on, only the last half window is kept
             if weight[last:].sum() > 4:
                 yield from windows(table.slice(last), weight[last:])
+                yield from unfinished(table.slice(last))
+                cut = True
                 behind = np.cumsum(weight[::-1])[::-1]
                 last = max(last, int(np.flatnonzero(behind > 0.5)[-1]))
             held = table.slice(last)
         if held is not None:
             keys = np.frombuffer(b"".join(held["key"].to_pylist()), ">u4").reshape(-1, forest.depth)
-            yield from packed(held, keys, held["weight"].to_numpy())
+            yield from packed(held, keys, held["weight"].to_numpy(), cut, True)
 
-    return ordered.select("doc_id", "weight", "tree", "key").mapInArrow(run, "tree int, block long, region long, doc_id long")
+    return ordered.select("doc_id", "weight", "tree", "key").mapInArrow(run, "tree int, block long, region long, doc_id long, whole binary")
 
 
 def components(edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -263,6 +282,35 @@ def confirmed_roots(rows: pa.Table, share: int) -> pa.Table:
     return pa.table({"low": pa.array([a for a, _ in star], pa.int64()), "high": pa.array([b for _, b in star], pa.int64())})
 
 
+def part_pairs(members: DataFrame, forest: Forest, share: int) -> DataFrame:
+    """block, doc_id, root: all pairs of a region's documents that may be linked and have different roots meet in a block.
+
+    ``members``: tree, whole, doc_id, root, n_shingles. Linked sets are of the same size class or of neighbouring ones.
+    Components that fill half a block have parts of their own, which do not meet each other.
+    """
+    region, group = ["tree", "whole"], ["tree", "whole", "size", "of"]
+    opened = members.groupBy(*region).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select(*region)
+    size = F.floor(F.log("n_shingles") / F.log(F.lit(100 / share))) if share < 100 else F.col("n_shingles")
+    weight = F.greatest(F.col("n_shingles") / forest.shingles, F.lit(1 / forest.block))
+    rows = members.join(opened, region, "left_semi").select(*region, "doc_id", "root", size.alias("size"), weight.alias("weight"))
+    sums = rows.groupBy(*region, "size", "root").agg(F.sum("weight").alias("sum"))
+    named = sums.select(*region, "size", "root", "sum", F.when(F.col("sum") > 0.5, F.col("root")).otherwise(F.lit(-1)).alias("own"), (F.col("sum") > 0.5).alias("large"))
+    named = named.select("*", F.struct("large", "own").alias("of"))
+    parts = named.groupBy(*group).agg(F.ceil(2 * F.sum("sum")).alias("parts"))
+    dealt = rows.join(named.select(*region, "size", "root", "of"), [*region, "size", "root"]).join(parts, group)
+    dealt = dealt.select(*group, F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), "doc_id", "root")
+    each = parts.select(*group, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    place = F.struct("size", "of", "part")
+    one = each.select(*region, F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("meets"), "size", place.alias("one"))
+    other = each.select(*region, F.col("size").alias("meets"), place.alias("other"))
+    within = (F.col("one.size") < F.col("other.size")) | (F.col("one") <= F.col("other"))
+    apart = ~F.col("one.of.large") | (F.col("one.of") != F.col("other.of"))
+    pairs = one.drop("size").join(other, [*region, "meets"]).where(within & apart)
+    block = F.xxhash64(*region, "one", "other").alias("block")
+    sides = pairs.select(*region, block, F.explode(F.array_distinct(F.array("one", "other"))).alias("side")).select(*region, "block", "side.*")
+    return dealt.join(sides, [*group, "part"]).select("block", F.col("block").alias("region"), "doc_id", "root")
+
+
 def links(docs: DataFrame, reps: DataFrame, forest: Forest, share: int) -> DataFrame:
     """Confirmed links low, high that connect all candidates that are linked."""
     found_in = stored(candidates(reps, forest), "regions")
@@ -270,21 +318,40 @@ def links(docs: DataFrame, reps: DataFrame, forest: Forest, share: int) -> DataF
     # documents without a candidate, most of them, are not exchanged again
     texts = stored(docs.join(involved, "doc_id", "left_semi"), "candidate-texts")
     roots = stored(involved.withColumn("root", F.col("doc_id")), "roots")
-    links, first = None, 0
+    # regions cut by a border or larger than a block; those of one row are none
+    whole = found_in.where("whole IS NOT NULL").select("tree", "whole", "doc_id").distinct()
+    several = whole.groupBy("tree", "whole").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    whole = stored(whole.join(several, ["tree", "whole"], "left_semi").join(reps.select("doc_id", "n_shingles"), "doc_id"), "whole-regions")
+    turns, first = [], 0
     while first < forest.trees:
-        turn = sum(first >= sum(forest.rounds[: i + 1]) for i in range(len(forest.rounds)))
-        last = forest.trees if turn == len(forest.rounds) else min(forest.trees, sum(forest.rounds[: turn + 1]))
-        members = found_in.where((F.col("tree") >= first) & (F.col("tree") < last)).join(roots, "doc_id")
+        turn = len(turns)
+        last = forest.trees if turn >= len(forest.rounds) else min(forest.trees, first + forest.rounds[turn])
+        turns.append((first, last))
+        first = last
+    steps, links, step = [(False, t) for t in turns], None, 0
+    while step < len(steps):
+        in_full, (first, last) = steps[step]
+        own = (F.col("tree") >= first) & (F.col("tree") < last)
+        if in_full:
+            rows = part_pairs(whole.where(own).join(roots, "doc_id"), forest, share)
+        else:
+            members = found_in.where(own & F.col("region").isNotNull()).join(roots, "doc_id")
+            rows = members.select("block", "region", "doc_id", "root")
         # a region of one component has nothing to tell
-        opened = members.groupBy("region").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("region")
-        rows = members.join(opened, "region", "left_semi").join(texts, "doc_id").select("block", "region", "root", "text")
+        opened = rows.groupBy("region").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("region")
+        rows = rows.join(opened, "region", "left_semi").join(texts, "doc_id").select("block", "region", "root", "text")
         new = stored(rows.groupBy("block").applyInArrow(lambda t: confirmed_roots(t, share), "low long, high long"), "links")
         links = new if links is None else links.union(new)
-        first = last
-        if first < forest.trees:
+        step += 1
+        if step < len(steps) or not in_full:
             moved = components(new, 2)
             named = roots.join(moved, roots["root"] == moved["node"], "left")
             roots = stored(named.select("doc_id", F.coalesce(moved["root"], roots["root"]).alias("root")), "roots")
+        if step == len(turns):
+            left = whole.join(roots, "doc_id").groupBy("tree", "whole").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b")
+            rows_left = left.agg(F.sum("n")).first()[0] or 0
+            # few rows, as those of regions cut by a border, are not worth a turn for each few trees
+            steps += [] if not rows_left else [(True, (0, forest.trees))] if rows_left <= 4 * forest.block else [(True, t) for t in turns]
     return links
 
 

@@ -165,3 +165,14 @@ def test_windows_bounded_by_rows_and_by_shingles(spark):
     rows = [(i, edited(rng, base, rng.randint(0, 8))) for i in range(300)]
     check(spark, rows, mf.Forest(shingles=16_000))
     check(spark, rows, mf.Forest(rounds=()))
+
+
+@pytest.mark.parametrize("spread", [1, 4])
+def test_regions_larger_than_a_block_are_compared_in_full(spark, spread):
+    rng = random.Random(spread)
+    # all share a long passage; copies lie far apart in every order, as the keys of a region are equal
+    passage = prose(rng, 70)
+    own = [prose(rng, 40) for _ in range(24)]
+    rows = [(i + 24 * k, f"{passage} {edited(rng, text, 1)}") for k in range(2) for i, text in enumerate(own)]
+    rows += [(100 + i, f"{passage} {edited(rng, own[0], 1)}") for i in range(12)]
+    check(spark, rows, mf.Forest(trees=20, depth=2, block=4 * spread))
