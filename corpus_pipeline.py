@@ -39,8 +39,8 @@ def new_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A character of which bytes are gone goes as a whole; n_chars is counted anew. A null text stays null.
     """
     marked = docs.withColumn("was_null", F.col("text").isNull())
-    left = suffix_repeats.without_repeats(marked, carry=("lang", "source", "was_null"))
-    text = F.when(~F.col("was_null"), suffix_repeats.whole_characters("kept"))
+    left = suffix_repeats.without_repeats(marked, carry=("lang", "source", "was_null"), characters=True)
+    text = F.when(~F.col("was_null"), F.col("kept"))
     return left.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
 
 

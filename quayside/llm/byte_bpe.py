@@ -187,6 +187,29 @@ def _appended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
+def _encoded(batches: Iterable[pa.RecordBatch], words: Vocabulary, text: str, into: str) -> Iterator[pa.RecordBatch]:
+    for batch in with_rows(batches):
+        for at in range(0, batch.num_rows, ROWS_OUT):
+            some = batch.slice(at, ROWS_OUT)
+            rows = [words.ids(value.as_py() or "") for value in some.column(text)]
+            offsets = np.concatenate([[0], np.cumsum([len(row) // 4 for row in rows])])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+            yield pa.RecordBatch.from_arrays([*some.columns, lists], names=[*batch.schema.names, into])
+
+
+def _decoded(batches: Iterable[pa.RecordBatch], words: Vocabulary, ids: str, into: str) -> Iterator[pa.RecordBatch]:
+    for batch in with_rows(batches):
+        lists = batch.column(batch.schema.names.index(ids))
+        for at in range(0, len(lists), DECODED_AT_ONCE):
+            some = lists.slice(at, DECODED_AT_ONCE)
+            flat = some.flatten()  # without what lies under a null
+            data, sizes = words.decode(flat.to_numpy(zero_copy_only=False).astype(np.int64))
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(some), 0).to_numpy())])]
+            run = data.tobytes()
+            texts = pa.array([run[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.slice(at, DECODED_AT_ONCE).columns, texts], names=[*batch.schema.names, into])
+
+
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
     """All columns and ``into``, the token ids of each whole text.
 
@@ -197,14 +220,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", into
     schema = _appended(df, into, T.ArrayType(T.IntegerType(), False))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(ranks.value, pattern)
-        for batch in with_rows(batches):
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                some = batch.slice(at, ROWS_OUT)
-                rows = [words.ids(value.as_py() or "") for value in some.column(text)]
-                offsets = np.concatenate([[0], np.cumsum([len(row) // 4 for row in rows])])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
-                yield pa.RecordBatch.from_arrays([*some.columns, lists], names=[*batch.schema.names, into])
+        return _encoded(batches, vocabulary(ranks.value, pattern), text, into)
 
     return df.mapInArrow(run, schema)
 
@@ -215,25 +231,26 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", into:
     schema = _appended(df, into, T.BinaryType())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(ranks.value, pattern)
-        for batch in with_rows(batches):
-            lists = batch.column(batch.schema.names.index(ids))
-            for at in range(0, len(lists), DECODED_AT_ONCE):
-                some = lists.slice(at, DECODED_AT_ONCE)
-                flat = some.flatten()  # without what lies under a null
-                data, sizes = words.decode(flat.to_numpy(zero_copy_only=False).astype(np.int64))
-                ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(some), 0).to_numpy())])]
-                run = data.tobytes()
-                texts = pa.array([run[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, DECODED_AT_ONCE).columns, texts], names=[*batch.schema.names, into])
+        return _decoded(batches, vocabulary(ranks.value, pattern), ids, into)
 
     return df.mapInArrow(run, schema)
 
 
 def token_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """Per document the number of tokens, and the digests of the ids and of the bytes decoded from them."""
-    encoded = encode(docs.select("doc_id", "text"), rank_path, pattern).drop("text")
-    return decode(encoded, rank_path, pattern).select(
+    """Per document the number of tokens, and the digests of the ids and of the bytes decoded from them.
+
+    ``encode`` and ``decode`` in one Python process a task, which holds one vocabulary.
+    """
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
+    texts = docs.select("doc_id", "text")
+    columns = ["doc_id", "ids", "decoded"]
+    schema = T.StructType([texts.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(ranks.value, pattern)
+        return (batch.select(columns) for batch in _decoded(_encoded(batches, words, "text", "ids"), words, "ids", "decoded"))
+
+    return texts.mapInArrow(run, schema).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

@@ -261,17 +261,18 @@ def matches(docs: DataFrame, items: DataFrame, settings: Settings = Settings())
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows whose text contains no item, with all their columns; no exchange."""
-    for index in indexes(items, settings):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    """The rows whose text contains no item, with all their columns; no exchange, and one Python process a task for all indexes."""
+    context = docs.sparkSession.sparkContext
+    all_sent = [context.broadcast(index) for index in indexes(items, settings)]
 
-        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in with_rows(batches):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in with_rows(batches):
+            for sent in all_sent:
                 clean = np.ones(batch.num_rows, bool)
                 for block in lower_blocks(batch.column(batch.schema.names.index("text"))):
                     for row, *_ in scored(sent.value, block):
                         clean[block.first + row] = False
-                yield batch.filter(pa.array(clean))
+                batch = batch.filter(pa.array(clean))
+            yield batch
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema) if all_sent else docs

@@ -25,9 +25,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -37,7 +36,7 @@ from quayside.llm.messages import MESSAGE, by_key, joined, messages, pack, unpac
 
 GRAM = 32
 BATCH_BYTES = 4 << 20
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 #: A 32-gram with more different contexts than this is compared window by window.
 MOST_CONTEXTS = 20_000
 
@@ -314,6 +313,7 @@ def covered(batch: Batch, found: Anchors, table: pa.Table, length: int) -> np.nd
 
 
 def apply(docs: pa.Table, table: pa.Table, length: int, schema: pa.Schema) -> pa.Table:
+    characters = pa.types.is_string(schema.field("kept").type)
     batch = load(docs)
     gone = covered(batch, anchors(batch, length), table, length)
     removed, spans, kept = [], [], []
@@ -321,7 +321,8 @@ def apply(docs: pa.Table, table: pa.Table, length: int, schema: pa.Schema) -> pa
         own = gone[a:b]
         removed.append(int(own.sum()))
         spans.append(int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()))
-        kept.append(batch.data[a:b][~own].tobytes())
+        left = batch.data[a:b][~own].tobytes()
+        kept.append(left.decode("utf-8", "ignore") if characters else left)
     rows = batch.of_row
     new = {
         "n_bytes": [int(batch.ends[i] - batch.starts[i]) for i in rows], "n_removed": [removed[i] for i in rows],
@@ -331,13 +332,14 @@ def apply(docs: pa.Table, table: pa.Table, length: int, schema: pa.Schema) -> pa
     return pa.Table.from_arrays([*old.columns, *(pa.array(v, schema.field(k).type) for k, v in new.items())], names=[*old.column_names, *new]).cast(schema)
 
 
-def without_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = (), most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = (), most_contexts: int = MOST_CONTEXTS, characters: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, ``kept`` (the bytes left) and the columns named in ``carry``, a row per row.
 
     Removed are all bytes covered by ``length`` bytes that also start earlier: in a document with smaller
     doc_id, or earlier in the same one. Null texts are empty. Rows with equal doc_id and text are one
     document and get equal results; rows with equal doc_id and different texts follow in order of the text; a
-    null doc_id comes first. ``carry`` may name any column but those made here. Contexts are taken as equal
+    null doc_id comes first. ``carry`` may name any column but those made here. With ``characters`` ``kept`` is a
+    text, without the characters that have lost some of their bytes. Contexts are taken as equal
     if their hashes are: 64 bits within a batch, 96 bits between batches.
     """
     if length < 2 * GRAM:
@@ -351,7 +353,7 @@ def without_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
     )
     fields = [placed.schema[c] for c in columns]
     schema = T.StructType(
-        [*fields, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())]
+        [*fields, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if characters else T.BinaryType())]
     )
     out = to_arrow_schema(schema)
     by_batch = placed.groupBy("batch")
@@ -363,16 +365,6 @@ def without_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
     return by_batch.cogroup(all_answers).applyInArrow(lambda key, d, t: apply(d, t, length, out), schema)
 
 
-def whole_characters(kept: str) -> Column:
-    """The bytes as text; a character that has lost some of its bytes is left out."""
-
-    @F.pandas_udf("string")
-    def decoded(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    return decoded(kept)
-
-
 def repeat_digests(docs: DataFrame) -> DataFrame:
     found = without_repeats(docs.select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -61,3 +61,13 @@ def test_empty_table(spark, sf_dir):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, sf_dir).collect() == []
+
+
+def test_a_task_of_a_stage_has_one_python_process(spark, sf_dir):
+    """Each one holds its own tables; a chain of them in a task would hold them all at once."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name in ("decontaminate", "byte_bpe"):
+        plan = dict(cp.STAGES)[name](spark, docs, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan, name
+    plan = cp.new_text(spark, docs, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
