@@ -134,6 +134,22 @@ def total_bytes(df: DataFrame, text: str) -> int:
     return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
+#: Ids for each word of 64 bits in ``possibly``, and words at most: what is broadcast does not grow beyond.
+IDS_A_WORD, MOST_WORDS = 8, 1 << 18
+
+
+def possibly(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose key is among ``ids``, and some others: about one in eight, more of them beyond 2 million ids.
+
+    No exchange of ``df``: every id sets one bit of a word, and the words are broadcast.
+    """
+    words = min(MOST_WORDS, max(1, ids.count() // IDS_A_WORD))
+    place = {"_word": F.pmod(F.xxhash64(key), F.lit(words)), "_bit": F.expr(f"shiftleft(1L, pmod(hash({key}), 64))")}
+    marks = ids.select(*(c.alias(n) for n, c in place.items())).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = df.withColumns(place).join(F.broadcast(marks), "_word")
+    return found.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*df.columns)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result as Parquet in the shared folder and read it back."""
     path = scratch(df.sparkSession, name)

@@ -9,7 +9,9 @@ the windows of all trees are confirmed, what is left of such regions, and of tho
 compared in full: parts of about the same size and not yet one component meet two by two, half a block each.
 
 Candidates are confirmed a few trees at a time, on the full sets, all with all of a region. What is linked counts as one
-from then on, and a region whose documents are all connected is not looked at again in later trees.
+from then on, and a region whose documents are all connected is not looked at again in later trees. Two documents that
+meet in small regions of several trees after the first are compared in one of them only. A turn exchanges the texts that it
+compares and few others.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.blocks import Block, blocks, mix, record_batch, stored, with_rows, word_hashes
+from quayside.llm.blocks import Block, blocks, mix, possibly, record_batch, stored, with_rows, word_hashes
 
 SHINGLE = 5
 #: Tell the places within a shingle apart.
@@ -118,7 +120,8 @@ def _region_starts(trees: np.ndarray, keys: np.ndarray, least: int) -> np.ndarra
 def candidates(reps: DataFrame, forest: Forest) -> DataFrame:
     """tree, block, region, doc_id: documents that are candidates of each other, in regions that are part of one block.
 
-    Rows with ``whole``, the first hashes, instead of block and region belong to regions that may not lie in one block
+    ``members``: how many rows the region has.
+    Rows with ``whole``, the first hashes, instead of block, region and members belong to regions that may not lie in one block
     as a whole. They come in addition, maybe twice.
     """
     width = 4 * forest.depth
@@ -126,7 +129,7 @@ def candidates(reps: DataFrame, forest: Forest) -> DataFrame:
     rows = reps.select("doc_id", F.greatest(F.col("n_shingles") / forest.shingles, F.lit(1 / forest.block)).alias("weight"), trees.alias("tree", "key"))
     parts = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(parts, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
-    schema = pa.schema([("tree", pa.int32()), ("block", pa.int64()), ("region", pa.int64()), ("doc_id", pa.int64()), ("whole", pa.binary())])
+    schema = pa.schema([("tree", pa.int32()), ("block", pa.int64()), ("region", pa.int64()), ("members", pa.int64()), ("doc_id", pa.int64()), ("whole", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = [TaskContext.get().partitionId() << 32] * 2  # of the next block and the next region
@@ -161,11 +164,14 @@ def candidates(reps: DataFrame, forest: Forest) -> DataFrame:
             if len(table):
                 whole = [key[: 4 * forest.least] for key in table["key"].to_pylist()]
                 none = [None] * len(table)
-                yield record_batch({"tree": table["tree"].to_numpy(), "block": none, "region": none, "doc_id": table["doc_id"].to_numpy(), "whole": whole}, schema)
+                yield record_batch({"tree": table["tree"].to_numpy(), "block": none, "region": none, "members": none, "doc_id": table["doc_id"].to_numpy(), "whole": whole}, schema)
 
         def part(table: pa.Table, own: np.ndarray, block: np.ndarray, region: np.ndarray) -> pa.RecordBatch:
             some = table.filter(pa.array(own))
-            out = {"tree": some["tree"].to_numpy(), "block": block + number[0], "region": region + number[1], "doc_id": some["doc_id"].to_numpy(), "whole": [None] * len(some)}
+            out = {
+                "tree": some["tree"].to_numpy(), "block": block + number[0], "region": region + number[1],
+                "members": np.bincount(region)[region], "doc_id": some["doc_id"].to_numpy(), "whole": [None] * len(some),
+            }
             number[0] += int(block.max()) + 1
             number[1] += int(region.max()) + 1
             return record_batch(out, schema)
@@ -192,7 +198,7 @@ def candidates(reps: DataFrame, forest: Forest) -> DataFrame:
             keys = np.frombuffer(b"".join(held["key"].to_pylist()), ">u4").reshape(-1, forest.depth)
             yield from packed(held, keys, held["weight"].to_numpy(), cut, True)
 
-    return ordered.select("doc_id", "weight", "tree", "key").mapInArrow(run, "tree int, block long, region long, doc_id long, whole binary")
+    return ordered.select("doc_id", "weight", "tree", "key").mapInArrow(run, "tree int, block long, region long, members long, doc_id long, whole binary")
 
 
 def components(edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -311,13 +317,36 @@ def part_pairs(members: DataFrame, forest: Forest, share: int) -> DataFrame:
     return dealt.join(sides, [*group, "part"]).select("block", F.col("block").alias("region"), "doc_id", "root")
 
 
+#: In regions of so many documents pairs are told apart one by one.
+FEW_MEMBERS = 16
+
+
+def first_meetings(regions: DataFrame, roots: DataFrame) -> DataFrame:
+    """tree, block, region, doc_id of the regions that are not one component yet, without what an earlier region compares.
+
+    In a region of few documents stay those that meet one of another component there, and in no such region before.
+    """
+    rows = regions.join(roots, "doc_id")
+    few = F.col("members") <= FEW_MEMBERS
+    docs = F.collect_set(F.struct("doc_id", "root")).alias("docs")
+    grouped = rows.where(few).groupBy("tree", "block", "region").agg(docs).where(F.size("docs") > 1)
+    one = grouped.select("*", F.explode("docs").alias("one"))
+    others = F.filter("docs", lambda d: (d["doc_id"] > F.col("one.doc_id")) & (d["root"] != F.col("one.root")))
+    pairs = one.select("tree", "block", "region", F.col("one.doc_id").alias("low"), F.explode(others).alias("other"))
+    pairs = pairs.select(F.struct("tree", "region", "block").alias("at"), "low", F.col("other.doc_id").alias("high"))
+    first = pairs.groupBy("low", "high").agg(F.min("at").alias("at"))
+    left = first.select("at.*", F.explode(F.array("low", "high")).alias("doc_id")).distinct()
+    columns = ["tree", "block", "region", "doc_id"]
+    return left.select(*columns).union(rows.where(~few).select(*columns))
+
+
 def links(docs: DataFrame, reps: DataFrame, forest: Forest, share: int) -> DataFrame:
     """Confirmed links low, high that connect all candidates that are linked."""
     found_in = stored(candidates(reps, forest), "regions")
     involved = found_in.select("doc_id").distinct()
-    # documents without a candidate, most of them, are not exchanged again
-    texts = stored(docs.join(involved, "doc_id", "left_semi"), "candidate-texts")
     roots = stored(involved.withColumn("root", F.col("doc_id")), "roots")
+    # documents without a candidate, most of them, are not looked at again
+    texts = stored(possibly(docs, roots), "candidate-texts")
     # regions cut by a border or larger than a block; those of one row are none
     whole = found_in.where("whole IS NOT NULL").select("tree", "whole", "doc_id").distinct()
     several = whole.groupBy("tree", "whole").agg(F.count("*").alias("n")).where("n > 1").drop("n")
@@ -339,7 +368,8 @@ def links(docs: DataFrame, reps: DataFrame, forest: Forest, share: int) -> DataF
             rows = members.select("block", "region", "doc_id", "root")
         # a region of one component has nothing to tell
         opened = rows.groupBy("region").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("region")
-        rows = rows.join(opened, "region", "left_semi").join(texts, "doc_id").select("block", "region", "root", "text")
+        rows = stored(rows.join(opened, "region", "left_semi"), "meetings")
+        rows = rows.join(possibly(texts, rows), "doc_id").select("block", "region", "root", "text")
         new = stored(rows.groupBy("block").applyInArrow(lambda t: confirmed_roots(t, share), "low long, high long"), "links")
         links = new if links is None else links.union(new)
         step += 1
@@ -347,6 +377,8 @@ def links(docs: DataFrame, reps: DataFrame, forest: Forest, share: int) -> DataF
             moved = components(new, 2)
             named = roots.join(moved, roots["root"] == moved["node"], "left")
             roots = stored(named.select("doc_id", F.coalesce(moved["root"], roots["root"]).alias("root")), "roots")
+        if step == 1:
+            found_in = stored(first_meetings(found_in.where((F.col("tree") >= last) & F.col("region").isNotNull()), roots), "first-meetings")
         if step == len(turns):
             left = whole.join(roots, "doc_id").groupBy("tree", "whole").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b")
             rows_left = left.agg(F.sum("n")).first()[0] or 0

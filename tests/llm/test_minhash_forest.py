@@ -176,3 +176,51 @@ def test_regions_larger_than_a_block_are_compared_in_full(spark, spread):
     rows = [(i + 24 * k, f"{passage} {edited(rng, text, 1)}") for k in range(2) for i, text in enumerate(own)]
     rows += [(100 + i, f"{passage} {edited(rng, own[0], 1)}") for i in range(12)]
     check(spark, rows, mf.Forest(trees=20, depth=2, block=4 * spread))
+
+
+def test_pairs_meet_in_one_small_region_and_only_if_not_connected(spark):
+    big = [(2, 5, 50, 20, 100 + i, None) for i in range(20)]
+    rows = [
+        (1, 1, 10, 3, 1, None), (1, 1, 10, 3, 2, None), (1, 1, 10, 3, 3, None),
+        (2, 2, 20, 2, 1, None), (2, 2, 20, 2, 2, None),  # met in tree 1
+        (2, 2, 21, 3, 1, None), (2, 2, 21, 3, 2, None), (2, 2, 21, 3, 4, None),  # 4 is new
+        (3, 3, 30, 2, 5, None), (3, 3, 30, 2, 6, None),  # one component
+        (3, 3, 31, 2, 7, None), (3, 3, 31, 2, 7, None),  # one document
+    ]
+    regions = spark.createDataFrame(rows + big, "tree int, block long, region long, members long, doc_id long, whole binary")
+    ids = sorted({r[4] for r in rows + big})
+    roots = spark.createDataFrame([(i, 5 if i == 6 else i) for i in ids], "doc_id long, root long")
+    got = sorted(tuple(r) for r in mf.first_meetings(regions, roots).collect())
+    want = [(1, 1, 10, i) for i in (1, 2, 3)] + [(2, 2, 21, i) for i in (1, 2, 4)] + [(2, 5, 50, 100 + i) for i in range(20)]
+    assert got == want
+
+
+def test_near_misses_are_compared_once(spark, monkeypatch):
+    """Pairs below the threshold share first hashes in many trees; their texts go to one of them after the first tree."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        text = prose(rng, 300)
+        rows += [(2 * i, text), (2 * i + 1, edited(rng, text, 10))]
+    sent, stored = [], mf.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "meetings":
+            sent.append(out.where("region IS NOT NULL").count())
+        return out
+
+    monkeypatch.setattr(mf, "stored", counted)
+    check(spark, rows)
+    assert sum(sent[1:]) <= 2 * 60
+
+
+def test_possibly_keeps_all_that_are_named_and_few_others(spark):
+    from quayside.llm.blocks import possibly
+
+    df = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    ids = df.where("doc_id % 10 = 3")
+    found = possibly(df, ids)
+    assert found.columns == ["doc_id"] and found.join(ids, "doc_id", "left_semi").count() == 2000
+    assert found.count() < 2000 + 18_000 * 0.2
+    assert possibly(df, ids.limit(0)).count() == 0
