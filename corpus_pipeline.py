@@ -54,12 +54,17 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(docs, RANKS, public_tokenizers.PATTERN)
 
 
+def configured(stage: Stage) -> Stage:
+    """The stage under the settings that the operators are written for, also where it is called by itself."""
+    return lambda spark, docs, sf_dir: stage(configure(spark), docs, sf_dir)
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", not_toxic),
-    ("minhash_forest", one_of_near_copies),
-    ("suffix_repeats", new_text),
-    ("decontaminate", without_benchmarks),
-    ("byte_bpe", tokens),
+    ("toxicity", configured(not_toxic)),
+    ("minhash_forest", configured(one_of_near_copies)),
+    ("suffix_repeats", configured(new_text)),
+    ("decontaminate", configured(without_benchmarks)),
+    ("byte_bpe", configured(tokens)),
 ]
 
 #: SQL cannot express these stages; tests compare them with brute force.
@@ -67,7 +72,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(configure(spark), sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -120,6 +120,12 @@ def record_batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatc
     return pa.record_batch([pa.array(columns[field.name], field.type) for field in schema], schema=schema)
 
 
+def handed_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; then what pyarrow keeps for later goes back to the system, as the worker lives on and serves other stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def with_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (batch for batch in batches if batch.num_rows)
 

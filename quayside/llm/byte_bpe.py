@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quayside.llm.blocks import with_rows
+from quayside.llm.blocks import handed_back, with_rows
 
 #: A rank file larger than this is refused: it is sent to every executor.
 MOST_RANK_BYTES = 64 << 20
@@ -248,7 +248,7 @@ def token_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(ranks.value, pattern)
-        return (batch.select(columns) for batch in _decoded(_encoded(batches, words, "text", "ids"), words, "ids", "decoded"))
+        return handed_back(batch.select(columns) for batch in _decoded(_encoded(batches, words, "text", "ids"), words, "ids", "decoded"))
 
     return texts.mapInArrow(run, schema).select(
         "doc_id",

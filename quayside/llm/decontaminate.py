@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.blocks import LETTER_BYTE, Block, blocks, mix, record_batch, stored, total_bytes, with_rows, word_hashes
+from quayside.llm.blocks import LETTER_BYTE, Block, blocks, handed_back, mix, record_batch, stored, total_bytes, with_rows, word_hashes
 
 
 #: Bounds of (segment, block), and entries of postings, that are held at a time.
@@ -275,4 +275,4 @@ def without_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settin
                 batch = batch.filter(pa.array(clean))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema) if all_sent else docs
+    return docs.mapInArrow(lambda batches: handed_back(run(batches)), docs.schema) if all_sent else docs

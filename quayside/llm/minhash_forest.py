@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.blocks import Block, blocks, mix, possibly, record_batch, stored, with_rows, word_hashes
+from quayside.llm.blocks import Block, blocks, handed_back, mix, possibly, record_batch, stored, with_rows, word_hashes
 
 SHINGLE = 5
 #: Tell the places within a shingle apart.
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, forest: Forest) -> DataFrame:
                 )
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return columns.mapInArrow(run, "doc_id long, n_shingles long, a long, b long, signature binary")
+    return columns.mapInArrow(lambda batches: handed_back(run(batches)), "doc_id long, n_shingles long, a long, b long, signature binary")
 
 
 def _region_starts(trees: np.ndarray, keys: np.ndarray, least: int) -> np.ndarray:

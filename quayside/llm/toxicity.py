@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.blocks import blocks, fold_of, mix, record_batch, with_rows, word_hashes
+from quayside.llm.blocks import blocks, fold_of, handed_back, mix, record_batch, with_rows, word_hashes
 
 #: Letters that a character can stand for.
 LOOKS_LIKE = {
@@ -258,7 +258,7 @@ def _read_rows(frame: DataFrame, sent, schema: str, make: Callable) -> DataFrame
     """``make(reader's words, rows)`` over batches of (text, *others): a generator of record batches."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from make(sent.value, with_rows(batches))
+        yield from handed_back(make(sent.value, with_rows(batches)))
 
     return frame.mapInArrow(run, schema)
 

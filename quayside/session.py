@@ -18,6 +18,8 @@ SQL_SETTINGS = {
     # a skewed join is split even when the grouping after it then needs its own exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # bounds what a Python task and its JVM side hold of long texts; 10 000 rows otherwise
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 

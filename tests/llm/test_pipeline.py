@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 from test_byte_bpe import known  # noqa: F401
 from test_decontaminate import brute as leaks
 from test_minhash_forest import brute as groups
@@ -71,3 +72,17 @@ def test_a_task_of_a_stage_has_one_python_process(spark, sf_dir):
         assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan, name
     plan = cp.new_text(spark, docs, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan
+
+
+def test_a_stage_hands_python_a_bounded_batch_of_long_texts(spark, sf_dir):
+    """A batch of ten thousand long texts would be held several times, by the JVM and by Python."""
+
+    def sizes(batches):
+        return (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]}) for b in batches)
+
+    for name, stage in cp.STAGES:
+        bare = spark.newSession()
+        docs = bare.range(3000, numPartitions=1).selectExpr("id AS doc_id", "repeat('some words ', 1000) AS text", "'en' AS lang", "'s' AS source", "11000L AS n_chars")
+        stage(bare, docs, sf_dir)
+        found = docs.mapInArrow(sizes, "rows long, size long").collect()
+        assert sum(r.rows for r in found) == 3000 and max(r.size for r in found) < 6 << 20, name
