@@ -34,12 +34,27 @@ BLOCKS, LEAST_BLOCK, MOST_BLOCK = 24, 2048, 16384
 FEW_PAIRS = 1_000_000
 #: Tasks among which the pairs of blocks are dealt at most.
 MOST_TASKS = 4000
+#: Pairs of blocks that a task meets one after the other, once there are that many tasks: a task has a fixed price.
+PAIRS_A_TASK, LEAST_TASKS = 4, 96
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype("float64", copy=False)
 
 
+def _meeting_tasks(pairs: int) -> int:
+    return max(1, min(pairs, MOST_TASKS, max(LEAST_TASKS, pairs // PAIRS_A_TASK)))
+
+
+def _packed(vectors: pd.Series, kind: str) -> pd.Series:
+    """Each vector as bytes: a row that is sent to many blocks is one value then, not one for each element."""
+    return pd.Series([row.tobytes() for row in _matrix(vectors).astype(kind)], dtype=object)
+
+
+def _unpacked(vectors: pd.Series, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), width).astype("float64")
+
+
 def _pivot_distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     total = np.zeros((len(points), len(pivots)))
     for axis in range(points.shape[1]):
@@ -159,14 +174,18 @@ def _search(points: DataFrame, rows: int, block: int | None) -> DataFrame:
     both = F.broadcast(both) if many <= FEW_PAIRS else both
     # elements that came as single floats are sent as such
     single = points.agg(F.bool_and(F.forall("x", lambda v: v == v.cast("float").cast("double")))).first()[0]
-    sent = F.col("x").cast("array<float>").alias("x") if single else F.col("x")
+    kind = "<f4" if single else "<f8"
+
+    @F.pandas_udf("binary")
+    def packed(vectors: pd.Series) -> pd.Series:
+        return _packed(vectors, kind)
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         sides = []
         for slot in (frame["one"].iat[0], frame["other"].iat[0]):
             own = frame[(frame["slot"] == slot).to_numpy()]
             squares = own["square"].fillna(np.inf).to_numpy()
-            sides.append((slot, own["id"].to_numpy(), _matrix(own["x"]), own["second"].isna().to_numpy(), squares))
+            sides.append((slot, own["id"].to_numpy(), _unpacked(own["x"], kind, width), own["second"].isna().to_numpy(), squares))
         asks = []
         for (_, _, x, ask, squares), (slot, *_) in (sides, sides[::-1]):
             area = area_of[slot]
@@ -177,8 +196,8 @@ def _search(points: DataFrame, rows: int, block: int | None) -> DataFrame:
         found = nearest_between(x, ids, asks[0], squares, other, other_ids, asks[1], other_squares)
         return pd.DataFrame(dict(zip(("id", "neighbour", "square"), found, strict=True)))
 
-    meeting = known.select("id", sent, "second", "square", "slot").join(both, "slot")
-    spread = meeting.repartition(max(1, min(MOST_TASKS, many)), "one", "other")
+    meeting = known.select("id", packed("x").alias("x"), "second", "square", "slot").join(both, "slot")
+    spread = meeting.repartition(_meeting_tasks(many), "one", "other")
     elsewhere = spread.groupBy("one", "other").applyInPandas(meet, FOUND)
     nearest = own.unionByName(elsewhere).groupBy("id").agg(F.min(F.struct("square", "neighbour")).alias("_best"))
     return nearest.select("id", "_best.neighbour", F.sqrt("_best.square").alias("distance"))

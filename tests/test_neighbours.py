@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quayside.operators import neighbours
 from quayside.operators.correlations import Moments, correlations_by
 from quayside.operators.grouped_neighbours import nearest_neighbours_by
 from quayside.operators.hashed_neighbours import Hashing, exact_of, recall_of
@@ -229,3 +230,13 @@ def test_blocks_of_any_size_give_the_exact_neighbour(spark, block):
         # integer coordinates have equal distances, of which the lowest id counts
         assert squares[r.id, r.neighbour] == pytest.approx(squares[r.id].min(), rel=1e-9, abs=1e-12)
         assert not 150 <= r.id < 250 or r.neighbour == squares[r.id].argmin()
+
+
+def test_blocks_travel_as_bytes_and_share_tasks():
+    """850 pairs of blocks were 850 tasks, and every vector was sent element by element."""
+    vectors = pd.Series([[0.1, -2.5, 1e300], [float(np.float32(0.1)), 0.0, 3.0]])
+    assert np.array_equal(neighbours._unpacked(neighbours._packed(vectors, "<f8"), "<f8", 3), np.array(vectors.to_list()))
+    single = neighbours._unpacked(neighbours._packed(vectors[1:], "<f4"), "<f4", 3)
+    assert np.array_equal(single, np.array(vectors[1:].to_list())) and single.dtype == "float64"
+    assert neighbours._unpacked(pd.Series([], dtype=object), "<f8", 3).shape == (0, 3)
+    assert [neighbours._meeting_tasks(n) for n in (0, 1, 40, 850, 10**6)] == [1, 1, 40, 212, neighbours.MOST_TASKS]
