@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,11 @@ _CURRENCY = frozenset("$@€£+")
 #: A character that looks like a letter, or a letter twice in a row.
 _DISGUISE = re.compile(rf"[{_LOOKS}]|([^\W\d_])\1")
 _LETTER, _OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]")
+_TWICE = re.compile(r"([^\W\d_])\1")
+#: Punctuation that neither looks like a letter nor is kept at the end of a word.
+_AROUND = re.escape("".join(sorted(set(string.punctuation) - {*LOOKS_LIKE, *_CURRENCY, "_"})))
+#: One run of letters, and such punctuation around it.
+_PLAIN = re.compile(rf"[{_AROUND}]*([^\W\d_]+)[{_AROUND}]*")
 #: Three single characters in a row.
 _SPACED = re.compile(r"(?<!\S)\S\s+\S\s+\S(?!\S)")
 #: Tokens after which a worker forgets those it has not met since as many before.
@@ -182,11 +189,34 @@ def is_traced(text: str) -> bool:
     return bool(_DISGUISE.search(text)) or bool(_LETTER.search(text) and _OTHER.search(text))
 
 
+def head(stem: str) -> str:
+    """What a word, with its end marked, has in common with all its stems."""
+    return stem[:3]
+
+
+def heads_of(word: str) -> set[str]:
+    """The heads of all readings of a word of letters, in which every repeated letter may stand or not."""
+    found = {""}
+    for letter, run in groupby(word + "$"):
+        most = min(3, sum(1 for _ in run))
+        found = {x if len(x) == 3 else head(x + n * letter) for x in found for n in range(1, most + 1)}
+        if all(len(x) == 3 for x in found):
+            break
+    return found
+
+
 class Reader:
-    """The words of texts after restoring disguised ones; what a token's words become is remembered."""
+    """The words of texts after restoring disguised ones; what a token's words become is remembered.
 
-    def __init__(self, logs: np.ndarray, meaning: Callable[[str], Iterable]) -> None:
+    ``known``: the stems that count. A word of letters none of whose readings can have one of them is not
+    restored and means nothing. Without it every word counts.
+    """
+
+    def __init__(self, logs: np.ndarray, meaning: Callable[[str], Iterable], known: Iterable[str] | None = None) -> None:
         self._logs, self._meaning = logs, meaning
+        self._heads = None if known is None else frozenset(map(head, known))
+        # a reading of a word of letters begins as the word does
+        self._firsts = frozenset(x[0] for x in self._heads or ())
         # what was met lately, and before that
         self._known: dict[str, tuple] = {}
         self._older: dict[str, tuple] = {}
@@ -200,13 +230,26 @@ class Reader:
                 words += [w for w in WORDS.findall(decode(text, self._logs, len(core))) if w not in words]
         return words
 
+    def _met_first(self, token: str) -> tuple:
+        plain = _PLAIN.fullmatch(token)
+        if plain:
+            word = plain[1]
+            if self._heads is not None and word[0] not in self._firsts and word.isalpha():
+                return ()
+            if not _TWICE.search(word):
+                # the word is its only reading
+                return () if self._heads is not None and head(word + "$") not in self._heads else tuple(self._meaning(word))
+            if self._heads is not None and word.isalpha() and self._heads.isdisjoint(heads_of(word)):
+                return ()
+        return tuple(x for word in self.words_of(token) for x in self._meaning(word))
+
     def _of_token(self, token: str) -> tuple:
         found = self._known.get(token)
         if found is not None:
             return found
         found = self._older.get(token)
         if found is None:
-            found = tuple(x for word in self.words_of(token) for x in self._meaning(word))
+            found = self._met_first(token)
         if len(self._known) >= MOST_TOKENS:
             self._older, self._known = self._known, {}
         if len(token) < 100:
@@ -310,7 +353,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: Column, logs: np.ndarray
 
     def counts(wanted: int, only) -> Callable:
         def make(logs, batches):
-            reader = Reader(logs, stems)
+            reader = Reader(logs, stems, only)
             sums: Counter = Counter()
 
             def counted() -> pa.RecordBatch:
@@ -348,7 +391,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: Column, logs: np.ndarray
     model = Model(weights, ())
 
     def seen(logs, batches):
-        reader = Reader(logs, model.evidence)
+        reader = Reader(logs, model.evidence, model.weights)
         schema = pa.schema([("toxic", pa.int32()), *((f"p{i}", pa.float64()) for i in range(3))])
         for batch in batches:
             p = [points(*reader.read(t or "")) for t in batch.column(0).to_pylist()]
@@ -386,7 +429,7 @@ def predict(docs: DataFrame, logs: np.ndarray, model: Model, keep: tuple[str, ..
     place = [0 if c == "text" else 2 + others.index(c) for c in keep]
 
     def make(own, batches):
-        reader = Reader(own[0], own[1].evidence)
+        reader = Reader(own[0], own[1].evidence, own[1].weights)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(at, ROWS_OUT)

@@ -127,3 +127,20 @@ def test_marks_around_a_token():
     assert toxicity.cores("$$$") == ["$$$", "$$$", "$$$"]
     assert toxicity.cores("") == ["", "", ""] and toxicity.cores("-_-") == ["_", "_", "_"]
     assert toxicity.is_traced("a1") and toxicity.is_traced("aa") and not toxicity.is_traced("abab") and not toxicity.is_traced("-.")
+
+
+def test_words_that_cannot_have_a_stem_are_not_restored_and_the_others_mean_the_same(logs, monkeypatch):
+    model = toxicity.Model({"idi": 2.0, "moron$": 3.0, "scum": 1.0, "as$": 1.5}, (1.0, 1.0, -3.0))
+    rnd = random.Random(5)
+    tokens = ["(moron)", "iidiot", "idiioot,", "moorron", "scum²", "sc²²um", "asss", "aas", "a$$", "letter", "a"]
+    for _ in range(1500):
+        word = rnd.choice(["idiot", "moron", "scum", "as", "letter", "to", "éa", "²x"])
+        word = "".join(c * rnd.choice((1, 1, 1, 2, 3)) for c in word)
+        tokens.append(rnd.choice(["", "", "(", "-", "$", "1"]) + word + rnd.choice(["", "", "", ".", ",)", "$$", "!", "_", "0", "-so"]))
+    short, full = toxicity.Reader(logs, model.evidence, model.weights), toxicity.Reader(logs, model.evidence)
+    for token in tokens:
+        assert short.read(token) == full.read(token), token
+    decoded = []
+    monkeypatch.setattr(toxicity, "decode", lambda text, *_: decoded.append(text) or text)
+    toxicity.Reader(logs, model.evidence, model.weights).read("a letter, [all] sorrow: butter mattress annoo moorron")
+    assert decoded == ["moorron"]
